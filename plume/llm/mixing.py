@@ -68,7 +68,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     targets = source_targets(sized, weights, share, most)
     buckets = max(64, min(1 << 20, docs.count() // BUCKET_ROWS))
 
-    ranked = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = targets.withColumnRenamed("source", "of_source")
+    ranked = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = ranked.withColumn("whole", F.floor(ratio + 1e-12).cast("long"))
     ranked = ranked.withColumn("part", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
@@ -83,17 +84,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     ranked = ranked.withColumn("before", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("source", "bucket", (F.sum("words").over(up_to) - F.col("words")).alias("start"))
-    same = ranked["source"].eqNullSafe(sums["source"]) & (ranked["bucket"] == sums["bucket"])
-    ranked = ranked.join(sums, same).drop(sums["source"]).drop(sums["bucket"])
+    sums = sums.select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), (F.sum("words").over(up_to) - F.col("words")).alias("start"))
+    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket"))
+    ranked = ranked.join(sums, same).drop("of_source", "of_bucket")
     ranked = ranked.withColumn("in", F.col("start") + F.col("before") + F.col("size") <= F.col("missing"))
 
     short = ranked.groupBy("source").agg((F.first("missing") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("short"))
-    out = ranked.join(short, ranked["source"].eqNullSafe(short["source"])).drop(short["source"])
+    short = short.withColumnRenamed("source", "of_source")
+    out = ranked.join(short, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     nearer = ~F.col("in") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("short"))
     best = F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "rank", "doc_id", "size", "tie"))
-    fill = out.filter(nearer).groupBy("source").agg(best.alias("best"))
-    out = out.join(fill, out["source"].eqNullSafe(fill["source"]), "left").drop(fill["source"])
+    fill = out.filter(nearer).groupBy("source").agg(best.alias("best")).withColumnRenamed("source", "of_source")
+    out = out.join(fill, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     filled = nearer & (F.col("doc_id") == F.col("best.doc_id")) & (F.col("size") == F.col("best.size")) & (F.col("tie") == F.col("best.tie"))
     copies = F.col("whole") + F.when(F.col("in") | F.coalesce(filled, F.lit(False)), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
