@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import mixing, packing, quality_rules
+from plume.llm import mixing, nearest, packing, quality_classifier, quality_rules, toxicity
 from plume.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -22,7 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_mixing, op6_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
