@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +19,13 @@ CAPACITY = 4096
 END = 1
 #: Pieces that are packed together in one task.
 CHUNK_PIECES = 1 << 15
-#: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED_WORDS = 300_000
+#: Text parts whose ids a worker remembers; then it starts anew.
+REMEMBERED_WORDS = 600_000
 
-_known: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict = {}
+#: Parts of printable ASCII and Latin letters, which no normal form changes.
+PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
+#: The pieces that this tokenizer's file asks for, fixed value.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def default_tokenizer() -> str:
@@ -29,30 +34,76 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class PartIds:
+    """Ids of text parts without spaces as bytes, remembered within a worker.
+
+    A piece's merges depend on their ranks alone, so plain parts are merged
+    by ``tiktoken`` under the same ranks (a NUL stands for the end of a
+    word), all new pieces at once; other parts go to ``tokenizers``.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        codes = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {}
+        for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if not token.startswith("<|"):
+                core = token.removesuffix("</w>")
+                ranks[bytes(codes[c] for c in core) + b"\0" * (core != token)] = rank
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.last[[r for b, r in ranks.items() if len(b) > 1 and b.endswith(b"\0")]] = True
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if PLAIN.fullmatch(p) and "<|" not in p]
+        cut = {p: [low] if (low := p.lower()).isalpha() else PIECES.findall(low) for p in plain}
+        if new := list({x for found in cut.values() for x in found if x not in self.pieces}):
+            ids = np.array(self.merger.encode_ordinary("\0".join(new) + "\0"), dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            flat, at = ids.tobytes(), 0
+            for piece, end in zip(new, ends, strict=True):
+                self.pieces[piece] = flat[4 * at : 4 * end]
+                at = end
+        for part, found in cut.items():
+            self.parts[part] = b"".join([self.pieces[x] for x in found])
+        if odd := [p for p in parts if p not in cut]:
+            for part, code in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
+                self.parts[part] = np.array(code.ids, dtype="<u4").tobytes()
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*split).difference(self.parts):
+            if len(self.parts) > REMEMBERED_WORDS:
+                self.parts, self.pieces = {"": b""}, {}
+                new = set().union(*split) - {""}
+            self.learn(list(new))
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_known: dict[str, PartIds] = {}
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     This tokenizer drops white space and never joins across it, so a text's
     ids are those of its parts between spaces and line ends, one after
-    another. Each part that is new to this worker is encoded once.
+    another.
     """
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    known = _known.setdefault(path, {"": b""})
-    out = []
-    for text in texts:
-        parts = text.replace("\n", " ").split(" ")
-        if new := [p for p in set(parts) if p not in known]:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-                known[""] = b""
-                new = [p for p in set(parts) if p]
-            for part, code in zip(new, _tokenizers[path].encode_batch_fast(new, add_special_tokens=False)):
-                known[part] = np.array(code.ids, dtype="<u4").tobytes()
-        out.append(b"".join(map(known.__getitem__, parts)))
-    return out
+    if path not in _known:
+        _known[path] = PartIds(path)
+    return _known[path].of(texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
