@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import mixing, near_duplicates, nearest, packing, quality_classifier, quality_rules, toxicity
+from plume.llm import mixing, near_duplicates, nearest, packing, personal, quality_classifier, quality_rules, secrets, toxicity
 from plume.llm.common import table
 
 
@@ -29,16 +29,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op8_near_duplicates, op10_packing)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op7_secrets, op8_near_duplicates, op9_personal, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
