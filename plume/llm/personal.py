@@ -92,9 +92,9 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find_personal(docs: DataFrame) -> DataFrame:
     """Personal data in every row of ``docs`` (doc_id, text).
 
-    Returns doc_id, text_key, base and spans: base has the fixed forms; spans also what contexts find: strings of five
-    digits or more that no base span overlaps, after a word that in the
-    whole corpus stands nearly always before personal data of that shape.
+    Returns doc_id, text_key, base and spans: base has the fixed forms; spans also what contexts find: strings of 5 to 13 digits that no base
+    span overlaps, after a word that in the whole corpus stands nearly
+    always before personal data of that shape.
 
     A null text counts as empty. Rows are told apart by doc_id and a hash of
     the text, so equal rows get equal spans; an empty table gives an empty
@@ -106,7 +106,9 @@ def find_personal(docs: DataFrame) -> DataFrame:
     found = stored(found, "personal")
     edges = stored(graph(found), "mentions")
     good = score_patterns(edges).filter((F.col("score") >= LEAST_SCORE) & (F.col("instances") >= LEAST_INSTANCES))
-    fresh = edges.filter(~F.col("seed") & (F.length(digits(F.col("instance"))) >= 5)).join(good.select("pattern"), "pattern", "left_semi")
+    # numbers as long as a card's were tested as such
+    size = F.length(digits(F.col("instance")))
+    fresh = edges.filter(~F.col("seed") & (size >= 5) & (size < 14)).join(good.select("pattern"), "pattern", "left_semi")
     span = F.struct(F.col("start").cast("int").alias("start"), F.lit(4).alias("kind"), F.col("end").cast("int").alias("end"), F.col("instance").alias("match"))
     fresh = fresh.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set(span).alias("more"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text"))

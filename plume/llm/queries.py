@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import mixing, near_duplicates, nearest, packing, personal, quality_classifier, quality_rules, secrets, toxicity
+from plume.llm import mixing, near_duplicates, nearest, packing, personal, quality_classifier, quality_rules, secrets, substrings, toxicity
 from plume.llm.common import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op7_secrets, op8_near_duplicates, op9_personal, op10_packing)}
+    return {f.__name__: f for f in (op1_substrings, op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op7_secrets, op8_near_duplicates, op9_personal, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
