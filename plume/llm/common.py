@@ -69,3 +69,17 @@ def unit_hash(*columns: Column) -> Column:
     """A number in (0, 1) that depends on the columns alone (52 bits of MD5)."""
     text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+#: Up to so many ids (8 MB) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) among ``ids``.
+
+    The size of ``ids`` is counted first. Rows without a doc_id are in no
+    list of ids.
+    """
+    ids = ids.select("doc_id").filter("doc_id is not null").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)

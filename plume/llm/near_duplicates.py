@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import small_batches, stored
+from plume.llm.common import by_ids, small_batches, stored
 from plume.llm.components import connected_components
 from plume.llm.hashing import hashes, mixed, sequences
 
@@ -24,8 +24,6 @@ ENOUGH = 16
 SEARCHED = 8
 #: Shingles of a block in such a group.
 BLOCK_SHINGLES = 1_000_000
-#: Up to so many ids the wanted classes are broadcast (8 MB), beyond they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -85,8 +83,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = [s for s in sets if len(s)]
             yield pd.DataFrame({"class": pd.array([class_key(s) for s in sets], dtype="int64"), "n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = by_ids(docs.select("doc_id", "text"), wanted, "left_semi")
     sets = texts.mapInPandas(read, "class long, n_shingles long, shingles array<long>")
     return sets.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
 
@@ -187,7 +184,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # full sets of what is to be verified
     used = pairs.select("a").union(pairs.select("b")).union(searched.select("class")).distinct().toDF("class")
-    wanted = stored(kinds.join(used, "class", "left_semi").select(F.col("rep").alias("doc_id")).filter("doc_id is not null"), "wanted")
+    wanted = stored(kinds.join(used, "class", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
     sets = stored(wanted_sets(docs, wanted, n), "sets")
     full = pairs.join(sets.toDF("a", "size_a", "set_a"), "a").join(sets.toDF("b", "size_b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import stored
+from plume.llm.common import by_ids, stored
 from plume.llm.spans import count_of, listing, masked, matches, overlaps, valid
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -129,11 +129,13 @@ def personal(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind; all columns stay.
 
-    Only texts with spans are joined with them; the others pass unchanged.
+    Overlapping spans are replaced by the kind of the first. Only texts with
+    spans are joined with them; the others pass unchanged, null texts too.
     """
-    found = find_personal(docs).filter(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), "spans").dropDuplicates(["of", "of_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_text"))
-    out = docs.join(found, same, "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans"), KINDS))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    found = stored(find_personal(docs).filter(F.size("spans") > 0), "found")
+    rest = by_ids(docs, found, "left_anti").select(docs.columns)
+    found = found.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), F.col("spans").alias("found_spans")).dropDuplicates(["of", "of_text"])
+    same = (F.col("doc_id") == F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_text"))
+    out = by_ids(docs, found.select(F.col("of").alias("doc_id")), "left_semi").join(found, same, "left")
+    text = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("found_spans"), KINDS))
+    return rest.union(out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns]))

@@ -11,13 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import discard, small_batches, stored
+from plume.llm.common import by_ids, discard, small_batches, stored
 from plume.llm.hashing import hashes, mixed
 
 WINDOW = 20
 PAIR_ROUNDS = 3
-#: Up to so many ids of marked documents are broadcast (16 MB), beyond they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,9 +152,7 @@ def texts_by_id(docs: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The texts that have marks, with them; only such texts are shuffled while their ids are few."""
-    ids = marks.select("doc_id").distinct()
-    few = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
-    return few.join(marks, ["doc_id", "text_key"])
+    return by_ids(docs, marks, "left_semi").join(marks, ["doc_id", "text_key"])
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -268,10 +264,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
             yield out.assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_words", "n_removed", "kept_sha256"]]
 
-    ids = repeats.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    touched = docs.join(ids, "doc_id", "left_semi").join(repeats.withColumn("repeated", F.lit(True)), ["doc_id", "text_key"], "left")
-    rest = docs.join(ids, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("repeated", F.lit(None).cast("boolean"))
+    touched = by_ids(docs, repeats, "left_semi").join(repeats.withColumn("repeated", F.lit(True)), ["doc_id", "text_key"], "left")
+    rest = by_ids(docs, repeats, "left_anti").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("repeated", F.lit(None).cast("boolean"))
     columns = ["doc_id", "text", "starts", F.coalesce("repeated", F.lit(False)).alias("repeated")]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return touched.select(*columns).union(rest.select(*columns)).mapInPandas(finish, schema)
