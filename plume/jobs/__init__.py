@@ -1,0 +1,6 @@
+"""All registered queries of the library, by name, with their SQL."""
+
+from plume.jobs import fields, grids, tracks
+
+QUERIES = {**fields.QUERIES, **tracks.QUERIES, **grids.QUERIES}
+ORACLE = {**fields.ORACLE, **tracks.ORACLE, **grids.ORACLE}
