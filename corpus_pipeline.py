@@ -38,10 +38,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    out = docs.join(copies.filter("copies > 0"), F.col("doc_id").eqNullSafe(F.col("of")))
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return out.select(*docs.columns, again.alias("copy")).select(docs.columns)
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(copies.filter("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("of")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def for_python(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id as text, text and ``more``: pandas would round large ids next to missing ones."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
+
+
+def whole_ids(df: DataFrame) -> DataFrame:
+    """``df`` with doc_id as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import by_ids, small_batches, stored
+from plume.llm.common import by_ids, for_python, small_batches, stored, whole_ids
 from plume.llm.components import connected_components
 from plume.llm.hashing import hashes, mixed, sequences
 
@@ -69,9 +69,9 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 s = shingle_set(text, n)
                 out.append((len(s), class_key(s) if len(s) else None, s[: sketch_size(len(s), percent)].view(np.int64) if len(s) else None))
             size, key, sketch = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": np.array(size, dtype=np.int64), "class": pd.array(key, dtype="Int64"), "sketch": list(sketch)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": np.array(size, dtype=np.int64), "class": pd.array(key, dtype="Int64"), "sketch": list(sketch)})
 
-    return docs.select("doc_id", "text").mapInPandas(read, "doc_id long, n_shingles long, class long, sketch array<long>")
+    return whole_ids(for_python(docs).mapInPandas(read, "doc_id string, n_shingles long, class long, sketch array<long>"))
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import small_batches
+from plume.llm.common import for_python, small_batches, whole_ids
 
 CAPACITY = 4096
 END = 1
@@ -124,9 +124,9 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+            yield out.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return whole_ids(for_python(docs).mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long"))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +172,9 @@ def pack(pieces: DataFrame, chunks: int, capacity: int = CAPACITY) -> DataFrame:
     """
     keys = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
     dealt = pieces.withColumn("shuffle", keys).withColumn("chunk", F.pmod("shuffle", F.lit(chunks)))
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     columns = [*pieces.columns, "sequence_id", "offset"]
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long"
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long".replace("`doc_id` bigint", "`doc_id` string")
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["shuffle", "doc_id", "piece"], kind="stable")
@@ -188,7 +189,7 @@ def pack(pieces: DataFrame, chunks: int, capacity: int = CAPACITY) -> DataFrame:
         out = frame.iloc[order]
         return out.assign(sequence_id=(int(out["chunk"].iloc[0]) << 32) + bins, offset=offsets)[columns]
 
-    return dealt.groupBy("chunk").applyInPandas(place, schema)
+    return whole_ids(dealt.groupBy("chunk").applyInPandas(place, schema)).select(columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

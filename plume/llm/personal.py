@@ -133,9 +133,11 @@ def redact(docs: DataFrame) -> DataFrame:
     spans are joined with them; the others pass unchanged, null texts too.
     """
     found = stored(find_personal(docs).filter(F.size("spans") > 0), "found")
-    rest = by_ids(docs, found, "left_anti").select(docs.columns)
-    found = found.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), F.col("spans").alias("found_spans")).dropDuplicates(["of", "of_text"])
-    same = (F.col("doc_id") == F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_text"))
-    out = by_ids(docs, found.select(F.col("of").alias("doc_id")), "left_semi").join(found, same, "left")
-    text = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("found_spans"), KINDS))
-    return rest.union(out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns]))
+    whole = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    rest = by_ids(whole, found, "left_anti").select("row.*")
+    found = found.select(F.col("doc_id").alias("of"), "text_key", "spans").dropDuplicates(["of", "text_key"])
+    text = F.col("row.text")
+    same = (F.col("doc_id") == F.col("of")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_key"))
+    out = by_ids(whole, found.select(F.col("of").alias("doc_id")), "left_semi").join(found, same, "left")
+    clean = F.when(F.col("spans").isNull(), text).otherwise(masked(text, F.col("spans"), KINDS))
+    return rest.union(out.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]))

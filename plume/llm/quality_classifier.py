@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import small_batches, stored, unit_hash
+from plume.llm.common import for_python, small_batches, stored, unit_hash, whole_ids
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
@@ -136,15 +136,14 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [ratio.value[ngrams(t)] for t in frame["text"]]
-            out = frame.drop(columns="text").assign(n_ngrams=[len(x) for x in found], total=[float(x.sum()) for x in found])
-            yield out.astype({"doc_id": "Int64"})
+            yield frame.drop(columns="text").assign(n_ngrams=[len(x) for x in found], total=[float(x.sum()) for x in found])
 
-    judged = sample.mapInPandas(rate, "doc_id long, good int, n_ngrams long, total double").toPandas()
-    judged = judged[judged["n_ngrams"] > 0].sort_values("doc_id")
+    judged = for_python(sample, "good").mapInPandas(rate, "doc_id string, good int, n_ngrams long, total double").toPandas()
+    judged = judged[judged["n_ngrams"] > 0].sort_values(["doc_id", "total"])
     threshold = best_threshold((judged["total"] / judged["n_ngrams"]).to_numpy(), judged["good"].to_numpy(dtype=float))
     shift = 0.0 if np.isinf(threshold) else threshold
 
-    scored = docs.mapInPandas(rate, "doc_id long, n_ngrams long, total double")
+    scored = whole_ids(for_python(docs).mapInPandas(rate, "doc_id string, n_ngrams long, total double"))
     noise = -F.log(-F.log(unit_hash(F.lit("gumbel"), F.col("doc_id"))))
     scored = scored.select("doc_id", "n_ngrams", (F.col("total") - shift * F.col("n_ngrams")).alias("log_ratio"))
     scored = stored(scored.withColumn("key", F.col("log_ratio") + temperature * noise), "resample")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import by_ids, discard, small_batches, stored
+from plume.llm.common import by_ids, discard, for_python, small_batches, stored, whole_ids
 from plume.llm.hashing import hashes, mixed
 
 WINDOW = 20
@@ -261,11 +261,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 else:
                     kept = words
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            yield out.assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_words", "n_removed", "kept_sha256"]]
+            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
+            yield out.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "n_words", "n_removed", "kept_sha256"]]
 
     touched = by_ids(docs, repeats, "left_semi").join(repeats.withColumn("repeated", F.lit(True)), ["doc_id", "text_key"], "left")
     rest = by_ids(docs, repeats, "left_anti").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("repeated", F.lit(None).cast("boolean"))
-    columns = ["doc_id", "text", "starts", F.coalesce("repeated", F.lit(False)).alias("repeated")]
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return touched.select(*columns).union(rest.select(*columns)).mapInPandas(finish, schema)
+    rows = touched.select("doc_id", "text", "starts", "repeated").union(rest.select("doc_id", "text", "starts", "repeated"))
+    rows = for_python(rows, "starts", F.coalesce("repeated", F.lit(False)).alias("repeated"))
+    return whole_ids(rows.mapInPandas(finish, "doc_id string, n_words long, n_removed long, kept_sha256 string"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import small_batches, unit_hash
+from plume.llm.common import for_python, small_batches, unit_hash, whole_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Hashed terms; each word gives itself and its first four and six letters.
@@ -156,8 +156,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             scores = np.array([model.value.score(terms_of(t)) for t in frame["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": scores})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": scores})
 
-    scored = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
+    scored = whole_ids(for_python(docs).mapInPandas(score, "doc_id string, score double"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
