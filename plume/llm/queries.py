@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import mixing, near_duplicates, nearest, packing, personal, quality_classifier, quality_rules, secrets, substrings, toxicity
+from plume.llm import mixing, near_duplicates, nearest, oracles, packing, personal, quality_classifier, quality_rules, secrets, substrings, toxicity
 from plume.llm.common import table
 
 
@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.ORACLE
