@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,14 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Runs of one character class.
 CLASS_RUNS = r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"
-#: Encodings by the characters they use: name, pattern, shares of digits, capitals, small letters, others.
+#: Encodings by the characters that they use, the first that fits counts: name, pattern, and the shares of
+#: digits, capitals, small letters and others in random strings.
 ENCODINGS = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", None),
-    ("base32", r"^[A-Z2-7]+=*$", (6 / 32, 26 / 32, 0.0, 0.0)),
-    ("alnum", r"^[A-Za-z0-9]+$", (10 / 62, 26 / 62, 26 / 62, 0.0)),
-    ("base64", r"", (10 / 64, 26 / 64, 26 / 64, 2 / 64)),
+    ("small hex", "^[0-9a-f]+$", (10 / 16, 0.0, 6 / 16, 0.0)),
+    ("capital hex", "^[0-9A-F]+$", (10 / 16, 6 / 16, 0.0, 0.0)),
+    ("base32", "^[A-Z2-7]+$", (6 / 32, 26 / 32, 0.0, 0.0)),
+    ("alphanumeric", "^[A-Za-z0-9]+$", (10 / 62, 26 / 62, 26 / 62, 0.0)),
+    ("base64", "", (10 / 64, 26 / 64, 26 / 64, 2 / 64)),
 )
 #: A string isn't random if a test has a smaller p value.
 LEAST_P = 0.001
@@ -47,46 +51,44 @@ def two_sided(z: Column) -> Column:
     return 2 * upper_tail(F.least(F.abs(z), F.lit(30.0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def battery(token: Column) -> Column:
-    """The least p value of the three tests against randomness, times three.
+    """The least p value of three tests against randomness, times three.
 
     Uniformity: chi-squared of the character classes under the inferred
     encoding, as a normal deviate by Wilson and Hilferty. Runs: the number
     of runs of one class against its mean and deviation. Serial
     correlation: of neighbouring character codes.
     """
-    token = F.regexp_replace(token, "=+$", "")
-    n = F.length(token).cast("double")
-    counts = [F.regexp_count(token, F.lit(c)).cast("double") for c in ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]")]
-    is_hex = token.rlike(ENCODINGS[0][1])
-    small = token.rlike("[a-f]")
-    shares = []
-    for k in range(4):
-        other = F.lit(ENCODINGS[3][2][k])
-        for name, pattern, share in ENCODINGS[2:0:-1]:
-            other = F.when(token.rlike(pattern), share[k]).otherwise(other)
-        of_hex = (F.lit(10 / 16), F.when(small, 0.0).otherwise(6 / 16), F.when(small, 6 / 16).otherwise(0.0), F.lit(0.0))[k]
-        shares.append(F.when(is_hex, of_hex).otherwise(other))
-    used = sum((F.when(p > 0, 1).otherwise(0) for p in shares), F.lit(0))
-    chi = sum((F.when(p > 0, (c - n * p) * (c - n * p) / (n * F.greatest(p, F.lit(1e-9)))).otherwise(0.0) for c, p in zip(counts, shares)), F.lit(0.0))
-    df = F.greatest(used - 1, F.lit(1)).cast("double")
-    z = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    uniform = F.when(z > 0, upper_tail(F.least(z, F.lit(30.0)))).otherwise(F.lit(0.5))
-    change = 1 - sum((p * p for p in shares), F.lit(0.0))
-    runs = F.regexp_count(token, F.lit(CLASS_RUNS)) - 1
-    run_p = two_sided((runs - (n - 1) * change) / F.sqrt(F.greatest((n - 1) * change * (1 - change), F.lit(0.25))))
-    codes = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), lambda c: F.ascii(c).cast("double"))
-    sums = F.aggregate(
-        codes,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("c"), F.lit(0.0).alias("last")),
-        lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"), (a["c"] + a["last"] * x).alias("c"), x.alias("last")),
-    )
-    mean = sums["s"] / n
-    spread = sums["q"] - n * mean * mean
-    first, last = F.element_at(codes, 1), F.element_at(codes, -1)
-    around = sums["c"] - mean * (2 * sums["s"] - first - last) + (n - 1) * mean * mean
-    serial = F.when(spread > 0, two_sided(around / spread * F.sqrt(n))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), 3 * F.least(uniform, run_p, serial))
+
+    def facts(t: Column) -> Column:
+        code = F.lit(len(ENCODINGS))
+        for k in range(len(ENCODINGS) - 2, -1, -1):
+            code = F.when(t.rlike(ENCODINGS[k][1]), k + 1).otherwise(code)
+        shares = F.element_at(F.array(*[F.array(*[F.lit(x) for x in share]) for _, _, share in ENCODINGS]), code)
+        counts = F.array(*[F.regexp_count(t, F.lit(c)).cast("double") for c in ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]")])
+        codes = F.transform(F.regexp_extract_all(t, F.lit("."), F.lit(0)), lambda c: F.ascii(c).cast("double"))
+        runs = F.regexp_count(t, F.lit(CLASS_RUNS)).cast("double")
+        return F.struct(F.length(t).cast("double").alias("n"), shares.alias("shares"), counts.alias("counts"), codes.alias("codes"), runs.alias("runs"))
+
+    def tests(f: Column) -> Column:
+        n = f["n"]
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        chi = total(F.zip_with(f["counts"], f["shares"], lambda c, p: F.when(p > 0, (c - n * p) * (c - n * p) / (n * p)).otherwise(0.0)))
+        df = (F.size(F.filter(f["shares"], lambda p: p > 0)) - 1).cast("double")
+        deviate = let(df, lambda d: (F.pow(chi / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d)))
+        uniform = let(deviate, lambda z: F.when(z > 0, upper_tail(F.least(z, F.lit(30.0)))).otherwise(0.5))
+        change = 1 - total(F.transform(f["shares"], lambda p: p * p))
+        runs = let(change, lambda q: two_sided((f["runs"] - 1 - (n - 1) * q) / F.sqrt((n - 1) * q * (1 - q))))
+        centred = let(total(f["codes"]) / n, lambda mean: F.transform(f["codes"], lambda c: c - mean))
+        serial = let(centred, lambda d: let(total(F.transform(d, lambda c: c * c)), lambda v: F.when(v > 0, two_sided(total(F.transform(d, lambda c, i: c * F.coalesce(F.get(d, i + 1), F.lit(0.0)))) / v * F.sqrt(n))).otherwise(0.0)))
+        return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+
+    return let(F.regexp_replace(token, "=+$", ""), lambda t: let(facts(t), tests))
 
 
 def natural_log_p(token: Column, rate: Column) -> Column:

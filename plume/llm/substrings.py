@@ -196,8 +196,13 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 continue
             row = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
             at = np.concatenate(places)
+            order = np.lexsort((at, short[at], long[at], row))
+            before, after = order[:-1], order[1:]
+            again = np.zeros(len(at), dtype=bool)
+            again[after] = (row[before] == row[after]) & (long[at[before]] == long[at[after]]) & (short[at[before]] == short[at[after]])
             yield pd.DataFrame(
                 {
+                    "again": again,
                     "long": long[at].view(np.int64),
                     "short": short[at].view(np.int32),
                     "doc_id": frame["doc_id"].to_numpy()[row],
@@ -218,11 +223,13 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     runs = stored(runs, "runs")
     discard(found)
     windows = marked(known, runs.filter("not copied").select("doc_id", "text_key", "runs"))
-    windows = windows.mapInPandas(verify, "long long, short int, doc_id long, text_key long, start int")
+    windows = windows.mapInPandas(verify, "again boolean, long long, short int, doc_id long, text_key long, start int")
     windows = stored(windows, "windows")
-    first = windows.groupBy("long", "short").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select(F.col("long").alias("l"), F.col("short").alias("s"), "first")
-    later = windows.join(first, (F.col("long") == F.col("l")) & (F.col("short") == F.col("s"))).filter(F.struct("doc_id", "text_key", "start") != F.col("first"))
+    # what repeats an earlier window of its own text needs no other document
+    single = windows.filter(~F.col("again"))
+    first = single.groupBy(F.col("long").alias("l"), F.col("short").alias("s")).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).filter("lowest < highest")
+    crossed = single.join(first, (F.col("long") == F.col("l")) & (F.col("short") == F.col("s"))).filter(F.col("doc_id") > F.col("lowest"))
+    later = crossed.select("doc_id", "text_key", "start").union(windows.filter("again").select("doc_id", "text_key", "start"))
     later = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     wholly = runs.filter("copied").select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("starts"))
     return stored(later.union(wholly), "repeats")
@@ -238,7 +245,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words. Rows of one doc_id and text are one
     document and get equal results; rows of one doc_id and different texts
-    are ordered by a hash of the text. Rows without a doc_id are left as
+    don't make each other's windows repeats. Rows without a doc_id are left as
     they are and make nothing a repeat. Texts shorter than a window keep all
     words; an empty table gives an empty result.
     """
