@@ -188,7 +188,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             long, short = window_prints(h, size)
             offset, places, starts = 0, [], []
             for n, runs in zip(counts, frame["runs"]):
-                own = np.concatenate([np.arange(r["first"], r["first"] + r["number"]) for r in runs])
+                own = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["number"]) for r in runs]))
                 starts.append(own)
                 places.append(own + offset)
                 offset += n + 1
