@@ -108,7 +108,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
 
     The target model counts hashed n-grams in labelled documents of quality
     1 (at most ``rows`` labelled ones are read, the least by a hash of
-    doc_id), the raw model in all documents. A document's log_ratio is the
+    doc_id, and half of them is put aside for the threshold), the raw model
+    in all documents. A document's log_ratio is the
     logarithm of target over raw probability of its n-grams, the threshold's
     mean per n-gram taken off, where the threshold is the one that parts the
     labelled documents best. The sample has as many documents as are above
@@ -127,9 +128,11 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = usable.orderBy(unit_hash(F.lit("quality"), F.col("doc_id")), "doc_id").limit(rows)
     sample = docs.join(F.broadcast(picked), "doc_id").withColumn("good", (F.col("quality") == 1).cast("int")).select("doc_id", "text", "good")
+    # one half makes the model, the other, which the model hasn't seen, the threshold
+    half = unit_hash(F.lit("half"), F.col("doc_id")) < 0.5
 
     raw = bucket_counts(docs) + 0.5
-    target = bucket_counts(sample.filter("good = 1"))
+    target = bucket_counts(sample.filter((F.col("good") == 1) & half))
     target = target + 0.5 * (target.sum() + 1) / raw.sum() * raw / raw.mean()
     ratio = spark.sparkContext.broadcast(np.log(target / target.sum()) - np.log(raw / raw.sum()))
 
@@ -138,7 +141,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
             found = [ratio.value[ngrams(t)] for t in frame["text"]]
             yield frame.drop(columns="text").assign(n_ngrams=[len(x) for x in found], total=[float(x.sum()) for x in found])
 
-    judged = for_python(sample, "good").mapInPandas(rate, "doc_id string, good int, n_ngrams long, total double").toPandas()
+    judged = for_python(sample.filter(~half), "good").mapInPandas(rate, "doc_id string, good int, n_ngrams long, total double").toPandas()
     judged = judged[judged["n_ngrams"] > 0].sort_values(["doc_id", "total"])
     threshold = best_threshold((judged["total"] / judged["n_ngrams"]).to_numpy(), judged["good"].to_numpy(dtype=float))
     shift = 0.0 if np.isinf(threshold) else threshold
