@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def rotate(u: Column, v: Column, angle: Column) -> tuple[Column, Column]:
     return u * F.cos(angle) - v * F.sin(angle), u * F.sin(angle) + v * F.cos(angle)
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each computed once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), F.lit(0))
+
+
 def geodesic_inverse(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 4) -> Column:
     """struct(distance m, azimuth degrees) on WGS84 by Vincenty's formula with a fixed number of rounds.
 
@@ -31,36 +37,48 @@ def geodesic_inverse(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rou
     fold, so that the expression stays small. Equal points are 0 m apart.
     """
     u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
-    start = F.struct(
-        (F.radians(lon2) - F.radians(lon1)).alias("l"),
-        F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"),
-        (F.radians(lon2) - F.radians(lon1)).alias("lam"),
-        *[F.lit(0.0).alias(n) for n in ("sin_s", "cos_s", "s", "cos2a", "c2m")],
-    )
-
-    def step(p: Column, _: Column) -> Column:
-        s1, c1, s2, c2, lam = (p[n] for n in ("s1", "c1", "s2", "c2", "lam"))
-        across, along = c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)
-        sin_s = F.sqrt(across * across + along * along)
-        cos_s = s1 * s2 + c1 * c2 * F.cos(lam)
-        s = F.atan2(sin_s, cos_s)
-        sin_a = F.when(sin_s > 0, c1 * c2 * F.sin(lam) / F.nullif(sin_s, F.lit(0.0))).otherwise(0.0)
-        cos2a = 1 - sin_a * sin_a
-        c2m = F.when(cos2a > 1e-15, cos_s - 2 * s1 * s2 / F.nullif(cos2a, F.lit(0.0))).otherwise(0.0)
-        c = FLAT / 16 * cos2a * (4 + FLAT * (4 - 3 * cos2a))
-        lam = p["l"] + (1 - c) * FLAT * sin_a * (s + c * sin_s * (c2m + c * cos_s * (2 * c2m * c2m - 1)))
-        return F.struct(p["l"].alias("l"), s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"), lam.alias("lam"), sin_s.alias("sin_s"), cos_s.alias("cos_s"), s.alias("s"), cos2a.alias("cos2a"), c2m.alias("c2m"))
-
-    def finish(p: Column) -> Column:
-        q = p["cos2a"] * (A * A - B * B) / (B * B)
-        big_a = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
-        big_b = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
-        c2m, cos_s, sin_s = p["c2m"], p["cos_s"], p["sin_s"]
-        ds = big_b * sin_s * (c2m + big_b / 4 * (cos_s * (2 * c2m * c2m - 1) - big_b / 6 * c2m * (4 * sin_s * sin_s - 3) * (4 * c2m * c2m - 3)))
-        azimuth = F.atan2(p["c2"] * F.sin(p["lam"]), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(p["lam"]))
-        return F.struct((B * big_a * (p["s"] - ds)).alias("distance"), F.degrees(azimuth).alias("azimuth"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
+    way = F.radians(lon2) - F.radians(lon1)
+
+    def measure(p: Column, lam: Column) -> Column:
+        """The sphere's arc at longitude difference ``lam``, and the next difference."""
+        turned = let(
+            lambda q: let(
+                lambda r: let(
+                    lambda t: let(
+                        lambda w: F.struct(
+                            (p["l"] + (1 - w["c"]) * FLAT * t["sin_a"] * (t["s"] + w["c"] * t["sin_s"] * (t["c2m"] + w["c"] * t["cos_s"] * (2 * t["c2m"] * t["c2m"] - 1)))).alias("lam"),
+                            t["sin_s"].alias("sin_s"), t["cos_s"].alias("cos_s"), t["s"].alias("s"), t["cos2a"].alias("cos2a"), t["c2m"].alias("c2m"),
+                        ),
+                        c=FLAT / 16 * t["cos2a"] * (4 + FLAT * (4 - 3 * t["cos2a"])),
+                    ),
+                    sin_s=r["sin_s"], cos_s=r["cos_s"], s=r["s"], sin_a=r["sin_a"], cos2a=1 - r["sin_a"] * r["sin_a"],
+                    c2m=F.when(1 - r["sin_a"] * r["sin_a"] > 1e-15, r["cos_s"] - 2 * p["s1"] * p["s2"] / F.nullif(1 - r["sin_a"] * r["sin_a"], F.lit(0.0))).otherwise(0.0),
+                ),
+                sin_s=q["sin_s"], cos_s=q["cos_s"], s=F.atan2(q["sin_s"], q["cos_s"]),
+                sin_a=F.when(q["sin_s"] > 0, p["c1"] * p["c2"] * F.sin(lam) / F.nullif(q["sin_s"], F.lit(0.0))).otherwise(0.0),
+            ),
+            sin_s=F.hypot(p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)), cos_s=p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam),
+        )
+        return turned
+
+    def finish(p: Column, m: Column) -> Column:
+        def correct(k: Column) -> Column:
+            c2m, cos_s, sin_s = m["c2m"], m["cos_s"], m["sin_s"]
+            ds = k["b"] * sin_s * (c2m + k["b"] / 4 * (cos_s * (2 * c2m * c2m - 1) - k["b"] / 6 * c2m * (4 * sin_s * sin_s - 3) * (4 * c2m * c2m - 3)))
+            azimuth = F.atan2(p["c2"] * F.sin(m["lam"]), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(m["lam"]))
+            return F.struct((B * k["a"] * (m["s"] - ds)).alias("distance"), F.degrees(azimuth).alias("azimuth"))
+
+        return let(
+            lambda q: let(correct, a=1 + q["q"] / 16384 * (4096 + q["q"] * (-768 + q["q"] * (320 - 175 * q["q"]))), b=q["q"] / 1024 * (256 + q["q"] * (-128 + q["q"] * (74 - 47 * q["q"])))),
+            q=m["cos2a"] * ((A * A - B * B) / (B * B)),
+        )
+
+    def solve(p: Column) -> Column:
+        start = F.struct(p["l"].alias("lam"), *[F.lit(0.0).alias(n) for n in ("sin_s", "cos_s", "s", "cos2a", "c2m")])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: measure(p, m["lam"]), lambda m: finish(p, m))
+
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.when(known, let(lambda u: let(solve, l=u["l"], s1=F.sin(u["u1"]), c1=F.cos(u["u1"]), s2=F.sin(u["u2"]), c2=F.cos(u["u2"])), l=way, u1=u1, u2=u2))
 
 
 def geodesic_forward(lon: Column, lat: Column, azimuth: Column, distance: Column, rounds: int = 4) -> Column:
