@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def whole_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+_held: list = [None, None]
+
+
+def remembered(owner: str, make: Callable):
+    """What ``owner`` remembers in this worker; what another operator remembered is dropped.
+
+    A worker serves one operator after another, so that their memories
+    would add up.
+    """
+    if _held[0] != owner:
+        _held[:] = [owner, None]
+        _held[1] = make()
+    return _held[1]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-REMEMBERED_WORDS = 300_000
+from plume.llm.common import remembered
+
+REMEMBERED_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -18,12 +20,10 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     """The hash of each word; equal words have equal ones in every process."""
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = remembered("words", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -13,14 +13,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, small_batches, whole_ids
+from plume.llm.common import for_python, remembered, small_batches, whole_ids
 
 CAPACITY = 4096
 END = 1
 #: Pieces that are packed together in one task.
 CHUNK_PIECES = 1 << 15
 #: Text parts whose ids a worker remembers; then it starts anew.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
 
 #: Parts of printable ASCII and Latin letters, which no normal form changes.
 PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
@@ -91,9 +91,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_known: dict[str, PartIds] = {}
-
-
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -101,9 +98,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     ids are those of its parts between spaces and line ends, one after
     another.
     """
-    if path not in _known:
-        _known[path] = PartIds(path)
-    return _known[path].of(texts)
+    return remembered(f"parts of {path}", lambda: PartIds(path)).of(texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, small_batches, stored, unit_hash, whole_ids
+from plume.llm.common import for_python, remembered, small_batches, stored, unit_hash, whole_ids
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
@@ -19,7 +19,7 @@ BUCKETS = 1 << 15
 FIT_ROWS = 20_000
 #: Scale of the Gumbel noise; 1 samples in proportion to the weights, 0 takes the best.
 TEMPERATURE = 0.05
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 
 
 class Hashes(dict):
@@ -30,9 +30,6 @@ class Hashes(dict):
         return value
 
 
-_hashes = Hashes()
-
-
 def ngrams(text: str | None) -> np.ndarray:
     """Buckets of a text's tokens and pairs of neighbours.
 
@@ -40,7 +37,8 @@ def ngrams(text: str | None) -> np.ndarray:
     repeats the one before it gives one bucket, whichever it is.
     """
     tokens = TOKEN.findall((text or "").lower())
-    one = np.fromiter(map(_hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    known = remembered("tokens", Hashes)
+    one = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77)) % np.uint64(0xFFFFFFFB)
     buckets = np.concatenate([one % np.uint64(BUCKETS - 1) + np.uint64(1), two % np.uint64(BUCKETS - 1) + np.uint64(1)])
     buckets[len(one) :][one[:-1] == one[1:]] = 0

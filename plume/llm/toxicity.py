@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, small_batches, unit_hash, whole_ids
+from plume.llm.common import for_python, remembered, small_batches, unit_hash, whole_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Hashed terms; each word gives itself and its first four and six letters.
@@ -23,7 +23,7 @@ TERMS = 4096
 FACTORS = 8
 #: Most labelled documents that a model is fitted on, the least by a hash of doc_id.
 FIT_ROWS = 12_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 
 
 class Terms(dict):
@@ -38,13 +38,10 @@ class Terms(dict):
         return found
 
 
-_terms = Terms()
-
-
 def terms_of(text: str | None) -> np.ndarray:
     """Distinct hashed terms of a whole text; none for a null or empty one."""
-    words = set(LETTERS.findall((text or "").lower()))
-    return np.unique(np.frombuffer(b"".join([_terms[w] for w in words]), dtype=np.uint32))
+    words, known = set(LETTERS.findall((text or "").lower())), remembered("terms", Terms)
+    return np.unique(np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint32))
 
 
 @dataclass
