@@ -129,9 +129,9 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", *[F.round(c, 6).alias(c) for c in ("x_wind", "y_wind", "sst")])
 
 
-@query(joined("particles forcing", BRACKET + " SELECT event_id, round(coalesce(t0 * (1 - coalesce((sec - s0) / nullif(s1 - s0, 0)::DOUBLE, 0)) + t1 * coalesce((sec - s0) / nullif(s1 - s0, 0)::DOUBLE, 0), t0, t1), 5) AS sst FROM ba"))
+@query(joined("particles forcing", BRACKET + " SELECT event_id, round(coalesce(t0 * (1 - coalesce((sec - s0) / nullif(s1 - s0, 0)::DOUBLE, 0)) + t1 * coalesce((sec - s0) / nullif(s1 - s0, 0)::DOUBLE, 0), t0, t1), 9) AS sst FROM ba"))
 def time_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.time_lerp(particles(spark, sf_dir), forcing(spark, sf_dir), "sec", ["sst"]).select("event_id", F.round("sst", 5).alias("sst"))
+    return joins.time_lerp(particles(spark, sf_dir), forcing(spark, sf_dir), "sec", ["sst"]).select("event_id", F.round("sst", 9).alias("sst"))
 
 
 SPEED = "sqrt(x_wind * x_wind + y_wind * y_wind)"
