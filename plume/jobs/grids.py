@@ -152,8 +152,8 @@ def okubo_weiss(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = told.groupBy("ix", "iy").agg(half("u", 1, 0).alias("ux"), half("u", 0, 1).alias("uy"), half("v", 1, 0).alias("vx"), half("v", 0, 1).alias("vy")).dropna()
     d = d.join(f.select("ix", "iy"), ["ix", "iy"], "left_semi")
     o = d.select("ix", "iy", (F.col("vx") - F.col("uy")).alias("w"), ((F.col("ux") - F.col("vy")) ** 2 + (F.col("vx") + F.col("uy")) ** 2 - (F.col("vx") - F.col("uy")) ** 2).alias("o"))
-    spread = o.agg(F.stddev_pop("o").alias("std"))  # one row
-    return o.crossJoin(F.broadcast(spread)).select("ix", "iy", F.round("w", 8).alias("vorticity"), F.round("o", 8).alias("ow"), (F.col("o") < -0.2 * F.col("std")).alias("eddy"))
+    spread = o.agg(F.stddev_pop("o")).scalar()
+    return o.select("ix", "iy", F.round("w", 8).alias("vorticity"), F.round("o", 8).alias("ow"), (F.col("o") < -0.2 * spread).alias("eddy"))
 
 
 @query(joined("bathymetry", MESH + ", m AS (SELECT l.node, avg(o.value) AS mean FROM links l JOIN nodes o ON o.node = l.other GROUP BY l.node), n1 AS (SELECT node, value * 0.8e0 + coalesce(mean, value) * 0.2e0 AS value FROM nodes LEFT JOIN m USING (node)), m1 AS (SELECT l.node, avg(o.value) AS mean FROM links l JOIN n1 o ON o.node = l.other GROUP BY l.node) SELECT node, round(value * 0.8e0 + coalesce(mean, value) * 0.2e0, 6) AS value FROM n1 LEFT JOIN m1 USING (node)"))
