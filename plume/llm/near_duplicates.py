@@ -18,10 +18,6 @@ from plume.llm.hashing import hashes, mixed, sequences
 SKETCH = 48
 #: A longer inverted list gives no pairs.
 LONG_LIST = 48
-#: A class with this many values outside long lists needs no more.
-ENOUGH = 16
-#: Of a class's values in long lists, so many are searched group by group.
-SEARCHED = 8
 #: Shingles of a block in such a group.
 BLOCK_SHINGLES = 1_000_000
 
@@ -59,6 +55,14 @@ def least_hits(k: int, share: float) -> int:
     return max(1, math.floor(k * share - 6 * math.sqrt(k * share * (1 - share))))
 
 
+def least_shared(percent: int) -> Column:
+    """Sketch values that a class of m shingles shares with any class linked to it, as :func:`least_hits` has them."""
+    limits = F.array(*[F.lit(least_hits(k, percent / 100)) for k in range(1, SKETCH + 1)])
+    smallest = F.floor((F.col("m") * percent + 99) / 100)
+    size = F.least(smallest - F.floor((smallest * percent + 99) / 100) + 1, F.col("k"))
+    return F.element_at(limits, size.cast("int"))
+
+
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class and sketch of every row; the smallest values of one hash."""
 
@@ -137,11 +141,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     values give pairs and their overlaps; pairs with too few shared values
     among the smallest of their sketches' union are dropped, with a margin
     of six standard deviations; the rest are verified on full sets. A list
-    of over ``LONG_LIST`` classes gives no pairs: nearly all classes have
-    enough other values, and those that don't (short or boilerplate texts,
-    members of large groups of near copies) are compared list by list, in
-    blocks of bounded size, on their full sets, which gives no more than one
-    edge per class and block. So no task or table holds all pairs of a group.
+    of over ``LONG_LIST`` classes gives no pairs. Linked classes that share
+    values in long lists alone share at least t of them, with the same
+    margin, so each class with l >= t values there is searched by its first
+    l - t + 1 in one order: two such classes have one of these in common. In
+    each list the searched classes are compared on their full sets, in
+    blocks of bounded size, which gives no more than one edge per class and
+    block. So no task or table holds all pairs of a group.
 
     Null texts and texts without words have the empty set and are linked
     with nothing. Rows that repeat a doc_id or a text are members of one
@@ -160,11 +166,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     lists = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("value", "of")
     entries = stored(entries.join(lists, F.col("value") == F.col("of")).drop("of"), "lists")
 
-    # classes whose values are mostly in long lists
+    # pairs that share values in long lists alone share at least so many of them, so their first
+    # long - least + 1 values in one order (rare ones first) have one in common
     long = entries.filter(F.col("n") > LONG_LIST)
-    crowded = long.groupBy("class").agg(F.first("k").alias("k"), F.count("*").alias("long"), F.sort_array(F.collect_list("value")).alias("values"))
-    crowded = stored(crowded, "crowded")
-    searched = crowded.filter(F.col("k") - F.col("long") < ENOUGH).select("class", F.explode(F.slice("values", 1, SEARCHED)).alias("value"))
+    crowded = long.groupBy("class").agg(F.first("m").alias("m"), F.first("k").alias("k"), F.count("*").cast("int").alias("long"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    crowded = stored(crowded.withColumn("prefix", F.col("long") - least_shared(percent) + 1), "crowded")
+    searched = crowded.filter("prefix > 0").select("class", F.explode(F.slice("values", F.lit(1), F.col("prefix"))["value"]).alias("value"))
 
     # overlaps of the other lists
     lists = entries.filter(F.col("n") <= LONG_LIST).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("class", "m", "k", "at"))).alias("all"))
@@ -172,14 +179,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     each = F.transform("all", lambda x, i: F.transform(F.filter(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     pairs = lists.select(F.explode(F.flatten(each)).alias("p")).groupBy(F.col("p.a.class").alias("a"), F.col("p.b.class").alias("b"))
     pairs = pairs.agg(F.first(F.least("p.a.k", "p.b.k")).alias("k"), F.collect_list(F.col("p.a.at") + F.col("p.b.at")).alias("places"))
-    pairs = pairs.withColumn("hits", pair_hits(F.col("places"), F.col("k"))).drop("places")
+    pairs = pairs.withColumn("hits", pair_hits(F.col("places"), F.col("k"))).withColumn("shared", F.size("places")).drop("places")
     limits = F.array(*[F.lit(least_hits(k, share)) for k in range(1, SKETCH + 1)])
     sure = pairs.filter(F.col("hits") >= F.element_at(limits, F.col("k")))
-    # values in long lists may be shared, too
+    # values in long lists may be shared, too, and bring others among the first of the union
     maybe = pairs.filter(F.col("hits") < F.element_at(limits, F.col("k")))
     missed = crowded.select(F.col("class"), "long")
     maybe = maybe.join(missed.toDF("a", "long_a"), "a").join(missed.toDF("b", "long_b"), "b")
-    maybe = maybe.filter(F.col("hits") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
+    maybe = maybe.filter(F.col("shared") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
     pairs = stored(sure.select("a", "b").union(maybe.select("a", "b")), "pairs")
 
     # full sets of what is to be verified

@@ -104,6 +104,18 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 2)
 
 
+def test_a_star_around_a_common_text(spark):
+    """Copies with long tails of their own are linked with the common text alone, over values that all share."""
+    common = [f"c{k}" for k in range(501)]
+    rows = [(i, " ".join(common + [f"t{i}x{k}" for k in range(124 if i else 0)]), "s") for i in range(2000)]
+    # every text holds the 500 shingles of the common one, and those beyond them are its own
+    assert 100 * 500 >= 80 * (500 + 124) and 100 * 500 < 80 * (500 + 2 * 124)
+    assert len(set().union(*(shingles(t, 2) for _, t, _ in rows[1:]))) == 500 + 1999 * 124
+    got = near_duplicates.near_duplicates(documents(spark, rows), n=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict.fromkeys(range(2000), 0)
+    assert brute_components(rows[:150], 2) == dict.fromkeys(range(150), 0)
+
+
 def test_quality_rules(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark)).collect()}
     for doc_id, text, _ in texts():
