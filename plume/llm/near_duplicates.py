@@ -18,8 +18,9 @@ from plume.llm.hashing import hashes, mixed, sequences
 SKETCH = 48
 #: A longer inverted list gives no pairs.
 LONG_LIST = 48
-#: Shingles of a block in such a group.
+#: Shingles and, about, classes of a block of such a list.
 BLOCK_SHINGLES = 1_000_000
+BLOCK_CLASSES = 2000
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -92,35 +93,46 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return sets.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
 
 
-def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect the linked classes of one group, at most one per class.
+def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int, own: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the linked classes of a block, or of two blocks across, at most one per class.
 
-    Intersections of all sets are counted by products of incidence blocks.
+    ``own`` is the block of each class. Intersections of sets are counted by
+    products of incidence blocks, for some rows at a time.
     """
+    n = len(sets)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = counts[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = 1024
+    first, second = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    common = np.zeros((len(first), len(second)), dtype=np.float32)
+    width, strip = 1024, 256
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         low, high = np.searchsorted(column, [at, at + width])
-        block = np.zeros((len(sets), width), dtype=np.float32)
+        block = np.zeros((n, width), dtype=np.float32)
         block[owner[low:high], column[low:high] - at] = 1
-        common += block @ block.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None] - common)
-    label = np.arange(len(sets))
-    while True:
-        new = np.where(linked, label[None], len(sets)).min(axis=1)
-        new = np.minimum(new, label)
-        new = new[new]
-        if (new == label).all():
-            return [(int(keys[i]), int(keys[r])) for i, r in enumerate(label) if i != r]
-        label = new
+        across = block[second].T
+        for k in range(0, len(first), strip):
+            common[k : k + strip] += block[first[k : k + strip]] @ across
+    linked = np.zeros((n, n), dtype=bool)
+    for k in range(0, len(first), strip):
+        rows, both = first[k : k + strip], common[k : k + strip].astype(np.int64)
+        near = 100 * both >= percent * (sizes[rows][:, None] + sizes[second][None] - both)
+        linked[np.ix_(rows, second)] |= near
+        linked[np.ix_(second, rows)] |= near.T
+    free, edges = np.ones(n, dtype=bool), []
+    for root in range(n):
+        if free[root]:
+            free[root], reached = False, [root]
+            while reached:
+                found = np.flatnonzero(linked[reached.pop()] & free)
+                free[found] = False
+                edges.extend((int(keys[i]), int(keys[root])) for i in found)
+                reached.extend(found)
+    return edges
 
 
 def pair_hits(low: Column, high: Column) -> Column:
@@ -146,7 +158,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     margin, so each class with l >= t values there is searched by its first
     l - t + 1 in one order: two such classes have one of these in common. In
     each list the searched classes are compared on their full sets, in
-    blocks of bounded size, which gives no more than one edge per class and
+    blocks of bounded shingles and classes, which gives no more than one edge per class and
     block. So no task or table holds all pairs of a group.
 
     Null texts and texts without words have the empty set and are linked
@@ -200,14 +212,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # long lists, block against block
     sized = searched.join(sets.select("class", "n_shingles"), "class")
-    totals = sized.groupBy("value").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")).withColumnRenamed("value", "of")
+    totals = sized.groupBy("value").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")).withColumnRenamed("value", "of")
     dealt = sized.join(totals, F.col("value") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
+    dealt = dealt.select("class", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("class")
-        found = group_links(frame["class"].to_numpy(), frame["n_shingles"].to_numpy(), frame["shingles"].tolist(), percent)
+        found = group_links(frame["class"].to_numpy(), frame["n_shingles"].to_numpy(), frame["shingles"].tolist(), percent, frame["own"].to_numpy())
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     links = links.union(dealt.groupBy("value", "low", "high").applyInPandas(compare, "u long, v long"))

@@ -116,6 +116,41 @@ def test_a_star_around_a_common_text(spark):
     assert brute_components(rows[:150], 2) == dict.fromkeys(range(150), 0)
 
 
+@pytest.mark.parametrize("own", [[0] * 9, [0, 1, 0, 1, 1, 0, 1, 0, 1]])
+def test_links_of_blocks(own):
+    """All within one block; of two, those across only."""
+    random = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(40), random.integers(0, 60, 6)])).astype(np.uint64) for _ in own]
+    own, sizes = np.array(own), np.array([len(s) for s in sets])
+    wide = {(i, j) for i in range(9) for j in range(9) if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j])) and (own.max() == 0 or own[i] != own[j])}
+    root = list(range(9))
+    for _ in range(9):
+        for i, j in wide:
+            root[i] = root[j] = min(root[i], root[j])
+    got = near_duplicates.group_links(np.arange(9), sizes, sets, 90, own)
+    assert {**dict(zip(range(9), range(9))), **dict(got)} == dict(enumerate(root)) and len(got) == len(dict(got))
+
+
+def test_short_near_copies_are_dealt_by_number(spark):
+    """Few shingles, many classes: no task gets more than two blocks of classes."""
+    common = " ".join(f"c{k}" for k in range(9))
+    rows = [(i, f"{common} t{i}", "s") for i in range(5000)]
+    seen = spark.sparkContext.accumulator(0)
+    most = near_duplicates.group_links
+
+    def watched(keys, sizes, sets, percent, own):
+        seen.add(1)
+        assert max(np.bincount(own - own.min())) <= 1.2 * near_duplicates.BLOCK_CLASSES
+        return most(keys, sizes, sets, percent, own)
+
+    near_duplicates.group_links = watched
+    try:
+        got = near_duplicates.near_duplicates(documents(spark, rows), n=2).collect()
+    finally:
+        near_duplicates.group_links = most
+    assert {r.component_id for r in got} == {0} and seen.value > 1
+
+
 def test_quality_rules(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark)).collect()}
     for doc_id, text, _ in texts():
