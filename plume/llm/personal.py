@@ -15,12 +15,16 @@ IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-#: A word, white space, and a string with a digit or @: a context and an instance.
-MENTION = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+#: A string with a digit or @: an instance.
+MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+FIRST_WORD = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
 ROUNDS = 3
 #: A pattern discovers if it has this score and this many different instances.
 LEAST_SCORE = 0.8
 LEAST_INSTANCES = 5
+#: Of a shape with fewer believed instances, the word before has to discover.
+SHAPE_SCORE = 0.5
 
 
 def digits(text: Column) -> Column:
@@ -44,30 +48,58 @@ def base_spans(text: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    """Strings with a digit or @ after a word: kind 4 spans of both together."""
-    return matches(text, MENTION, 4)
+    """Strings with a digit or @: start, end, match and the words before and after, which may be such strings, too."""
+    found = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    gaps = F.split(text, MENTION, -1)
+    blank = F.array(F.lit(""))
+    all = F.arrays_zip(
+        matches(text, MENTION, 4).alias("span"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("rest"),
+        F.concat(blank, found).alias("last"), F.slice(F.concat(found, blank), F.lit(2), F.size(found)).alias("then"),
+    )
+
+    def one(m: Column) -> Column:
+        before, after = F.regexp_extract(m["gap"], LAST_WORD, 1), F.regexp_extract(m["rest"], FIRST_WORD, 1)
+        span = m["span"]
+        return F.struct(
+            span["start"].alias("start"), span["end"].alias("end"), span["match"].alias("match"),
+            F.when(before == "", m["last"]).otherwise(before).alias("before"), F.when(after == "", m["then"]).otherwise(after).alias("after"),
+        )
+
+    return F.transform(F.filter(all, lambda m: m["span"].isNotNull()), one)
 
 
 def graph(found: DataFrame) -> DataFrame:
     """The pattern-instance edges: doc_id, text_key, pattern, instance, start, end, seed, shape.
 
-    A pattern is the lower-case word before an instance and the shape of the
-    instance: digits as 9, letters as a, runs cut to one, so that a context
-    speaks only for identifiers of one form.
+    A pattern is the lower-case word before (<) or after (>) an instance. A
+    string in a base span stands for the whole span, a seed. The shape of an
+    instance is apart: digits as 9, letters as a, runs cut to one.
     """
-    m = F.col("m.match")
-    instance = F.regexp_extract(m, r"([^\x20\x09-\x0D]*)$", 1)
-    word = F.regexp_extract(m, r"^([^\x20\x09-\x0D]+)", 1)
     edges = found.select("doc_id", "text_key", "base", F.explode("mentions").alias("m"))
-    edges = edges.select("doc_id", "text_key", "base", instance.alias("instance"), word.alias("word"), (F.col("m.end") - F.length(instance)).alias("start"), F.col("m.end").alias("end"))
+    span = F.get(F.filter("base", lambda s: (s["start"] < F.col("m.end")) & (F.col("m.start") < s["end"])), F.lit(0))
+    edges = edges.select("doc_id", "text_key", "m", span.alias("span"))
+    seed = F.col("span").isNotNull()
+    word = lambda side, name: F.concat(F.lit(side), F.regexp_replace(F.lower(name), "[0-9]+", "9"))
+    before = F.when((F.col("m.before") != "") & (~seed | (F.col("m.start") <= F.col("span.start"))), word("< ", "m.before"))
+    after = F.when((F.col("m.after") != "") & (~seed | (F.col("m.end") >= F.col("span.end"))), word("> ", "m.after"))
+    instance = F.when(seed, F.col("span.match")).otherwise(F.col("m.match"))
+    edges = edges.select("doc_id", "text_key", instance.alias("instance"), F.explode(F.array(before, after)).alias("pattern"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), seed.alias("seed"))
     shape = F.regexp_replace(F.regexp_replace("instance", r"\p{L}+", "a"), "[0-9]+", "9")
-    plain = F.regexp_replace(F.lower("word"), "[0-9]+", "9")
-    seed = overlaps(F.struct("start", "end"), F.col("base"))
-    return edges.select("doc_id", "text_key", "instance", F.concat_ws(" ", plain, shape).alias("pattern"), "start", "end", seed.alias("seed"))
+    return edges.filter("pattern is not null").withColumn("shape", shape)
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, score, instances: the patterns of the pattern-instance graph.
+def identifies(instance: Column) -> Column:
+    """Whether a string has the form of an identifier: 5 digits, or letters and digits, or @ and a name.
+
+    Digits alone that are as many as a card's were tested as such.
+    """
+    n, letters = F.length(digits(instance)), instance.rlike(r"\p{L}")
+    handle = instance.rlike(r"^[^\p{L}0-9@]*@[\p{L}0-9_.-]*\p{L}")
+    return F.when(letters, handle | ((n >= 2) & (F.length(F.regexp_replace(instance, r"[^\p{L}0-9]", "")) >= 5))).otherwise(n.between(5, 13))
+
+
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """pattern, score, instances: the patterns of the pattern-instance graph; and its edges with the instances' confidence.
 
     Seeds have confidence 1. In each round a pattern's score is the mean
     confidence of its different instances, and an instance that is no seed
@@ -79,22 +111,25 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     pairs = pairs.withColumn("confidence", F.col("seed").cast("double"))
     scores = None
     for _ in range(rounds):
-        scores = pairs.groupBy("pattern").agg(F.avg("confidence").alias("score"), F.count("*").alias("instances"), F.max("seed").alias("seeded"))
+        scores = pairs.groupBy("pattern").agg(F.avg("confidence").alias("score"), F.count("*").alias("instances"))
         # one instance alone says nothing about a pattern
         weight = F.when(F.col("instances") >= LEAST_INSTANCES, F.least("score", F.lit(0.999))).otherwise(F.lit(0.0))
         spread = pairs.select("pattern", "instance").join(scores.select("pattern", weight.alias("weight")), "pattern")
         believed = spread.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("weight"))))).alias("belief"))
         confidence = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("belief"))
         pairs = stored(pairs.join(believed, "instance").select("pattern", "instance", "seed", confidence.alias("confidence")), "patterns")
-    return scores.filter("seeded").select("pattern", "score", "instances")
+    return scores.select("pattern", "score", "instances"), pairs
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """Personal data in every row of ``docs`` (doc_id, text).
 
-    Returns doc_id, text_key, base and spans: base has the fixed forms; spans also what contexts find: strings of 5 to 13 digits that no base
+    Returns doc_id, text_key, base and spans: base has the fixed forms; spans
+    also what contexts find: strings of an identifier's form that no base
     span overlaps, after a word that in the whole corpus stands nearly
-    always before personal data of that shape.
+    always before personal data, whatever its shape; or before a word that
+    nearly always follows it, if the string's shape is one that is mostly
+    believed.
 
     A null text counts as empty. Rows are told apart by doc_id and a hash of
     the text, so equal rows get equal spans; an empty table gives an empty
@@ -105,10 +140,13 @@ def find_personal(docs: DataFrame) -> DataFrame:
     found = df.select("doc_id", "text_key", base_spans(F.col("text")).alias("base"), mentions(F.col("text")).alias("mentions"))
     found = stored(found, "personal")
     edges = stored(graph(found), "mentions")
-    good = score_patterns(edges).filter((F.col("score") >= LEAST_SCORE) & (F.col("instances") >= LEAST_INSTANCES))
-    # numbers as long as a card's were tested as such
-    size = F.length(digits(F.col("instance")))
-    fresh = edges.filter(~F.col("seed") & (size >= 5) & (size < 14)).join(good.select("pattern"), "pattern", "left_semi")
+    scores, pairs = score_patterns(edges)
+    good = scores.filter((F.col("score") >= LEAST_SCORE) & (F.col("instances") >= LEAST_INSTANCES))
+    instances = pairs.groupBy("instance").agg(F.max("confidence").alias("confidence"))
+    instances = instances.join(edges.filter(~F.col("seed") & identifies(F.col("instance"))).select("instance", "shape").distinct(), "instance")
+    shapes = instances.groupBy("shape").agg(F.avg("confidence").alias("shape_score"))
+    fresh = edges.filter(~F.col("seed") & identifies(F.col("instance"))).join(good.select("pattern"), "pattern", "left_semi").join(shapes, "shape")
+    fresh = fresh.filter(F.col("pattern").startswith("<") | (F.col("shape_score") >= SHAPE_SCORE))
     span = F.struct(F.col("start").cast("int").alias("start"), F.lit(4).alias("kind"), F.col("end").cast("int").alias("end"), F.col("instance").alias("match"))
     fresh = fresh.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set(span).alias("more"))
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text"))

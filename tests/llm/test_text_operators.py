@@ -223,6 +223,18 @@ def test_contexts_find_identifiers(spark):
     assert got[10].startswith("phone:") and got[101] == "" and got[200] == ""
 
 
+def test_contexts_find_unseen_shapes(spark):
+    """Identifiers of other forms, and one next to another, where base forms stand; none where other numbers do."""
+    rows = [(i, f"call phone +1 (706) 555-31{i:02d} now", "s") for i in range(10, 60)]
+    rows += [(100 + i, f"call phone {x} now", "s") for i, x in enumerate(["706-555-3199", "ab12cd34", "@someone", "12345", "987-65-4321"])]
+    rows += [(110, "phone 123-45-6789 987-65-4322 now", "s")]
+    rows += [(200 + i, f"room {5550000 + i} is free", "s") for i in range(30)] + [(300, "call phone 7 now", "s")]
+    got = {r.doc_id: r.spans for r in personal.personal(documents(spark, rows)).collect()}
+    assert [got[100 + i] for i in range(5)] == ["context:11:23", "context:11:19", "context:11:19", "context:11:16", "context:11:22"]
+    assert got[110] == "context:6:17,context:18:29"
+    assert got[300] == "" and not any(got[200 + i] for i in range(30))
+
+
 def test_redacted_texts(spark):
     docs = documents(spark)
     out = {r.doc_id: r for r in personal.redact(docs).collect()}
