@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Only a local session,
-    where there is one machine, may do without it.
+    It is the one named in ``spark.checkpoint.dir``, or the checkpoint folder
+    of the context. Only a local session, where there is one machine, may do
+    without both; its folder is beside its warehouse.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
@@ -31,10 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plume-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return context.getCheckpointDir()
 
 
+#: Rows of a batch that goes to Python at once.
+BATCH_ROWS = 500
+#: While a step runs: small batches of long texts; its shuffle files go when it is written.
+STEP_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Runs an action under ``STEP_SETTINGS``; the caller's settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in STEP_SETTINGS}
+    for k, v in STEP_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -43,22 +70,42 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with step(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing will read again."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def to_driver(df: DataFrame) -> pd.DataFrame:
+    """A small result of a Python step."""
+    with step(df.sparkSession):
+        return df.toPandas()
+
+
+#: Characters of texts that a worker holds in arrays at once; a longer text is alone.
+SLICE_CHARS = 2_000_000
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keeps Arrow batches of long texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(frames: Iterator[pd.DataFrame], most: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` (text and others) in parts of at most ``most`` characters, or of one row."""
+    for frame in frames:
+        start = held = 0
+        for at, size in enumerate(len(t) if t else 0 for t in frame["text"]):
+            if at > start and held + size > most:
+                yield frame.iloc[start:at]
+                start, held = at, 0
+            held += size
+        if start < len(frame):
+            yield frame.iloc[start:]
 
 
 def for_python(docs: DataFrame, *more: str | Column) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import by_ids, for_python, small_batches, stored, whole_ids
+from plume.llm.common import by_ids, for_python, stored, whole_ids
 from plume.llm.components import connected_components
 from plume.llm.hashing import hashes, mixed, sequences
 
@@ -167,7 +167,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     its component has no other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     share = percent / 100
     rows = stored(sketches(docs, n, percent), "sketches")
     kinds = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"))

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, small_batches, whole_ids
+from plume.llm.common import for_python, remembered, slices, stored, whole_ids
 
 CAPACITY = 4096
 END = 1
@@ -108,10 +108,9 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     ``end`` alone. Only documents over ``capacity`` are cut.
     """
     path, last = tokenizer or default_tokenizer(), np.array([end], dtype="<u4").tobytes()
-    small_batches(docs.sparkSession)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             rows = []
             for doc_id, ids in zip(frame["doc_id"], token_bytes([t or "" for t in frame["text"]], path)):
                 ids += last
@@ -184,7 +183,7 @@ def pack(pieces: DataFrame, chunks: int, capacity: int = CAPACITY) -> DataFrame:
         out = frame.iloc[order]
         return out.assign(sequence_id=(int(out["chunk"].iloc[0]) << 32) + bins, offset=offsets)[columns]
 
-    return whole_ids(dealt.groupBy("chunk").applyInPandas(place, schema)).select(columns)
+    return stored(whole_ids(dealt.groupBy("chunk").applyInPandas(place, schema)).select(columns), "sequences")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, small_batches, stored, unit_hash, whole_ids
+from plume.llm.common import for_python, remembered, stored, unit_hash, whole_ids
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
@@ -121,7 +121,6 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     text and (in ``labels``) doc_id, quality aren't read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = usable.orderBy(unit_hash(F.lit("quality"), F.col("doc_id")), "doc_id").limit(rows)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import by_ids, discard, for_python, small_batches, stored, whole_ids
+from plume.llm.common import discard, slices, stored, whole_ids
 from plume.llm.hashing import hashes, mixed
 
 WINDOW = 20
@@ -19,6 +19,8 @@ PAIR_ROUNDS = 3
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOWER = 0xFFFFFFFF
+UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 @dataclass
@@ -62,25 +64,44 @@ class Symbols:
         return Symbols(name, self.start[at], np.where(both, self.end[after], self.end[at]), low, high, self.wall[at])
 
 
-def window_prints(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes (64 and 32 bits) of each ``size`` neighbours in ``h``."""
-    n = max(0, len(h) - size + 1)
-    out = []
-    for base, scramble in ((BASE | np.uint64(1), np.uint64(0)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5))):
-        powers = np.full(len(h), base, dtype=np.uint64)
-        powers[:1] = 1
-        np.multiply.accumulate(powers, out=powers)
-        sums = np.append(np.uint64(0), np.add.accumulate(mixed(h ^ scramble) * powers))
-        inverse = np.full(len(h), np.uint64(pow(int(base), -1, 1 << 64)), dtype=np.uint64)
-        inverse[:1] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        out.append(mixed((sums[size:][:n] - sums[:n]) * inverse[:n]))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+class Prints:
+    """Hashes of word sequences at any place of ``h``: 64 and 32 independent bits each."""
 
+    BASES = ((BASE | np.uint64(1), np.uint64(0)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5A5A5A5A5A5A5)))
 
-def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Word hashes of all texts, a wall after each; the walls' mask; the numbers of words."""
-    split = [(t or "").encode().split() for t in texts]
+    def __init__(self, h: np.ndarray) -> None:
+        self.sums, self.inverse = [], []
+        for base, scramble in self.BASES:
+            powers = np.full(len(h), base, dtype=np.uint64)
+            powers[:1] = 1
+            np.multiply.accumulate(powers, out=powers)
+            self.sums.append(np.append(np.uint64(0), np.add.accumulate(mixed(h ^ scramble) * powers)))
+            inverse = np.full(len(h), np.uint64(pow(int(base), -1, 1 << 64)), dtype=np.uint64)
+            inverse[:1] = 1
+            np.multiply.accumulate(inverse, out=inverse)
+            self.inverse.append(inverse)
+
+    def long(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return mixed((self.sums[0][first + size] - self.sums[0][first]) * self.inverse[0][first])
+
+    def short(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The 32 bits, in the upper half of a number."""
+        both = (self.sums[1][first + size] - self.sums[1][first]) * self.inverse[1][first]
+        return mixed(both + np.asarray(size, dtype=np.uint64)) & UPPER
+
+
+def whole_windows(wall: np.ndarray, size: int) -> np.ndarray:
+    """Where a window starts that no wall cuts."""
+    n = len(wall)
+    whole = np.zeros(n, dtype=bool)
+    if n >= size:
+        walls = np.cumsum(wall)
+        whole[: n - size + 1] = (walls[size - 1 :] == walls[: n - size + 1]) & ~wall[: n - size + 1]
+    return whole
+
+
+def named(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes of the words of all texts, a wall after each; the walls' mask; the numbers of words."""
     counts = [len(w) for w in split]
     h = np.zeros(sum(counts) + len(counts), dtype=np.uint64)
     wall = np.ones(len(h), dtype=bool)
@@ -92,23 +113,23 @@ def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[in
     return h, wall, counts
 
 
+def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    return named([(t or "").encode().split() for t in texts])
+
+
 def anchors(h: np.ndarray, wall: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """For runs of neighbouring windows the symbol that stands for them: name, first window, number, weight.
+    """Runs of neighbouring windows for which one symbol stands: name, first window, number, print of all their words.
 
     Of all symbols that were made inside of a window alone, the one of the
     most words stands for it, of equal ones that of the least name. Equal
     windows are made of equal symbols, so they have the same one. A window
-    that holds none (inside of a long run) is named by its own hash. Weight
-    2: the run of windows alone holds a window twice.
+    that holds none (inside of a long run) is named by its own hash.
     """
     n = len(h)
     place = np.arange(n)
-    walls = np.cumsum(wall)
-    whole = np.zeros(n, dtype=bool)
-    if n >= size:
-        whole[: n - size + 1] = (walls[size - 1 :] == walls[: n - size + 1]) & ~wall[: n - size + 1]
+    whole = whole_windows(wall, size)
     if not whole.any():
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     depth = size.bit_length() - 1
     best = np.full((depth + 1, n + size), NONE, dtype=np.uint64)
     symbols = Symbols(h, place, place, place, place, wall).runs()
@@ -128,111 +149,115 @@ def anchors(h: np.ndarray, wall: np.ndarray, size: int = WINDOW) -> tuple[np.nda
         half = 1 << (level - 1)
         np.minimum(best[level - 1], best[level], out=best[level - 1])
         np.minimum(best[level - 1][half:], best[level][:-half], out=best[level - 1][half:])
-    key = best[0][:n]
-    prints = np.full(n, NONE, dtype=np.uint64)
-    prints[: n - size + 1] = window_prints(h, size)[0]
-    key = np.where(key == NONE, prints | np.uint64(1 << 63), key)
+    key, prints = best[0][:n], Prints(h)
+    bare = np.flatnonzero((key == NONE) & whole)
+    key[bare] = prints.long(bare, size) | np.uint64(1 << 63)
 
     new = np.ones(n, dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | ~whole[:-1]
     at = np.flatnonzero(new & whole)
     run = np.cumsum(new)
     number = np.bincount(run[whole], minlength=run[-1] + 1)[run[at]]
-    again = np.zeros(run[-1] + 1, dtype=bool)
-    for step in range(1, size):
-        twice = (prints[step:] == prints[:-step]) & (run[step:] == run[:-step]) & whole[step:] & whole[:-step]
-        again[run[step:][twice]] = True
-    weight = np.where(again[run[at]] | (number > size), 2, 1)
-    return key[at], at, number, weight
+    return key[at], at, number, prints.short(at, number + size - 1)
 
 
-def texts_by_id(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+def starts_of(runs: np.ndarray | None) -> np.ndarray:
+    """The windows of packed runs (first window, number of windows), each once."""
+    if runs is None or not len(runs):
+        return np.zeros(0, np.int64)
+    first, number = runs >> 32, runs & LOWER
+    start = np.repeat(first - np.cumsum(number) + number, number)
+    return np.unique(start + np.arange(len(start)))
 
 
-def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The texts that have marks, with them; only such texts are shuffled while their ids are few."""
-    return by_ids(docs, marks, "left_semi").join(marks, ["doc_id", "text_key"])
+def seen_before(prints: Prints, whole: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """Windows whose words also start earlier in the same document."""
+    at = np.flatnonzero(whole)
+    long, short = prints.long(at, size), prints.short(at, size)
+    order = np.argsort(long, kind="stable")  # places of one document stay in order and, for equal hashes, side by side
+    before, after = order[:-1], order[1:]
+    again = (long[before] == long[after]) & (short[before] == short[after]) & (owner[at[before]] == owner[at[after]])
+    return at[after[again]]
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, starts: the windows that also start earlier, for every document that has any.
+def texts_by_id(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", (F.hash("text").cast("long").bitwiseAND(F.lit(LOWER))).alias("check"))
 
-    ``docs`` has doc_id, text, text_key. Rounds of naming make symbols of
-    the words of each document; names are hashes of what they name, so that
-    they are the same in all tasks without any exchange. Symbols that stand
-    for windows in two places reveal what may be repeated; these windows
-    alone are compared by 96-bit hashes of their words.
+
+def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """of, of_check, runs: the runs of windows that also start in a document of a smaller doc_id.
+
+    ``docs`` has doc_id, text, check. Names are hashes of what they name, so
+    that they are the same in all tasks. First round: symbols of token runs
+    and pairs, one for each run of windows that has it inside; Spark counts
+    them, and those of one document alone are dropped. Second round: all
+    words of such a run of windows are one symbol of a higher level. Where
+    it occurs again, the whole run is a repeat; its first document stands for all.
+    Third round: where one low symbol has several high ones, the
+    windows of the first document of each are compared one by one.
+
+    Columns are packed, since they are most of what is shuffled: a tag has
+    32 bits of a hash of words and the check of the text, a run its first
+    window and its number of windows.
     """
 
     def reveal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             h, wall, counts = word_names(frame["text"].tolist())
-            name, at, number, weight = anchors(h, wall, size)
+            name, at, number, print_ = anchors(h, wall, size)
             offsets = np.cumsum([0, *(c + 1 for c in counts)])
             row = np.searchsorted(offsets, at, side="right") - 1
-            yield pd.DataFrame(
-                {
-                    "name": name.view(np.int64),
-                    "doc_id": frame["doc_id"].to_numpy()[row],
-                    "text_key": frame["text_key"].to_numpy()[row],
-                    "first": (at - offsets[row]).astype(np.int32),
-                    "number": number.astype(np.int32),
-                    "weight": weight.astype(np.int32),
-                }
-            )
+            # a document says each high symbol once
+            key = mixed(name + mixed(print_ | row.astype(np.uint64)))
+            once = np.sort(np.unique(key, return_index=True)[1])
+            name, at, number, print_, row = name[once], at[once], number[once], print_[once], row[once]
+            check = frame["check"].to_numpy(dtype=np.uint64)[row]
+            run = (at - offsets[row]) << 32 | number
+            yield pd.DataFrame({"name": name.view(np.int64), "doc_id": frame["doc_id"].to_numpy()[row], "tag": (print_ | check).view(np.int64), "run": run})
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             h, _, counts = word_names(frame["text"].tolist())
-            long, short = window_prints(h, size)
-            offset, places, starts = 0, [], []
-            for n, runs in zip(counts, frame["runs"]):
-                own = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["number"]) for r in runs]))
-                starts.append(own)
-                places.append(own + offset)
-                offset += n + 1
-            if not starts:
-                continue
-            row = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
-            at = np.concatenate(places)
-            order = np.lexsort((at, short[at], long[at], row))
-            before, after = order[:-1], order[1:]
-            again = np.zeros(len(at), dtype=bool)
-            again[after] = (row[before] == row[after]) & (long[at[before]] == long[at[after]]) & (short[at[before]] == short[at[after]])
-            yield pd.DataFrame(
-                {
-                    "again": again,
-                    "long": long[at].view(np.int64),
-                    "short": short[at].view(np.int32),
-                    "doc_id": frame["doc_id"].to_numpy()[row],
-                    "text_key": frame["text_key"].to_numpy()[row],
-                    "start": np.concatenate(starts).astype(np.int32),
-                }
-            )
+            prints = Prints(h)
+            offsets = np.cumsum([0, *(c + 1 for c in counts)])
+            own = [starts_of(r) for r in frame["runs"]]
+            row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+            start = np.concatenate(own)
+            at = start + offsets[row]
+            long, short = prints.long(at, size), prints.short(at, size)
+            once = np.sort(np.unique(mixed(long + mixed(short | row.astype(np.uint64))), return_index=True)[1])
+            row, start, long, short = row[once], start[once], long[once], short[once]
+            check = frame["check"].to_numpy(dtype=np.uint64)[row]
+            yield pd.DataFrame({"print": long.view(np.int64), "doc_id": frame["doc_id"].to_numpy()[row], "tag": (short | check).view(np.int64), "start": start.astype(np.int32)})
 
     known = docs.filter("doc_id is not null")
-    found = stored(known.mapInPandas(reveal, "name long, doc_id long, text_key long, first int, number int, weight int"), "symbols")
-    often = found.groupBy("name").agg(F.sum("weight").alias("n")).filter("n > 1").select(F.col("name").alias("of"))
-    runs = found.join(often, F.col("name") == F.col("of")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
-    # of equal texts the first alone is compared; the others repeat it wholly
-    copies = known.groupBy(F.col("text_key").alias("key"), F.hash("text").alias("check")).agg(F.min("doc_id").alias("original"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1").groupBy("key").agg(F.min("original").alias("original"), F.count("*").alias("texts")).filter("texts = 1")
-    runs = runs.join(copies, F.col("text_key") == F.col("key"), "left")
-    runs = runs.withColumn("copied", F.coalesce(F.col("doc_id") > F.col("original"), F.lit(False))).select("doc_id", "text_key", "runs", "copied")
-    runs = stored(runs, "runs")
-    discard(found)
-    windows = marked(known, runs.filter("not copied").select("doc_id", "text_key", "runs"))
-    windows = windows.mapInPandas(verify, "again boolean, long long, short int, doc_id long, text_key long, start int")
-    windows = stored(windows, "windows")
-    # what repeats an earlier window of its own text needs no other document
-    single = windows.filter(~F.col("again"))
-    first = single.groupBy(F.col("long").alias("l"), F.col("short").alias("s")).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).filter("lowest < highest")
-    crossed = single.join(first, (F.col("long") == F.col("l")) & (F.col("short") == F.col("s"))).filter(F.col("doc_id") > F.col("lowest"))
-    later = crossed.select("doc_id", "text_key", "start").union(windows.filter("again").select("doc_id", "text_key", "start"))
-    later = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    wholly = runs.filter("copied").select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("starts"))
-    return stored(later.union(wholly), "repeats")
+    upper, check = F.shiftright("tag", 32).cast("int"), F.col("tag").bitwiseAND(F.lit(LOWER))
+    symbols = stored(known.mapInPandas(reveal, "name long, doc_id long, tag long, run long"), "symbols")
+    # low symbols of several documents
+    high = symbols.select("name", "doc_id", upper.alias("high"))
+    low = high.groupBy(F.col("name").alias("of")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("high").alias("h0"), F.max("high").alias("h1"))
+    low = low.filter("least < most").select("of", (F.col("h0") < F.col("h1")).alias("several"))
+    shared = stored(symbols.join(low, F.col("name") == F.col("of")).drop("of"), "shared")
+    discard(symbols)
+    # high symbols: all but the first document repeat the whole run
+    first = shared.groupBy(F.col("name").alias("of"), upper.alias("high")).agg(F.min("doc_id").alias("least"))
+    runs = shared.withColumn("own_high", upper).join(first, (F.col("name") == F.col("of")) & (F.col("own_high") == F.col("high")))
+    later = F.col("doc_id") > F.col("least")
+    runs = runs.filter(later | F.col("several")).groupBy(F.col("doc_id").alias("of"), check.alias("of_check"))
+    runs = stored(runs.agg(F.collect_list(F.when(later, F.col("run"))).alias("sure"), F.collect_list(F.when(~later, F.col("run"))).alias("runs")), "runs")
+    discard(shared)
+    # windows at the ends of repeats
+    open_ = runs.filter(F.size("runs") > 0).select("of", "of_check", "runs")
+    open_ = known.join(open_, (F.col("doc_id") == F.col("of")) & (F.col("check") == F.col("of_check"))).select("doc_id", "text", "check", "runs")
+    windows = stored(open_.mapInPandas(verify, "print long, doc_id long, tag long, start int"), "windows")
+    split = windows.withColumn("short", upper)
+    first = split.groupBy(F.col("print").alias("p"), F.col("short").alias("s")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    again = split.join(first, (F.col("print") == F.col("p")) & (F.col("short") == F.col("s"))).filter(F.col("doc_id") > F.col("least"))
+    again = again.groupBy(F.col("doc_id").alias("of"), check.alias("of_check")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + 1).alias("sure"))
+    both = runs.select("of", "of_check", "sure").filter(F.size("sure") > 0).unionByName(again)
+    out = stored(both.groupBy("of", "of_check").agg(F.flatten(F.collect_list("sure")).alias("runs")), "repeats")
+    discard(runs, windows)
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -245,34 +270,36 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words. Rows of one doc_id and text are one
     document and get equal results; rows of one doc_id and different texts
-    don't make each other's windows repeats. Rows without a doc_id are left as
-    they are and make nothing a repeat. Texts shorter than a window keep all
-    words; an empty table gives an empty result.
+    don't make each other's windows repeats. A row without a doc_id is compared with
+    itself alone. Texts shorter than a window keep all words; an empty table gives
+    an empty result. Texts are held in memory for a bounded number of
+    characters at a time, or one by one if longer.
     """
-    small_batches(docs.sparkSession)
     docs = texts_by_id(docs)
-    repeats = repeated_windows(docs, size)
+    repeats = repeated_runs(docs, size)
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
+            split = [(t or "").encode().split() for t in frame["text"]]
+            h, wall, counts = named(split)
+            offsets = np.cumsum([0, *(c + 1 for c in counts)])
+            own = [starts_of(r) for r in frame["runs"]]
+            starts = [s + offset for s, offset in zip(own, offsets)]
+            starts.append(seen_before(Prints(h), whole_windows(wall, size), np.cumsum(wall), size))
+            starts = np.concatenate(starts)
+            change = np.bincount(starts, minlength=len(h) + size + 1) - np.bincount(starts + size, minlength=len(h) + size + 1)
+            stays = np.cumsum(change)[: len(h)] == 0
             rows = []
-            for text, starts, repeated in zip(frame["text"], frame["starts"], frame["repeated"]):
-                words = (text or "").encode().split()
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if repeated and starts is None:
-                    kept = []
-                elif repeated:
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, np.asarray(starts) + size, -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
-                else:
-                    kept = words
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
-            yield out.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "n_words", "n_removed", "kept_sha256"]]
-
-    touched = by_ids(docs, repeats, "left_semi").join(repeats.withColumn("repeated", F.lit(True)), ["doc_id", "text_key"], "left")
-    rest = by_ids(docs, repeats, "left_anti").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("repeated", F.lit(None).cast("boolean"))
-    rows = touched.select("doc_id", "text", "starts", "repeated").union(rest.select("doc_id", "text", "starts", "repeated"))
-    rows = for_python(rows, "starts", F.coalesce("repeated", F.lit(False)).alias("repeated"))
-    return whole_ids(rows.mapInPandas(finish, "doc_id string, n_words long, n_removed long, kept_sha256 string"))
+            for doc_id, words, offset in zip(frame["doc_id"], split, offsets):
+                kept = [words[i] for i in np.flatnonzero(stays[offset : offset + len(words)])]
+                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
+
+    none = F.lit(None).cast("array<bigint>")
+    same = (F.col("doc_id") == F.col("of")) & (F.col("check") == F.col("of_check"))
+    rows = docs.filter("doc_id is not null").join(repeats, same, "left").select("doc_id", "text", "runs")
+    rows = rows.union(docs.filter("doc_id is null").select("doc_id", "text", none))
+    out = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "runs").mapInPandas(finish, "doc_id string, n_words long, n_removed long, kept_sha256 string")
+    out = stored(whole_ids(out), "without-repeats")
+    discard(repeats)
+    return out

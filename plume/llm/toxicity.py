@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, small_batches, unit_hash, whole_ids
+from plume.llm.common import for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Hashed terms; each word gives itself and its first four and six letters.
@@ -143,18 +143,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     doc_id, text and (in ``labels``) doc_id, toxic aren't read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    sample = labelled_terms(docs, labels, rows).toPandas()
+    sample = to_driver(labelled_terms(docs, labels, rows))
     # the order in which rows arrive must not change the model
     sample = sample.assign(key=[(len(t), zlib.crc32(np.asarray(t, dtype=np.int32).tobytes())) for t in sample["terms"]]).sort_values(["key", "label"])
     machine = fit([np.asarray(t, dtype=np.int64) for t in sample["terms"]], sample["label"].to_numpy(dtype=float))
     model = spark.sparkContext.broadcast(machine)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             scores = np.array([model.value.score(terms_of(t)) for t in frame["text"]], dtype=float)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": scores})
 
     scored = whole_ids(for_python(docs).mapInPandas(score, "doc_id string, score double"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return stored(scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), "toxicity")
