@@ -144,15 +144,21 @@ def unit_hash(*columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-#: Up to so many ids (8 MB) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with id_key and text_key, which tell rows apart by doc_id and text, nulls too.
 
+    Rows of equal keys are equal in both.
+    """
+    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull(), F.col("text").isNull())
+    return docs.withColumn("id_key", id_key.cast("long")).withColumn("text_key", text_key)
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) among ``ids``.
 
-    The size of ``ids`` is counted first. Rows without a doc_id are in no
-    list of ids.
-    """
-    ids = ids.select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+KEYS = ["id_key", "text_key"]
+#: Up to so many keys (16 MB) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def by_keys(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """``docs`` (with keys) joined with ``marks`` (keys and others); the size of ``marks`` is counted first."""
+    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, KEYS, how)

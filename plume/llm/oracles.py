@@ -16,24 +16,33 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+#: One more of the times that a source is gone through.
+GO_THROUGH = """
+f{b} AS (SELECT *, NOT got AND rank IS NOT NULL AND size <= gap AS fits FROM r{a}),
+o{b} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN got THEN NULL ELSE rank END NULLS LAST, doc_id) <= gap AS more FROM f{b}),
+r{b} AS (SELECT * EXCLUDE (gap, got, fits, more), gap - coalesce(sum(size) FILTER (more) OVER (PARTITION BY source), 0) AS gap, got OR more AS got FROM o{b})"""
+
 MIX = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2 AS most FROM s),
 f AS (SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own
   FROM w WINDOW o AS (ORDER BY most / weight::DOUBLE, source NULLS LAST)),
 l AS (SELECT *, first_value(CASE WHEN own * weight <= most THEN own END IGNORE NULLS) OVER (ORDER BY most / weight::DOUBLE, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS level FROM f),
 t AS (SELECT source, source_size, least(CASE WHEN level IS NULL THEN most::DOUBLE ELSE level * weight END, most::DOUBLE) AS target FROM l),
-u AS (SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
-  (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CAST(floor(ratio + 1e-12) AS BIGINT) AS whole, greatest(ratio - floor(ratio + 1e-12), 0) AS part, greatest(target - floor(ratio + 1e-12) * source_size, 0) AS missing FROM u),
-k AS (SELECT *, (u / (1 - u)) * (1 - part) / greatest(part, 1e-300) AS rank FROM q),
-i AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) <= missing AS taken_in FROM k),
-h AS (SELECT source AS s, any_value(missing) - coalesce(sum(size) FILTER (taken_in), 0) AS short FROM i GROUP BY source),
-j AS (SELECT * FROM i JOIN h ON source IS NOT DISTINCT FROM s),
-b AS (SELECT source AS bs, arg_min(doc_id, (abs(short - size), rank, doc_id)) AS best FROM j WHERE NOT taken_in AND size > 0 AND size < 2 * short GROUP BY source)
-SELECT doc_id, size, source_size, target, CAST(least(whole + CASE WHEN taken_in OR doc_id = best THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken
-FROM j LEFT JOIN b ON source IS NOT DISTINCT FROM bs"""
+g AS (SELECT d.source, size, source_size, target, CAST(floor(sqrt(size) * 1024) AS BIGINT) AS measure, count(*) AS n FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+e AS (SELECT *, (target - coalesce(sum(2 * size::HUGEINT * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / nullif(sum(size::HUGEINT * n * measure) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS own FROM g WINDOW o AS (PARTITION BY source ORDER BY size DESC)),
+v AS (SELECT *, first_value(CASE WHEN own * measure <= 2 THEN own END IGNORE NULLS) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS c FROM e),
+y AS (SELECT source, size, source_size, target, greatest(CASE WHEN c IS NULL THEN 2e0 ELSE least(c * measure, 2e0) END, 0e0) AS expected FROM v),
+u AS (SELECT d.doc_id, d.source, d.size, source_size, target, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS part,
+  (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u
+  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.size = y.size),
+r0 AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) * ((1 - part) / part) END AS rank, target - sum(whole * size) OVER (PARTITION BY source) AS gap, false AS got FROM u),
+{",".join(GO_THROUGH.format(a=k, b=k + 1) for k in range(3))},
+b AS (SELECT source AS bs, arg_min(doc_id, (abs(gap - size), rank, doc_id)) AS best FROM r3 WHERE NOT got AND rank IS NOT NULL AND size > 0 AND size < 2 * gap GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN got OR doc_id = best THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM r3 LEFT JOIN b ON source IS NOT DISTINCT FROM bs"""
 
 STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
