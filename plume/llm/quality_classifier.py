@@ -8,17 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, stored, unit_hash, whole_ids
+from plume.llm.common import for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
-#: Most labelled documents that the target model and the threshold are fitted on.
+#: Most labelled documents that the target model is fitted on.
 FIT_ROWS = 20_000
-#: Scale of the Gumbel noise; 1 samples in proportion to the weights, 0 takes the best.
-TEMPERATURE = 0.05
+#: Most n-grams that a text counts for, about.
+EVIDENCE = 50.0
+#: 1 samples in proportion to the weights; towards 0 the best are taken.
+TEMPERATURE = 1.0
 REMEMBERED_WORDS = 200_000
 
 
@@ -50,36 +52,17 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for frame in frames:
-            for text in frame["text"]:
-                total += np.bincount(ngrams(text), minlength=BUCKETS) if len(text or "") > 20_000 else 0
-            short = [ngrams(t) for t in frame["text"] if len(t or "") <= 20_000]
-            if short:
-                total += np.bincount(np.concatenate(short), minlength=BUCKETS)
+        for frame in slices(frames):
+            total += np.bincount(np.concatenate([ngrams(t) for t in frame["text"]]), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
 
-    rows = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = to_driver(docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     out = np.zeros(BUCKETS)
     out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
     return out
 
 
-def best_threshold(rates: np.ndarray, good: np.ndarray) -> float:
-    """The rate at which the mean of the two classes' error shares is least."""
-    if not 0 < good.sum() < len(good):
-        return -np.inf
-    order = np.argsort(rates, kind="stable")
-    lost = np.concatenate([[0], np.cumsum(good[order])]) / good.sum()
-    missed = 1 - np.concatenate([[0], np.cumsum(1 - good[order])]) / (1 - good).sum()
-    sums = lost + missed
-    sums[1:-1][np.diff(rates[order]) == 0] = np.inf  # no cut between equal rates
-    best = np.flatnonzero(sums == sums.min())
-    cut = int(best[len(best) // 2])
-    ends = np.concatenate([[-np.inf], rates[order], [np.inf]])
-    return float((ends[cut] + ends[cut + 1]) / 2)
-
-
 def top_threshold(df: DataFrame, key: str, most: int) -> float:
     """The key of the ``most``-th row from above, found by counting in ever smaller ranges."""
     low, high = df.agg(F.min(key), F.max(key)).first()
@@ -101,52 +84,54 @@ def top_threshold(df: DataFrame, key: str, most: int) -> float:
     return low
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with doc_id, n_ngrams, log_ratio, key, kept.
+def gumbel_key(log_weight: Column, seed: Column, *row: Column) -> Column:
+    """log_weight plus standard Gumbel noise that depends on the seed and the row: the greatest k are a sample by weight."""
+    return log_weight - F.log(-F.log(unit_hash(seed, *row)))
+
+
+def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, share: float | None = None, temperature: float = TEMPERATURE, seed: str = "gumbel") -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with doc_id, n_ngrams, log_weight, key, kept.
 
     The target model counts hashed n-grams in labelled documents of quality
     1 (at most ``rows`` labelled ones are read, the least by a hash of
-    doc_id, and half of them is put aside for the threshold), the raw model
-    in all documents. A document's log_ratio is the
-    logarithm of target over raw probability of its n-grams, the threshold's
-    mean per n-gram taken off, where the threshold is the one that parts the
-    labelled documents best. The sample has as many documents as are above
-    it; Gumbel top-k draws it: those of the largest log_ratio +
-    ``temperature`` times Gumbel noise from a hash of doc_id.
-
-    Null and empty texts have no n-grams and log_ratio 0: they count as
-    neither better nor worse than the threshold and are kept unless the
-    noise decides otherwise. Rows that tie at the last place are all kept.
-    With labels of one kind only every row is kept. Columns besides doc_id,
-    text and (in ``labels``) doc_id, quality aren't read.
+    doc_id), the raw model in all documents. With r the mean logarithm of
+    target over raw probability of a document's n n-grams, log_weight is
+    r * n * E / (n + E) / ``temperature`` with E = ``EVIDENCE``: n-grams of one text depend
+    on each other, so that no text counts for more than E of them. The
+    sample has ``share`` of all rows, and that of quality 1 among the labels
+    read if none is given; Gumbel top-k draws it without replacement in
+    proportion to the weights: those of the largest log_weight + noise from
+    a hash of seed, doc_id and text.
+
+    Null and empty texts have no n-grams and log_weight 0, the raw average:
+    they are drawn like any. Equal rows have one key; rows that tie at the last place
+    are all kept. With labels of one kind only, or none, every row is kept, unless ``share`` is
+    given. Columns besides doc_id, text and (in ``labels``) doc_id, quality
+    aren't read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = usable.orderBy(unit_hash(F.lit("quality"), F.col("doc_id")), "doc_id").limit(rows)
-    sample = docs.join(F.broadcast(picked), "doc_id").withColumn("good", (F.col("quality") == 1).cast("int")).select("doc_id", "text", "good")
-    # one half makes the model, the other, which the model hasn't seen, the threshold
-    half = unit_hash(F.lit("half"), F.col("doc_id")) < 0.5
+    good, all_ = picked.agg(F.sum((F.col("quality") == 1).cast("int")), F.count("*")).first()
+    if share is None:
+        share = good / all_ if good else 1.0
 
     raw = bucket_counts(docs) + 0.5
-    target = bucket_counts(sample.filter((F.col("good") == 1) & half))
+    # picked has at most ``rows`` rows of two numbers
+    target = bucket_counts(docs.join(F.broadcast(picked.filter("quality = 1")), "doc_id", "left_semi"))
     target = target + 0.5 * (target.sum() + 1) / raw.sum() * raw / raw.mean()
     ratio = spark.sparkContext.broadcast(np.log(target / target.sum()) - np.log(raw / raw.sum()))
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             found = [ratio.value[ngrams(t)] for t in frame["text"]]
             yield frame.drop(columns="text").assign(n_ngrams=[len(x) for x in found], total=[float(x.sum()) for x in found])
 
-    judged = for_python(sample.filter(~half), "good").mapInPandas(rate, "doc_id string, good int, n_ngrams long, total double").toPandas()
-    judged = judged[judged["n_ngrams"] > 0].sort_values(["doc_id", "total"])
-    threshold = best_threshold((judged["total"] / judged["n_ngrams"]).to_numpy(), judged["good"].to_numpy(dtype=float))
-    shift = 0.0 if np.isinf(threshold) else threshold
-
-    scored = whole_ids(for_python(docs).mapInPandas(rate, "doc_id string, n_ngrams long, total double"))
-    noise = -F.log(-F.log(unit_hash(F.lit("gumbel"), F.col("doc_id"))))
-    scored = scored.select("doc_id", "n_ngrams", (F.col("total") - shift * F.col("n_ngrams")).alias("log_ratio"))
-    scored = stored(scored.withColumn("key", F.col("log_ratio") + temperature * noise), "resample")
-    most = scored.filter("log_ratio >= 0").count() if np.isfinite(threshold) else scored.count()
+    scored = whole_ids(for_python(docs, F.xxhash64("text").alias("tie")).mapInPandas(rate, "doc_id string, tie long, n_ngrams long, total double"))
+    weight = F.col("total") * EVIDENCE / (F.col("n_ngrams") + EVIDENCE) / temperature
+    scored = scored.withColumn("log_weight", weight).withColumn("key", gumbel_key(F.col("log_weight"), F.lit(seed), F.col("doc_id"), F.col("tie")))
+    scored = stored(scored.select("doc_id", "n_ngrams", "log_weight", "key"), "resample")
+    most = round(share * scored.count())
     least = top_threshold(scored, "key", most) if most else np.inf
     return scored.withColumn("kept", F.col("key") >= F.lit(least))
