@@ -159,6 +159,6 @@ KEYS = ["id_key", "text_key"]
 BROADCAST_KEYS = 1_000_000
 
 
-def by_keys(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """``docs`` (with keys) joined with ``marks`` (keys and others); the size of ``marks`` is counted first."""
-    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, KEYS, how)
+def by_keys(docs: DataFrame, marks: DataFrame, how: str, keys: list[str] = KEYS) -> DataFrame:
+    """``docs`` (with keys) joined with ``marks`` (keys and a few numbers, one row each); the size of ``marks`` is counted first."""
+    return docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, keys, how)
