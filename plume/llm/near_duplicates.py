@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import by_ids, for_python, stored, whole_ids
+from plume.llm.common import KEYS, by_keys, discard, for_python, slices, stored, whole_ids, with_keys
 from plume.llm.components import connected_components
 from plume.llm.hashing import hashes, mixed, sequences
 
 #: Retained values of a sketch.
 SKETCH = 48
+#: Sets of up to so many shingles are retained whole.
+WHOLE = 60
 #: A longer inverted list gives no pairs.
 LONG_LIST = 48
 #: Shingles and, about, classes of a block of such a list.
@@ -65,30 +67,29 @@ def least_shared(percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class and sketch of every row; the smallest values of one hash."""
+    """doc_id, keys, n_shingles, class and sketch of every row; the smallest values of one hash, or all of a small set."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             out = []
             for text in frame["text"]:
                 s = shingle_set(text, n)
-                out.append((len(s), class_key(s) if len(s) else None, s[: sketch_size(len(s), percent)].view(np.int64) if len(s) else None))
-            size, key, sketch = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": np.array(size, dtype=np.int64), "class": pd.array(key, dtype="Int64"), "sketch": list(sketch)})
+                out.append((len(s), class_key(s) if len(s) else None, s[: len(s) if len(s) <= WHOLE else sketch_size(len(s), percent)].view(np.int64) if len(s) else None))
+            size, key, sketch = zip(*out)
+            yield frame.drop(columns="text").assign(n_shingles=np.array(size, dtype=np.int64), sketch=list(sketch), **{"class": pd.array(key, dtype="Int64")})
 
-    return whole_ids(for_python(docs).mapInPandas(read, "doc_id string, n_shingles long, class long, sketch array<long>"))
+    return whole_ids(for_python(with_keys(docs), *KEYS).mapInPandas(read, "doc_id string, id_key long, text_key long, n_shingles long, class long, sketch array<long>"))
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, n_shingles and whole set of the documents with the ids in ``wanted``."""
+    """class, n_shingles and whole set of the documents with the keys in ``wanted``, one of each class."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             sets = [shingle_set(t, n) for t in frame["text"]]
-            sets = [s for s in sets if len(s)]
-            yield pd.DataFrame({"class": pd.array([class_key(s) for s in sets], dtype="int64"), "n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "shingles": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"class": np.array([class_key(s) for s in sets], dtype=np.int64), "n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
-    texts = by_ids(docs.select("doc_id", "text"), wanted, "left_semi")
+    texts = by_keys(with_keys(docs.select("doc_id", "text")), wanted, "left_semi").select("text")
     sets = texts.mapInPandas(read, "class long, n_shingles long, shingles array<long>")
     return sets.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
 
@@ -141,39 +142,48 @@ def pair_hits(low: Column, high: Column) -> Column:
     return F.size(F.filter(ranks, lambda r: r < high))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """p (structs a and b): pairs of entries (value and others, with class and m) in one list whose sizes allow a link."""
+    columns = [c for c in entries.columns if c != "value"]
+    lists = entries.groupBy("value").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all"))
+    near = lambda x, y: (100 * x["m"] >= percent * y["m"]) & (100 * y["m"] >= percent * x["m"])
+    each = F.transform("all", lambda x, i: F.transform(F.filter(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return lists.select(F.explode(F.flatten(each)).alias("p"))
 
-    Documents are linked if their sets of n-word shingles (A-Z in lower
-    case) have a Jaccard similarity of ``percent`` / 100 or more.
-    component_id is the smallest doc_id reachable over links; kept marks it.
 
-    Documents of equal sets are one class, and one of them stands for it. A
-    sketch keeps the smallest values of one hash. Inverted lists of these
-    values give pairs and their overlaps; pairs with too few shared values
-    among the smallest of their sketches' union are dropped, with a margin
-    of six standard deviations; the rest are verified on full sets. A list
-    of over ``LONG_LIST`` classes gives no pairs. Linked classes that share
-    values in long lists alone share at least t of them, with the same
-    margin, so each class with l >= t values there is searched by its first
-    l - t + 1 in one order: two such classes have one of these in common. In
-    each list the searched classes are compared on their full sets, in
-    blocks of bounded shingles and classes, which gives no more than one edge per class and
-    block. So no task or table holds all pairs of a group.
+def rare_prefixes(kinds: DataFrame, percent: int) -> DataFrame:
+    """class, m, value, n: of each small set, retained whole, its rarest values, n of them in lists of the small sets.
 
-    Null texts and texts without words have the empty set and are linked
-    with nothing. Rows that repeat a doc_id or a text are members of one
-    class or linked through it; a null doc_id is never a component_id unless
-    its component has no other. An empty table gives an empty result.
+    Two sets of the asked similarity share one of their first m - ceil(s m)
+    + 1 values in any common order, here from rare to frequent.
+    """
+    small = kinds.filter(F.col("m") <= WHOLE).select("class", "m", F.explode("sketch").alias("value"))
+    counts = small.groupBy(F.col("value").alias("of")).agg(F.count("*").alias("n"))
+    ranked = small.join(counts, F.col("value") == F.col("of")).groupBy("class").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    prefix = F.col("m") - F.floor((F.col("m") * percent + 99) / 100).cast("int") + 1
+    return ranked.select("class", "m", F.explode(F.slice("values", F.lit(1), prefix)).alias("v")).select("class", "m", "v.value", "v.n").filter("n > 1")
+
+
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, keys, n_shingles, class and root of every row of ``docs``: see :func:`near_duplicates`.
+
+    root is the least class of the component; rows without words have neither.
     """
-    spark = docs.sparkSession
     share = percent / 100
     rows = stored(sketches(docs, n, percent), "sketches")
-    kinds = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"))
+    one = F.min(F.struct(*KEYS)).alias("rep")
+    kinds = rows.filter("class is not null").groupBy("class").agg(one, F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"))
     kinds = stored(kinds, "classes")
+    # a set so small that only an equal one is similar has no links with other classes
+    open_ = kinds.filter(F.floor(100 * F.col("m") / percent) > F.col("m"))
+
+    # small sets, by their rarest values
+    rare = stored(rare_prefixes(open_, percent), "rare")
+    rare_pairs = list_pairs(rare.filter(F.col("n") <= LONG_LIST).drop("n"), percent).select("p.a.class", "p.b.class").toDF("a", "b")
 
     # inverted lists of retained values
-    entries = kinds.select("class", "m", F.size("sketch").alias("k"), F.posexplode("sketch").alias("at", "value"))
+    large = open_.filter(F.col("m") > WHOLE * share).withColumn("sketch", F.slice("sketch", F.lit(1), F.least(F.col("m") - F.floor((F.col("m") * percent + 99) / 100).cast("int") + 1, F.lit(SKETCH))))
+    entries = large.select("class", "m", F.size("sketch").alias("k"), F.posexplode("sketch").alias("at", "value"))
     lists = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("value", "of")
     entries = stored(entries.join(lists, F.col("value") == F.col("of")).drop("of"), "lists")
 
@@ -183,12 +193,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     crowded = long.groupBy("class").agg(F.first("m").alias("m"), F.first("k").alias("k"), F.count("*").cast("int").alias("long"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     crowded = stored(crowded.withColumn("prefix", F.col("long") - least_shared(percent) + 1), "crowded")
     searched = crowded.filter("prefix > 0").select("class", F.explode(F.slice("values", F.lit(1), F.col("prefix"))["value"]).alias("value"))
+    searched = stored(searched.union(rare.filter(F.col("n") > LONG_LIST).select("class", "value")), "searched")
 
     # overlaps of the other lists
-    lists = entries.filter(F.col("n") <= LONG_LIST).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("class", "m", "k", "at"))).alias("all"))
-    near = lambda x, y: (100 * x["m"] >= percent * y["m"]) & (100 * y["m"] >= percent * x["m"])
-    each = F.transform("all", lambda x, i: F.transform(F.filter(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = lists.select(F.explode(F.flatten(each)).alias("p")).groupBy(F.col("p.a.class").alias("a"), F.col("p.b.class").alias("b"))
+    pairs = list_pairs(entries.filter(F.col("n") <= LONG_LIST).drop("n"), percent).groupBy(F.col("p.a.class").alias("a"), F.col("p.b.class").alias("b"))
     pairs = pairs.agg(F.first(F.least("p.a.k", "p.b.k")).alias("k"), F.collect_list(F.col("p.a.at") + F.col("p.b.at")).alias("places"))
     pairs = pairs.withColumn("hits", pair_hits(F.col("places"), F.col("k"))).withColumn("shared", F.size("places")).drop("places")
     limits = F.array(*[F.lit(least_hits(k, share)) for k in range(1, SKETCH + 1)])
@@ -198,22 +206,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     missed = crowded.select(F.col("class"), "long")
     maybe = maybe.join(missed.toDF("a", "long_a"), "a").join(missed.toDF("b", "long_b"), "b")
     maybe = maybe.filter(F.col("shared") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
-    pairs = stored(sure.select("a", "b").union(maybe.select("a", "b")), "pairs")
+    pairs = sure.select("a", "b").union(maybe.select("a", "b"))
+    # one class of each long list, with which all others of it are compared first
+    pivots = searched.groupBy(F.col("value").alias("of")).agg(F.min_by("class", F.xxhash64("class", "value")).alias("a"))
+    pairs = pairs.union(rare_pairs).union(searched.join(pivots, F.col("value") == F.col("of")).filter(F.col("class") != F.col("a")).select(F.least("a", "class"), F.greatest("a", "class"))).distinct()
+    pairs = stored(pairs, "pairs")
 
     # full sets of what is to be verified
     used = pairs.select("a").union(pairs.select("b")).union(searched.select("class")).distinct().toDF("class")
-    wanted = stored(kinds.join(used, "class", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
+    wanted = stored(kinds.join(used, "class", "left_semi").select("rep.*"), "wanted")
     sets = stored(wanted_sets(docs, wanted, n), "sets")
     full = pairs.join(sets.toDF("a", "size_a", "set_a"), "a").join(sets.toDF("b", "size_b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     full = full.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common")))
-    links = full.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    # long lists, block against block
-    sized = searched.join(sets.select("class", "n_shingles"), "class")
-    totals = sized.groupBy("value").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")).withColumnRenamed("value", "of")
-    dealt = sized.join(totals, F.col("value") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    links = stored(full.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    roots = stored(connected_components(links), "roots")
+
+    # long lists, block against block; the classes of a list's main component aren't compared with each other
+    placed = searched.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = stored(placed.join(sets.select("class", "n_shingles"), "class"), "placed")
+    parts = placed.groupBy("value", "root").agg(F.count("*").alias("classes"), F.sum("n_shingles").alias("n_shingles"))
+    main = parts.groupBy(F.col("value").alias("of")).agg(F.max_by("root", F.struct("classes", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    parts = parts.join(main, F.col("value") == F.col("of"))
+    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("n_shingles"))) / BLOCK_SHINGLES), F.ceil(F.sum(F.when(own, F.col("classes"))) / BLOCK_CLASSES)).cast("int")
+    is_main = F.col("root") == F.col("main")
+    totals = parts.groupBy("of", "main").agg(blocks(~is_main).alias("others"), blocks(is_main).alias("mains"))
+    dealt = placed.join(totals, F.col("value") == F.col("of"))
+    dealt = dealt.withColumn("own", F.when(is_main, F.col("others") + F.pmod(F.xxhash64("class"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
     dealt = dealt.select("class", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -221,11 +241,65 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         found = group_links(frame["class"].to_numpy(), frame["n_shingles"].to_numpy(), frame["shingles"].tolist(), percent, frame["own"].to_numpy())
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    links = links.union(dealt.groupBy("value", "low", "high").applyInPandas(compare, "u long, v long"))
+    across = stored(dealt.groupBy("value", "low", "high").applyInPandas(compare, "u long, v long"), "across")
+    roots = stored(connected_components(roots.toDF("u", "v").union(across)), "components").withColumnRenamed("node", "of")
+    out = rows.drop("sketch").join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
+    out = stored(out, "groups")
+    discard(rows, kinds, rare, entries, crowded, searched, pairs, wanted, sets, links, placed, across)
+    return out
 
-    roots = connected_components(links)
-    placed = kinds.select("class", "rep").join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(least, "root").select(F.col("class").alias("of"), "component_id")
-    out = rows.join(placed, F.col("class") == F.col("of"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked if their sets of n-word shingles (A-Z in lower
+    case) have a Jaccard similarity of ``percent`` / 100 or more.
+    component_id is the smallest doc_id reachable over links; kept marks it.
+
+    Documents of equal sets are one class, and one of them stands for it. A
+    sketch keeps the smallest values of one hash. Inverted lists of these
+    values give pairs and their overlaps; pairs with too few shared values
+    among the smallest of their sketches' union are dropped, with a margin
+    of six standard deviations; the rest are verified on full sets. Sets of
+    up to ``WHOLE`` shingles are retained whole and meet in the lists of
+    their rarest values, without a margin.
+
+    A list of over ``LONG_LIST`` classes gives no pairs. Linked classes that share
+    values in long lists alone share at least t of them, with the same
+    margin, so each class with l >= t values there is searched by its first
+    l - t + 1 in one order: two such classes have one of these in common. In
+    each long list all classes are compared with one of them first. Then
+    those of different components are compared on their full sets, in
+    blocks of bounded shingles and classes, which gives no more than one
+    edge per class and block; the list's main component is compared with the
+    others alone. So no task or table holds all pairs of a group, and a
+    large group of copies of one text costs about its size.
+
+    Null texts and texts without words have the empty set and are linked
+    with nothing. Rows that repeat a doc_id or a text are members of one
+    class or linked through it; a null doc_id is never a component_id unless
+    its component has no other. An empty table gives an empty result.
+    """
+    groups = near_groups(docs, n, percent)
+    least = groups.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    out = groups.join(least, F.col("root") == F.col("of"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (any columns) with one row of each group of near-duplicates, that of the least doc_id.
+
+    Rows are told apart by doc_id and text: of several texts with one doc_id
+    each is judged for itself, and of equal rows of a group that stays one is
+    left. Rows without a doc_id stay if their group has no other. Texts without words are
+    linked with nothing, so all of them stay. An empty table stays empty.
+    """
+    groups = near_groups(docs, n, percent).filter("root is not null")
+    first = groups.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *KEYS)).alias("stays"))
+    rows = groups.groupBy("root", *KEYS).agg(F.count("*").alias("n")).join(first, F.col("root") == F.col("of"))
+    stays = (F.col("id_key") == F.col("stays.id_key")) & (F.col("text_key") == F.col("stays.text_key"))
+    marks = stored(rows.filter(~stays | (F.col("n") > 1)).select(*KEYS, (F.when(stays, 1).otherwise(0)).alias("stays")), "gone")
+    keyed = with_keys(docs)
+    out = by_keys(keyed, marks.drop("stays"), "left_anti")
+    repeated = by_keys(keyed, marks.filter("stays = 1").drop("stays"), "left_semi").dropDuplicates(KEYS)
+    return out.unionByName(repeated).select(docs.columns)

@@ -131,10 +131,10 @@ def test_links_of_blocks(own):
     assert {**dict(zip(range(9), range(9))), **dict(got)} == dict(enumerate(root)) and len(got) == len(dict(got))
 
 
-def test_short_near_copies_are_dealt_by_number(spark):
-    """Few shingles, many classes: no task gets more than two blocks of classes."""
-    common = " ".join(f"c{k}" for k in range(9))
-    rows = [(i, f"{common} t{i}", "s") for i in range(5000)]
+def test_lists_of_a_template_are_dealt_by_number(spark):
+    """Many classes with shared values and no links: no task gets more than two blocks of classes."""
+    common = " ".join(f"c{k}" for k in range(70))
+    rows = [(i, common + "".join(f" t{i}x{k}" for k in range(30)), "s") for i in range(3000)]
     seen = spark.sparkContext.accumulator(0)
     most = near_duplicates.group_links
 
@@ -148,7 +148,22 @@ def test_short_near_copies_are_dealt_by_number(spark):
         got = near_duplicates.near_duplicates(documents(spark, rows), n=2).collect()
     finally:
         near_duplicates.group_links = most
-    assert {r.component_id for r in got} == {0} and seen.value > 1
+    assert all(r.component_id == r.doc_id for r in got) and seen.value > 1
+
+
+def test_short_near_copies_meet_one_of_their_list(spark):
+    """Nothing is left for the blocks once all are linked with one class of the list."""
+    common = " ".join(f"c{k}" for k in range(9))
+    rows = [(i, f"{common} t{i}", "s") for i in range(5000)]
+    got = near_duplicates.near_duplicates(documents(spark, rows), n=2).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_masses_of_tiny_texts(spark):
+    """A shingle that most texts share, in sets too small for any link but equality."""
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common start t"), F.col("id") - F.col("id") % 2).alias("text"))
+    got = near_duplicates.near_duplicates(docs, n=2)
+    assert got.filter("component_id <> doc_id - doc_id % 2 or n_shingles <> 2").count() == 0
 
 
 def test_quality_rules(spark):
