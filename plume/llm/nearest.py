@@ -11,16 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plume.llm.common import stored, unit_hash
+from plume.llm.common import discard, stored, to_driver, unit_hash
 
 #: Rows that the centroids and the visited share are fitted on, the least by a hash of vec_id.
 FIT_ROWS = 16_000
 CENTROIDS = 64
 #: Recall within the sample that sets the share of vectors a query visits.
-AIM = 0.97
-#: Vectors and queries of a block.
-BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 1024
+AIM = 0.95
+#: Vectors of a block, about, and queries of a part of it.
+BLOCK_VECTORS = 16_384
+BLOCK_QUERIES = 4096
 
 
 def squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -95,6 +95,24 @@ def fit(sample: np.ndarray, centroids: int = CENTROIDS, aim: float = AIM, k: int
     return index, float(np.quantile(places, aim)) / len(sample) if places else 1.0
 
 
+def block_table(counts: np.ndarray, most: int = BLOCK_VECTORS) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first block and over how many it is spread.
+
+    Cells are taken in order; a block is closed before it would pass
+    ``most`` vectors, and a cell with more has blocks of its own.
+    """
+    first, spread = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    block = held = 0
+    for cell, n in enumerate(counts.tolist()):
+        if held and held + n > most:
+            block, held = block + 1, 0
+        first[cell], spread[cell] = block, max(1, -(-n // most))
+        held += n
+        if n > most:
+            block, held = block + int(spread[cell]), 0
+    return first, spread
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
@@ -117,9 +135,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
     Only the centroids and that share are fitted, on at most ``rows`` rows;
     every row is in the index.
 
-    Vectors and queries meet in blocks of bounded size, dealt by hash, so
-    that a cell with a large part of all vectors is spread over tasks. A
-    block returns k rows for each query.
+    Cells are dealt to blocks of bounded size, neighbouring cells together; a
+    cell with more vectors is spread over several blocks by hash. A vector is
+    in one block. A query goes to those blocks alone that hold cells it
+    visits, with the list of these; where too many queries meet in a block,
+    they are dealt to parts of it. A block returns k rows for each query.
 
     Vectors that are null, zero or hold null or non-finite components, have
     no vec_id, or another length than most of the sample take no part. Rows
@@ -130,7 +150,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     good = usable(vectors)
-    sample = good.orderBy(unit_hash(F.col("vec_id")), "vec_id").limit(rows).toPandas()
+    sample = to_driver(good.orderBy(unit_hash(F.col("vec_id")), "vec_id", "embedding").limit(rows))
     if sample.empty:
         return spark.createDataFrame([], schema)
     size = int(sample["embedding"].map(len).mode()[0])
@@ -151,24 +171,28 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
         counts[cell] = n
     total = int(counts.sum())
     least = max(int(np.ceil(share * total)), 4 * k + 1)
-    sizes = spark.sparkContext.broadcast(counts)
+    first, spread = block_table(counts)
+    plan = spark.sparkContext.broadcast((counts, first, spread))
+    per_cell = spark.createDataFrame(pd.DataFrame({"cell": np.arange(n_cells, dtype=np.int32), "first": first, "spread": spread}))
+    block = (F.col("first") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("spread"))).cast("int")
+    held = indexed.join(F.broadcast(per_cell), "cell").select("vec_id", "embedding", "cell", block.alias("block"))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, first, spread = plan.value
         for frame in frames:
-            seen = []
-            for vector in frame["embedding"]:
-                flags = np.zeros(n_cells, dtype=bool)
-                flags[model.value.visit(np.asarray(vector, dtype=float), sizes.value, least)] = True
-                seen.append(np.packbits(flags).tobytes())
-            yield frame.assign(cells=seen)
+            rows = []
+            for query, vector in zip(frame["vec_id"], frame["embedding"]):
+                cells = np.sort(np.array(model.value.visit(np.asarray(vector, dtype=float), counts, least), dtype=np.int32))
+                cut = np.flatnonzero(np.diff(first[cells], prepend=-1))
+                for own in np.split(cells, cut[1:]):
+                    rows.extend((query, vector, own, int(first[own[0]]) + s) for s in range(spread[own[0]]))
+            yield pd.DataFrame(rows, columns=["vec_id", "embedding", "cells", "block"])
 
     queries = indexed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = queries.mapInPandas(visit, "vec_id long, embedding array<double>, cells binary")
-    n_blocks, n_parts = -(-total // BLOCK_VECTORS), -(-total // every // BLOCK_QUERIES) + 1
-    block = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)).cast("int")
-    part = F.pmod(F.xxhash64(F.col("vec_id"), F.lit("ask")), F.lit(n_parts)).cast("int")
-    asked = asked.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    held = indexed.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    asked = stored(queries.mapInPandas(visit, "vec_id long, embedding array<double>, cells array<int>, block int"), "visits")
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
+    asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    held = held.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def rank(ask: pd.DataFrame, hold: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -176,9 +200,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
             hold = hold.sort_values("vec_id", kind="stable")
             ids, cells = hold["vec_id"].to_numpy(), hold["cell"].to_numpy()
             vectors = np.array(hold["embedding"].tolist(), dtype=float)
-            for query, vector, bits in zip(ask["vec_id"], ask["embedding"], ask["cells"]):
-                flags = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[:n_cells].astype(bool)
+            flags = np.zeros(n_cells, dtype=bool)
+            for query, vector, own in zip(ask["vec_id"], ask["embedding"], ask["cells"]):
+                flags[own] = True
                 at = np.flatnonzero(flags[cells] & (ids != query))
+                flags[own] = False
                 score = np.sqrt(((vectors[at] - np.asarray(vector, dtype=float)) ** 2).sum(1))
                 best = np.argsort(score, kind="stable")[:k]
                 found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": score[best]}))
@@ -186,4 +212,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
 
     met = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = met.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = stored(out, "nearest")
+    discard(indexed, asked)
+    return out
