@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids
+from plume.llm.common import KEYS, for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids, with_keys
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
@@ -90,7 +90,7 @@ def gumbel_key(log_weight: Column, seed: Column, *row: Column) -> Column:
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, share: float | None = None, temperature: float = TEMPERATURE, seed: str = "gumbel") -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with doc_id, n_ngrams, log_weight, key, kept.
+    """Every row of ``docs`` (doc_id, text) with doc_id, its keys, n_ngrams, log_weight, key, kept.
 
     The target model counts hashed n-grams in labelled documents of quality
     1 (at most ``rows`` labelled ones are read, the least by a hash of
@@ -128,10 +128,10 @@ def importance_resample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
             found = [ratio.value[ngrams(t)] for t in frame["text"]]
             yield frame.drop(columns="text").assign(n_ngrams=[len(x) for x in found], total=[float(x.sum()) for x in found])
 
-    scored = whole_ids(for_python(docs, F.xxhash64("text").alias("tie")).mapInPandas(rate, "doc_id string, tie long, n_ngrams long, total double"))
+    scored = whole_ids(for_python(with_keys(docs), *KEYS).mapInPandas(rate, "doc_id string, id_key long, text_key long, n_ngrams long, total double"))
     weight = F.col("total") * EVIDENCE / (F.col("n_ngrams") + EVIDENCE) / temperature
-    scored = scored.withColumn("log_weight", weight).withColumn("key", gumbel_key(F.col("log_weight"), F.lit(seed), F.col("doc_id"), F.col("tie")))
-    scored = stored(scored.select("doc_id", "n_ngrams", "log_weight", "key"), "resample")
+    scored = scored.withColumn("log_weight", weight).withColumn("key", gumbel_key(F.col("log_weight"), F.lit(seed), F.col("doc_id"), F.col("text_key")))
+    scored = stored(scored.select("doc_id", *KEYS, "n_ngrams", "log_weight", "key"), "resample")
     most = round(share * scored.count())
     least = top_threshold(scored, "key", most) if most else np.inf
     return scored.withColumn("kept", F.col("key") >= F.lit(least))

@@ -13,7 +13,8 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    drawn = quality_classifier.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "n_ngrams", "log_weight", "key", "kept")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
