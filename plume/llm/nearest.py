@@ -191,8 +191,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
     queries = indexed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = stored(queries.mapInPandas(visit, "vec_id long, embedding array<double>, cells array<int>, block int"), "visits")
     parts = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
-    asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    held = held.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    pieces = parts.select(F.col("block").alias("of"), F.col("parts").alias("pieces"))
+    held = held.join(pieces, F.col("block") == F.col("of")).select("vec_id", "embedding", "cell", F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("of_part"))
 
     def rank(ask: pd.DataFrame, hold: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -210,7 +211,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, rows:
                 found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    met = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    met = dealt.groupBy("block", "part").cogroup(held.groupBy("of_block", "of_part")).applyInPandas(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     out = met.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     out = stored(out, "nearest")
