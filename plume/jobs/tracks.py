@@ -237,7 +237,8 @@ def derived_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NEAR_SITES = ", s AS (SELECT event_id, site_id, sqrt(pow((p.lon - s.lon) * 40000e0, 2) + pow((p.lat - s.lat) * 111000e0, 2)) AS d FROM particles p, sites s)"
+METRES = "(sqrt(pow(({a}.lon - {b}.lon) * cos(radians(({a}.lat + {b}.lat) / 2)), 2) + pow({a}.lat - {b}.lat, 2)) * 111194.92664455873e0)"
+NEAR_SITES = f", s AS (SELECT event_id, site_id, {METRES.format(a='p', b='s')} AS d FROM particles p, sites s)"
 
 
 def site_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -250,23 +251,29 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.radius_join(p, s, 20000.0).select("event_id", "site_id", F.round("distance", 3).alias("distance"))
 
 
-@query(with_views("particles sites", NEAR_SITES + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, site_id) AS rn FROM s WHERE d <= 40000) SELECT event_id, site_id, round(d, 3) AS distance FROM r WHERE rn = 1").replace(") ,", "),", 1))
+@query(with_views("particles sites", NEAR_SITES + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, site_id) AS rn FROM s) SELECT event_id, site_id, round(d, 3) AS distance FROM r WHERE rn = 1").replace(") ,", "),", 1))
 def nearest_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = site_pairs(spark, sf_dir)
-    return joins.nearest_k(p, s, "event_id", "site_id", 1, 40000.0).select("event_id", "site_id", F.round("distance", 3).alias("distance"))
+    return joins.nearest(p, s, "event_id", "site_id", 40000.0).select("event_id", "site_id", F.round("distance", 3).alias("distance"))
 
 
-DEAD = ", live AS (SELECT * FROM particles WHERE specie <> 3), pr AS (SELECT a.event_id AS dead, a.weight, b.event_id AS live, sqrt(pow((a.lon - b.lon) * 40000e0, 2) + pow((a.lat - b.lat) * 111000e0, 2)) AS d FROM particles a JOIN live b ON a.step = b.step WHERE a.specie = 3), r AS (SELECT *, row_number() OVER (PARTITION BY dead ORDER BY d, live) AS rn FROM pr WHERE d <= 60000), w AS (SELECT *, (1 / (d + 1e-10)) / sum(1 / (d + 1e-10)) OVER (PARTITION BY dead) AS share FROM r WHERE rn <= 10)"
+DEAD = f", live AS (SELECT * FROM particles WHERE specie <> 3), pr AS (SELECT a.event_id AS dead, a.weight, b.event_id AS live, {METRES.format(a='a', b='b')} AS d FROM particles a JOIN live b ON a.step = b.step WHERE a.specie = 3), r AS (SELECT *, row_number() OVER (PARTITION BY dead ORDER BY d, live) AS rn FROM pr WHERE d <= 60000), w AS (SELECT *, (1 / (d + 1e-10)) / sum(1 / (d + 1e-10)) OVER (PARTITION BY dead) AS share FROM r WHERE rn <= 10)"
 
 
-@query(with_views("particles", DEAD + " SELECT live AS event_id, round(sum(weight * share), 6) AS received FROM w GROUP BY live").replace(") ,", "),", 1))
+@query(with_views("particles", DEAD + " SELECT live AS event_id, round(sum(weight * share), 6) AS received FROM w GROUP BY live UNION ALL SELECT -1, round(coalesce(sum(weight), 0), 4) FROM particles WHERE specie = 3 AND event_id NOT IN (SELECT dead FROM w)").replace(") ,", "),", 1))
 def knn_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of dead particles shared by inverse distance among the ten nearest live ones of the step."""
+    """Weights of dead particles shared by inverse distance among the ten nearest live ones of the step.
+
+    The radius suits the density of the particles at hand. What has no live
+    particle in reach is the row of event_id -1.
+    """
     p = particles(spark, sf_dir)
     dead = p.filter("specie = 3").select(F.col("event_id").alias("dead"), "step", "lon", "lat", "weight")
     live = p.filter("specie <> 3").select(F.col("event_id").alias("live"), "step", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     near = joins.inverse_distance_shares(joins.nearest_k(dead, live, "dead", "live", 10, 60000.0, on=("step",)), "dead")
-    return near.groupBy(F.col("live").alias("event_id")).agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("received"))
+    placed = near.groupBy(F.col("live").alias("event_id")).agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("received"))
+    left = dead.join(near.select("dead"), "dead", "left_anti").agg(F.lit(-1).cast("bigint").alias("event_id"), F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 4).alias("received"))
+    return placed.union(left)
 
 
 @query(with_views("track", "SELECT traj_id, step FROM (SELECT *, max(CAST(NOT (lon BETWEEN 12.6 AND 20.9 AND lat BETWEEN 68.6 AND 71.9) AS INT)) OVER (PARTITION BY traj_id ORDER BY step) AS gone FROM track) WHERE gone = 0"))

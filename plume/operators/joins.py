@@ -9,40 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str], slots: int = 86400) -> DataFrame:
+def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str], slots: int = 3600) -> DataFrame:
     """``left`` with the last row of ``right`` at or before its time and the first at or after it.
 
-    Both are cut into time slots; a window within each slot finds the
-    neighbours, and the nearest rows of earlier and later slots, one row per
-    slot, fill what a slot lacks. So the work is spread over slots, and only
-    the table of slots is ordered as a whole.
+    ``right`` has one row per time. With its successor each row makes an
+    interval, which is copied to the time slots that it touches; rows of
+    ``left`` meet the intervals of their slot by an equality join and a range
+    condition. So ``left`` isn't sorted, and isn't shuffled either while the
+    planner finds the intervals small enough to broadcast. Times before the first or
+    after the last row get these two, one row for all.
 
     Adds ``<time>_before``, ``<v>_before``, ``<time>_after``, ``<v>_after``.
     """
-    slot = F.floor(F.col(time) / slots)
+    slot = lambda t: F.floor(t / slots)
     row = F.struct(F.col(time), *values)
-    r = right.select(slot.alias("slot"), F.col(time), row.alias("r"))
-    ends = r.groupBy("slot").agg(F.max_by("r", F.col(time)).alias("last"), F.min_by("r", F.col(time)).alias("first"))
-    known = left.select(slot.alias("slot")).distinct().join(ends, "slot", "full")
-    order = Window.orderBy("slot")
-    known = known.select(
-        "slot",
-        F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
-    )
-    columns = left.columns
-    both = left.select(slot.alias("slot"), F.col(time).alias("t"), F.struct(*columns).alias("l"), F.lit(None).cast(r.schema["r"].dataType).alias("r"))
-    both = both.unionByName(r.select("slot", F.col(time).alias("t"), F.lit(None).cast(both.schema["l"].dataType).alias("l"), "r"))
-    within = Window.partitionBy("slot").orderBy("t")
-    both = both.select(
-        "slot",
-        "l",
-        F.last("r", ignorenulls=True).over(within.rangeBetween(Window.unboundedPreceding, 0)).alias("before"),
-        F.first("r", ignorenulls=True).over(within.rangeBetween(0, Window.unboundedFollowing)).alias("after"),
-    ).filter("l is not null")
-    out = both.join(known, "slot", "left").select("l.*", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    following = F.lead("r").over(Window.orderBy("t"))  # forcing: one row per time
+    spans = right.select(F.col(time).alias("t"), row.alias("r")).withColumn("next", following).filter("next is not null")
+    spans = spans.withColumn("slot", F.explode(F.sequence(slot(F.col("t")), slot(F.col(f"next.{time}")))))
+    ends = right.agg(F.min_by(row, F.col(time)).alias("first"), F.max_by(row, F.col(time)).alias("last"))
+    within = (F.col("l.slot") == F.col("s.slot")) & (F.col(f"l.{time}") >= F.col("s.t")) & (F.col(f"l.{time}") < F.col(f"s.next.{time}"))
+    met = left.withColumn("slot", slot(F.col(time))).alias("l").join(spans.alias("s"), within, "left").crossJoin(F.broadcast(ends))  # one row
+    t = F.col(f"l.{time}")
+    before = F.when(F.col("s.t").isNotNull(), F.col("s.r")).when(t >= F.col(f"last.{time}"), F.col("last"))
+    after = F.when(F.col("s.t") == t, F.col("s.r")).when(F.col("s.t").isNotNull(), F.col("s.next")).when(t <= F.col(f"first.{time}"), F.col("first")).when(t == F.col(f"last.{time}"), F.col("last"))
+    out = met.select(*[F.col(f"l.{c}").alias(c) for c in left.columns], before.alias("before"), after.alias("after"))
     named = [F.col(f"{side}.{v}").alias(f"{v}_{side}") for side in ("before", "after") for v in (time, *values)]
-    return out.select(*columns, *named)
+    return out.select(*left.columns, *named)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, values: list[str]) -> DataFrame:
@@ -61,24 +53,33 @@ def time_lerp(left: DataFrame, right: DataFrame, time: str, values: list[str]) -
     return b.select(*left.columns, *[F.coalesce(F.col(f"{v}_before") * (1 - w) + F.col(f"{v}_after") * w, F.col(f"{v}_before"), F.col(f"{v}_after")).alias(v) for v in values])
 
 
-def squared_distance(lon: str, lat: str, lon2: str, lat2: str, x_scale: float, y_scale: float) -> Column:
-    dx, dy = (F.col(lon) - F.col(lon2)) * x_scale, (F.col(lat) - F.col(lat2)) * y_scale
-    return dx * dx + dy * dy
+#: Metres in a degree of a great circle of the mean earth.
+DEGREE = 111194.92664455873
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, x_scale: float = 40000.0, y_scale: float = 111000.0, on: tuple[str, ...] = ()) -> DataFrame:
+def metres(lon: str, lat: str, lon2: str, lat2: str) -> Column:
+    """Distance on a plane that is true to scale at the mean latitude of the two points."""
+    dx = (F.col(lon) - F.col(lon2)) * F.cos(F.radians((F.col(lat) + F.col(lat2)) / 2))
+    dy = F.col(lat) - F.col(lat2)
+    return F.sqrt(dx * dx + dy * dy) * DEGREE
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs within ``radius`` m and of equal ``on`` columns, with their distance.
 
-    ``right`` has lon2, lat2. Right rows are copied to the 3 by 3 buckets of
-    side ``radius`` around their own, which makes an equality join on the
-    bucket; the distance then decides.
+    ``right`` has lon2, lat2. Buckets are bands of latitude of the height of
+    ``radius``, each cut into widths that hold ``radius`` at its poleward
+    end. Right rows are copied to the 3 by 3 buckets around their own, which
+    makes an equality join on the bucket; the distance then decides.
     """
-    bucket = lambda c, s: F.floor(F.col(c) * s / radius)
+    height = radius / DEGREE
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    r = right.withColumns({"bx": F.explode(F.transform(near, lambda d: bucket("lon2", x_scale) + d))}).withColumn("by", F.explode(F.transform(near, lambda d: bucket("lat2", y_scale) + d)))
-    l = left.withColumns({"bx": bucket("lon", x_scale), "by": bucket("lat", y_scale)})  # noqa: E741
-    d = F.sqrt(squared_distance("lon", "lat", "lon2", "lat2", x_scale, y_scale))
-    return l.join(r, [*on, "bx", "by"]).withColumn("distance", d).filter(F.col("distance") <= radius).drop("bx", "by")
+    band = lambda lat: F.floor(F.col(lat) / height)
+    poleward = F.least((F.abs(F.col("by")) + 2) * height, F.lit(89.0))
+    place = lambda lon: F.floor(F.col(lon) * F.cos(F.radians(poleward)) / height)
+    r = right.withColumn("by", F.explode(F.transform(near, lambda d: band("lat2") + d))).withColumn("bx", F.explode(F.transform(near, lambda d: place("lon2") + d)))
+    l = left.withColumn("by", band("lat")).withColumn("bx", place("lon"))  # noqa: E741
+    return l.join(r, [*on, "bx", "by"]).withColumn("distance", metres("lon", "lat", "lon2", "lat2")).filter(F.col("distance") <= radius).drop("bx", "by")
 
 
 def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
@@ -87,6 +88,24 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, rad
     return radius_join(left, right, radius, on=on).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, radius: float) -> DataFrame:
+    """The nearest row of ``right`` for every row of ``left``, however far, ties by ``tie``.
+
+    Rows without one within ``radius`` are looked for again within three
+    times of it, and so on until all have one; each time only those that are left are joined.
+    An empty ``right`` gives an empty result.
+    """
+    found = nearest_k(left, right, key, tie, 1, radius)
+    if right.isEmpty():
+        return found
+    rest = left.join(found.select(key), key, "left_anti")
+    while radius < 2.1e7 and not rest.isEmpty():
+        radius *= 3
+        more = nearest_k(rest, right, key, tie, 1, radius)
+        found, rest = found.unionByName(more), rest.join(more.select(key), key, "left_anti")
+    return found
+
+
 def inverse_distance_shares(pairs: DataFrame, key: str) -> DataFrame:
     """``pairs`` with share: inverse distance, normalised per ``key``."""
     w = 1 / (F.col("distance") + 1e-10)
