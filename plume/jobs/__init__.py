@@ -1,6 +1,6 @@
 """All registered queries of the library, by name, with their SQL."""
 
-from plume.jobs import fields, grids, tracks, weathering
+from plume.jobs import fields, grids, stores, tracks, weathering
 
-QUERIES = {**fields.QUERIES, **tracks.QUERIES, **grids.QUERIES, **weathering.QUERIES}
-ORACLE = {**fields.ORACLE, **tracks.ORACLE, **grids.ORACLE, **weathering.ORACLE}
+QUERIES = {**fields.QUERIES, **tracks.QUERIES, **grids.QUERIES, **weathering.QUERIES, **stores.QUERIES}
+ORACLE = {**fields.ORACLE, **tracks.ORACLE, **grids.ORACLE, **weathering.ORACLE, **stores.ORACLE}
