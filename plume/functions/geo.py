@@ -131,6 +131,61 @@ def utm_forward(lon: Column, lat: Column, zone: int = 33) -> tuple[Column, Colum
     return 500000.0 + 0.9996 * radius * east, 0.9996 * radius * north
 
 
+def utm_inverse(east: Column, north: Column, zone: int = 33) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in a fixed UTM zone, the series of :func:`utm_forward` turned round."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / (0.9996 * radius), (east - 500000.0) / (0.9996 * radius)
+    x, e = xi, eta
+    for k, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        e = e - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+
+    def finish(p: Column) -> Column:
+        chi = F.asin(F.sin(p["x"]) / F.cosh(p["e"]))
+        lat = let(lambda q: q["chi"] + sum((d * F.sin(2 * k * q["chi"]) for k, d in enumerate(delta[1:], 2)), delta[0] * F.sin(2 * q["chi"])), chi=chi)
+        return F.struct((F.degrees(F.atan2(F.sinh(p["e"]), F.cos(p["x"]))) + (6 * zone - 183)).alias("lon"), F.degrees(lat).alias("lat"))
+
+    out = let(finish, x=x, e=e)
+    return out["lon"], out["lat"]
+
+
+def polar_stereographic(lon: Column, lat: Column, true_lat: float = 75.0, down: float = -45.0) -> tuple[Column, Column]:
+    """x and y (m) on the northern polar plane that is true to scale at ``true_lat``."""
+    e = math.sqrt(FLAT * (2 - FLAT))
+    phi = math.radians(true_lat)
+    fixed = math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
+    scale = A * math.cos(phi) / math.sqrt(1 - e * e * math.sin(phi) ** 2) / fixed
+    s = F.sin(F.radians(lat))
+    rho = scale * F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2))
+    turn = F.radians(lon - down)
+    return rho * F.sin(turn), -rho * F.cos(turn)
+
+
+def grid_angle(lon: Column, lat: Column, step: float = 0.001) -> Column:
+    """Radians by which the projected grid's north is turned from true north, from a small step to the north."""
+    e0, n0 = utm_forward(lon, lat)
+    e1, n1 = utm_forward(lon, lat + step)
+    return F.atan2(e1 - e0, n1 - n0)
+
+
+def coriolis(lat: Column) -> Column:
+    return F.sin(F.radians(lat)) * (4 * math.pi / 86400)
+
+
+def within_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is in a ring given as an array of struct(x, y): a ray to the right crosses an odd number of edges."""
+    following = lambda i: F.get(ring, (i + 1) % F.size(ring))
+
+    def crossed(p: Column, i: Column) -> Column:
+        q = following(i)
+        return ((p["y"] > y) != (q["y"] > y)) & (x < (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])
+
+    return F.size(F.filter(F.transform(ring, crossed), lambda c: c)) % 2 == 1
+
+
 def shoelace(ring: Column) -> Column:
     """Area of a ring given as an array of struct(x, y), closed by itself."""
     following = lambda i: F.get(ring, (i + 1) % F.size(ring))

@@ -205,7 +205,7 @@ def wkt_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipolygons as text: 100 elements of each are shared by area, the last part takes the rest."""
     box = lambda k: f"'((', {k * 10}, ' 0,', {k * 10} + 1 + {k}, ' 0,', {k * 10} + 1 + {k}, ' ', 1 + site_id % 3, ',', {k * 10}, ' ', 1 + site_id % 3, ',', {k * 10}, ' 0))'"
     s = sites(spark, sf_dir).selectExpr("site_id", f"concat('MULTIPOLYGON (', {box(0)}, ', ', {box(1)}, ', ', {box(2)}, ')') AS wkt")
-    p = stores.polygons_of_wkt(s, "wkt").withColumn("area", stores.ring_area(F.col("ring")))
+    p = stores.polygons_of_wkt(s, "wkt").withColumn("area", geo.shoelace(F.col("ring")))
     every, before = Window.partitionBy("site_id"), Window.partitionBy("site_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("n", F.floor(100 * F.col("area") / F.sum("area").over(every)))
     last = F.col("part") == F.max("part").over(every)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,26 @@ def diffuse(grid: DataFrame, value: str, number: float, steps: int = 1) -> DataF
         change = gain.union(loss).groupBy("ix", "iy").agg(F.sum("d").alias("d"))
         grid = grid.join(change, ["ix", "iy"], "left").select("ix", "iy", (F.col(value) + F.coalesce("d", F.lit(0.0))).alias(value))
     return grid
+
+
+def clamped_mean(field: DataFrame, value: str) -> DataFrame:
+    """Mean of the 3 by 3 cells around each, cells beyond the edge being those at the edge."""
+    edge = field.agg(*[f(c).alias(n) for c, names in (("ix", ("x0", "x1")), ("iy", ("y0", "y1"))) for f, n in zip((F.min, F.max), names)])
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    t = field.select("ix", "iy").crossJoin(F.broadcast(edge))  # one row
+    t = t.withColumn("sx", F.explode(F.transform(near, lambda d: F.least(F.greatest(F.col("ix") + d, F.col("x0")), F.col("x1")))))
+    t = t.withColumn("sy", F.explode(F.transform(near, lambda d: F.least(F.greatest(F.col("iy") + d, F.col("y0")), F.col("y1")))))
+    source = field.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), value)
+    return t.join(source, ["sx", "sy"]).groupBy("ix", "iy").agg((F.sum(value) / 9).alias(value))
+
+
+def quad_weights(quad: Column, x: Column, y: Column) -> Column:
+    """Weights of a turned rectangle's corners (array of struct x, y, counter-clockwise) for a place in it.
+
+    The place is taken along the two sides from the first corner; each
+    corner's weight is the area opposite to it, over the sum of all.
+    """
+    p, q, s = F.get(quad, F.lit(0)), F.get(quad, F.lit(1)), F.get(quad, F.lit(3))
+    share = lambda end: ((x - p["x"]) * (end["x"] - p["x"]) + (y - p["y"]) * (end["y"] - p["y"])) / ((end["x"] - p["x"]) * (end["x"] - p["x"]) + (end["y"] - p["y"]) * (end["y"] - p["y"]))
+    a, b = share(q), share(s)
+    return F.array((1 - a) * (1 - b), a * (1 - b), a * b, (1 - a) * b)

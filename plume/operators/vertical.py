@@ -58,3 +58,45 @@ def s_depth(h: Column, s: Column, c: Column, critical: float, transform: int = 1
     if transform == 1:
         return critical * (s - c) + c * h
     return h * (critical * s + h * c) / (critical + h)
+
+
+def at_depth(values: Column, depths: Column, z: Column) -> Column:
+    """The value at depth ``z`` (positive, of falling order from the surface), linear between levels and held at both ends."""
+    k = F.least(F.greatest(F.size(F.filter(depths, lambda d: d < z)), F.lit(1)), F.size(depths) - 1)
+    low, high = F.get(depths, k - 1), F.get(depths, k)
+    w = F.least(F.greatest((z - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return F.get(values, k - 1) * (1 - w) + F.get(values, k) * w
+
+
+def bracket(depths: Column, z: Column) -> Column:
+    """struct(low, w): the level above ``z`` and the weight of the next one, for tables of interpolation weights."""
+    k = F.least(F.greatest(F.size(F.filter(depths, lambda d: d < z)), F.lit(1)), F.size(depths) - 1)
+    low, high = F.get(depths, k - 1), F.get(depths, k)
+    return F.struct((k - 1).alias("low"), F.least(F.greatest((z - low) / (high - low), F.lit(0.0)), F.lit(1.0)).alias("w"))
+
+
+def nearest_level(depths: Column, z: Column) -> Column:
+    """Index of the level nearest to ``z``, the upper one of two equally near."""
+    gaps = F.transform(depths, lambda d: F.abs(d - z))
+    return F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
+
+
+def stretch_2(s: Column, theta_s: float, theta_b: float) -> Column:
+    """Shchepetkin's stretching of 2005, weighted between surface and bottom."""
+    surface = (1 - F.cosh(theta_s * s)) / (F.cosh(F.lit(theta_s)) - 1)
+    bottom = F.sinh(theta_b * (s + 1)) / F.sinh(F.lit(theta_b)) - 1
+    w = (s + 1) * (1 + (1 - (s + 1)))
+    return w * surface + (1 - w) * bottom
+
+
+def stretch_4(s: Column, theta_s: float, theta_b: float) -> Column:
+    """Shchepetkin's double stretching of 2010."""
+    c = (1 - F.cosh(theta_s * s)) / (F.cosh(F.lit(theta_s)) - 1)
+    return (F.exp(theta_b * c) - 1) / (1 - F.exp(F.lit(-theta_b)))
+
+
+def sigma_tanh(levels: int, lower: Column, upper: Column) -> Column:
+    """Levels from 0 to -1 that are denser at the bottom by ``lower`` and at the surface by ``upper``."""
+    x = lambda k: F.tanh((lower + upper) * (levels - 2 - k) / (levels - 1) - lower)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(levels - 2)), lambda k: (x(k) + F.tanh(lower)) / (F.tanh(lower) + F.tanh(upper)) - 1.0)
+    return F.concat(F.array(F.lit(0.0)), rest)

@@ -83,9 +83,3 @@ def polygons_of_wkt(shapes: DataFrame, text: str) -> DataFrame:
     parts = shapes.select("*", F.posexplode(rings).alias("part", "body"))
     return parts.withColumn("ring", F.transform(F.split("body", ","), point)).drop("body")
 
-
-def ring_area(ring: Column) -> Column:
-    """Area of a ring of structs x, y, closed or not, whichever way it turns."""
-    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
-    cross = F.zip_with(ring, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
