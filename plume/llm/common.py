@@ -155,8 +155,8 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 KEYS = ["id_key", "text_key"]
-#: Up to so many keys (16 MB) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Up to so many keys (a few tens of MB with their numbers) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def by_keys(docs: DataFrame, marks: DataFrame, how: str, keys: list[str] = KEYS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ BUCKET_ROWS = 10_000
 UNIT = 1024
 #: Times that a source is gone through for the words that are missing.
 ROUNDS = 3
+#: Tables of one row per source are broadcast up to so many sources; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -68,13 +72,17 @@ def expected_copies(sized: DataFrame, targets: DataFrame, most: int = MOST_COPIE
     fits = F.when(F.col("level") * F.col("measure") <= most, F.col("level"))
     per = per.withColumn("level", F.first(fits, ignorenulls=True).over(fall.rowsBetween(Window.unboundedPreceding, 0)))
     expected = F.when(F.col("level").isNull(), F.lit(float(most))).otherwise(F.least(F.col("level") * F.col("measure"), F.lit(float(most))))
-    return per.select("source", "size", "source_size", "target", F.greatest(expected, F.lit(0.0)).alias("expected"))
+    expected = F.when(F.col("size") > 0, F.greatest(expected, F.lit(0.0))).otherwise(0.0)
+    return per.select("source", "size", "source_size", "target", expected.alias("expected"))
+
 
+def in_order(rest: DataFrame, gap: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rest`` with its source's gap and ``in``: whether the documents of the least ranks that fit into the gap sum up to it.
 
-def in_order(rest: DataFrame, gap: DataFrame) -> DataFrame:
-    """``rest`` with its source's gap and ``in``: whether the documents of the least ranks that fit into the gap sum up to it."""
+    ``near`` marks a table of one row per source for broadcast if it is small.
+    """
     gap = gap.withColumnRenamed("source", "of_source")
-    rest = rest.join(gap, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("fits", F.col("size") <= F.col("gap"))
+    rest = rest.join(near(gap), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("fits", F.col("size") <= F.col("gap"))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("rank", "id_key", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("fits"), F.col("size")).otherwise(0)
     ordered = rest.withColumn("before", F.sum(own).over(in_bucket))
@@ -118,7 +126,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     sized = with_keys(docs).select("doc_id", "source", "id_key", "text_key", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), u.alias("u"))
     sized = stored(sized, "sized")
     width = 4 * BUCKET_ROWS / max(sized.count(), 4 * BUCKET_ROWS)
-    expected = stored(expected_copies(sized, source_targets(sized, weights, share, most), most), "expected")
+    targets = stored(source_targets(sized, weights, share, most), "targets")
+    small = targets.count() <= BROADCAST_SOURCES
+    near = lambda t: F.broadcast(t) if small else t
+    expected = stored(expected_copies(sized, near(targets), most), "expected")
 
     of = expected.withColumnsRenamed({"source": "of_source", "size": "of_size"})
     ranked = sized.join(of, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))).drop("of_source", "of_size")
@@ -126,21 +137,21 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("part")) / F.col("part"))
     ranked = ranked.withColumn("rank", F.when(F.col("part") > 0, odds)).withColumn("bucket", F.floor(F.log("rank") / width))
     ranked = stored(ranked, "ranked")
-    discard(sized, expected)
+    discard(sized, targets, expected)
     gap = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("gap"))
     rest, steps = ranked.filter("rank is not null"), [ranked]
     for _ in range(ROUNDS):
-        rest = stored(in_order(rest, gap), "drawn")
+        rest = stored(in_order(rest, gap, near), "drawn")
         gap = rest.groupBy("source").agg((F.first("gap") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap"))
         steps.append(rest)
         rest = rest.filter(~F.col("in")).drop("in", "gap")
     drawn = [t.filter("in").drop("in", "gap") for t in steps[1:]]
 
     gap = gap.withColumnRenamed("source", "of_source")
-    open_ = rest.join(gap, F.col("source").eqNullSafe(F.col("of_source"))).filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    open_ = rest.join(near(gap), F.col("source").eqNullSafe(F.col("of_source"))).filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
     best = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "id_key", "text_key"))
     best = open_.groupBy(F.col("source").alias("of_source")).agg(best.alias("best"))
-    out = rest.join(best, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    out = rest.join(near(best), F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     filled = F.coalesce((F.col("id_key") == F.col("best.id_key")) & (F.col("text_key") == F.col("best.text_key")), F.lit(False))
     # of equal rows one alone is filled up
     turn = Window.partitionBy("source", "id_key", "text_key").orderBy(F.monotonically_increasing_id())
