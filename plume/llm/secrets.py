@@ -34,7 +34,7 @@ LOST_SHARE = 0.01
 FALSE_SHARE = 0.001
 #: Least evidence against a natural string, as minus the log10 of its p value, whatever the corpus.
 LEAST_EVIDENCE = 3.0
-#: Bounds of the share of class changes in natural strings: a corpus with few strings, or of keys mostly, says nothing better.
+#: Bounds of the share of class changes in natural strings: a corpus with few strings says nothing better.
 NATURAL_RATE = (0.005, 0.2)
 LENGTH_CLASSES = (20, 28, 40, 64)
 
@@ -99,8 +99,8 @@ def battery(token: Column) -> Column:
 def natural_log_p(token: Column, rate: Column) -> Column:
     """Minus the log10 of Chernoff's bound for so many class changes in natural strings.
 
-    ``rate`` is the share of neighbours of different classes in all long
-    strings of the corpus that lie in no base span.
+    ``rate`` is the share of neighbours of different classes in the middle
+    one of the corpus's natural strings.
     """
     n = F.greatest(F.length(token) - 1, F.lit(1)).cast("double")
     x = F.least((F.regexp_count(token, F.lit(CLASS_RUNS)) - 1) / n, F.lit(0.999))
@@ -165,11 +165,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     tested = lambda c: F.struct(*[c[x].alias(x) for x in ("start", "kind", "end", "match")], (-F.log10(F.greatest(battery(c["match"]), F.lit(1e-60)))).alias("not_random"))
     found = F.when(F.size("found") > 0, F.transform(apart(F.col("found"), F.col("base"), 3), tested))
     scanned = stored(scanned.select("doc_id", "base", F.coalesce(found, F.array().cast("array<struct<start:int,kind:int,end:int,match:string,not_random:double>>")).alias("found")), "secrets")
-    candidates = scanned.select(F.explode("found").alias("c")).select(F.col("c.match").alias("token"), "c.not_random")
-    changes = candidates.agg(F.sum(F.regexp_count("token", F.lit(CLASS_RUNS)) - 1), F.sum(F.length("token") - 1)).first()
-    rate = F.lit(min(NATURAL_RATE[1], max(NATURAL_RATE[0], ((changes[0] or 0) + 1) / ((changes[1] or 0) + 100))))
-    judged = candidates.select(length_class(F.col("token")).alias("size"), natural_log_p(F.col("token"), rate).alias("not_natural"), "not_random")
-    natural, random = discovery_limits(judged, "not_natural", FALSE_SHARE), discovery_limits(judged, "not_random", LOST_SHARE)
+    candidates = scanned.select(F.explode("found").alias("c")).select(F.col("c.match").alias("token"), "c.not_random").withColumn("size", length_class(F.col("token")))
+    random = discovery_limits(candidates, "not_random", LOST_SHARE)
+    # natural strings are those that the battery rejects, each counted once
+    natural = candidates.filter(beyond(F.col("not_random"), F.col("size"), random)).select("token").distinct()
+    changes = (F.regexp_count("token", F.lit(CLASS_RUNS)) - 1) / (F.length("token") - 1)
+    middle = natural.agg(F.percentile_approx(changes, 0.5, 1000)).first()[0] or 0.0
+    rate = F.lit(float(min(NATURAL_RATE[1], max(NATURAL_RATE[0], middle))))
+    judged = candidates.select("size", natural_log_p(F.col("token"), rate).alias("not_natural"))
+    natural = discovery_limits(judged, "not_natural", FALSE_SHARE)
 
     def secret(c: Column) -> Column:
         size, evidence = length_class(c["match"]), natural_log_p(c["match"], rate)
