@@ -38,6 +38,38 @@ def test_resampling_of_awkward_rows(spark):
     assert one_kind.filter("kept").count() == len(texts())
 
 
+def test_resampling_against_brute_force(spark):
+    """Counts, weights and the drawn sample, from the texts in plain Python."""
+    rows, labels = corpus()
+    got = {r.doc_id: r for r in quality_classifier.importance_resample(documents(spark, rows), labelled(spark, labels[:200])).collect()}
+    n = quality_classifier.BUCKETS
+    grams = {i: quality_classifier.ngrams(t) for i, t, _ in rows}
+    raw = sum(np.bincount(g, minlength=n) for g in grams.values()) + 0.5
+    target = sum(np.bincount(grams[i], minlength=n) for i, q, _ in labels[:200] if q == 1).astype(float)
+    target = target + 0.5 * (target.sum() + 1) / raw.sum() * raw / raw.mean()
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for i, g in grams.items():
+        assert got[i].n_ngrams == len(g)
+        assert got[i].log_weight == pytest.approx(ratio[g].sum() * 50 / (len(g) + 50), abs=1e-9)
+    k = round(400 * np.mean([q for _, q, _ in labels[:200]]))
+    best = sorted(got.values(), key=lambda r: -r.key)[:k]
+    assert {r.doc_id for r in got.values() if r.kept} == {r.doc_id for r in best}
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Over 400 seeds: the frequencies of sampling one after another in proportion to the weights."""
+    weights = np.array([0.0, 0.3, 0.7, 1.2, 2.0, 3.0])
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "doc_id long, w double").crossJoin(spark.range(400).toDF("seed"))
+    df = df.withColumn("key", quality_classifier.gumbel_key(F.col("w"), F.col("seed").cast("string"), F.col("doc_id"))).toPandas()
+    rank = df.groupby("seed").key.rank(ascending=False)
+    got = df[rank <= 2].doc_id.value_counts().reindex(range(6), fill_value=0).to_numpy() / 400
+    p = np.exp(weights) / np.exp(weights).sum()
+    want = np.array([p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(6) if j != i) for i in range(6)])
+    assert np.abs(got - want).max() < 4 * np.sqrt(0.25 / 400)
+    first = df[rank <= 1].doc_id.value_counts().reindex(range(6), fill_value=0).to_numpy() / 400
+    assert np.abs(first - p).max() < 4 * np.sqrt(0.25 / 400)
+
+
 def test_top_threshold_is_exact(spark):
     keys = np.random.default_rng(0).normal(size=5000).tolist() + [0.5] * 10
     df = spark.createDataFrame([(k,) for k in keys], "key double")
@@ -57,6 +89,33 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.allclose(got.score.sort_index(), again.score.sort_index())
 
 
+def test_interactions_that_no_additive_model_has(spark):
+    """An insult alone and a group alone are harmless, and so is neither; the two together aren't."""
+    rows, labels = [], []
+    for i in range(1200):
+        insult, group = i % 2, i // 2 % 2
+        text = words(i, 12, 900) + (" wretched" if insult else "") + (" foreigners" if group else "")
+        rows.append((i, text, "s"))
+        labels.append((i, 1, insult * group if i % 4 else 1 - max(insult, group)))
+    # toxic where both or neither are: no sum of a weight for each term has this order
+    truth = {i: int((i % 2) == (i // 2 % 2)) for i in range(1200)}
+    labels = [(i, 1, truth[i]) for i in range(1200)]
+    got = toxicity.toxicity(documents(spark, rows), labelled(spark, labels)).filter("held_out").toPandas()
+    assert np.mean([truth[i] == p for i, p in zip(got.doc_id, got.predicted)]) >= 0.95
+
+
+def test_machine_against_brute_force():
+    random = np.random.default_rng(0)
+    place = np.full(toxicity.BUCKETS, -1, dtype=np.int32)
+    place[:40] = np.arange(40)
+    m = toxicity.Machine(place, 0.3, random.normal(size=40), random.normal(size=(40, toxicity.FACTORS)))
+    for _ in range(20):
+        ids = np.unique(random.integers(0, 60, 12))
+        held = [i for i in ids if i < 40]
+        margin = 0.3 + sum(m.weight[i] for i in held) + sum(m.factor[i] @ m.factor[j] for a, i in enumerate(held) for j in held[:a])
+        assert m.score(ids) == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+
 def test_held_out_labels_have_no_part(spark):
     rows, labels = corpus()
     df = labelled(spark, labels)
@@ -109,6 +168,35 @@ def test_nearest_of_awkward_rows(spark):
     assert [r.vec_id for r in got] == list(range(10))
 
 
+def test_small_blocks_and_a_hot_cell(spark, monkeypatch):
+    """Over many blocks and parts, a third of all vectors being one: the same neighbours as one by one."""
+    monkeypatch.setattr(nearest, "BLOCK_VECTORS", 100)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 3)
+    random = np.random.default_rng(4)
+    x = random.normal(size=(1500, 6)).round(3)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell int, score string")
+    got = nearest.nearest_neighbours(df, aim=0.99).toPandas()
+    hits = 0
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 10 and np.allclose(own.score, d[own.vec_id], rtol=0, atol=1e-12)
+        hits += len(set(want) & set(own.vec_id))
+    assert hits / 150 >= 0.9
+
+
+def test_blocks_hold_all_vectors():
+    counts = np.array([5, 0, 250, 30, 90, 60, 1])
+    first, spread = nearest.block_table(counts, 100)
+    held = {}
+    for cell, n in enumerate(counts):
+        for s in range(spread[cell]):
+            held[first[cell] + s] = held.get(first[cell] + s, 0) + n / spread[cell]
+    assert max(held.values()) <= 100 and sum(held.values()) == counts.sum() and spread[2] == 3
+
+
 def test_cells_are_visited_in_order_of_distance():
     random = np.random.default_rng(3)
     index = nearest.MultiIndex(2, random.normal(size=(9, 2)), random.normal(size=(7, 2)))

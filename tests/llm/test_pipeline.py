@@ -1,6 +1,7 @@
 import corpus_pipeline
 import numpy as np
 import pytest
+from fixture import documents, empty
 from oracle import SF
 
 from plume.llm import common, near_duplicates, packing, personal
@@ -53,7 +54,7 @@ def test_personal_data_is_gone(stages, spark):
     _, before, after = stages[2]
     assert sorted(before.doc_id) == sorted(after.doc_id)
     left = personal.personal(spark.createDataFrame(after[["doc_id", "text"]])).toPandas()
-    assert left[["n_email", "n_ip", "n_phone"]].sum().sum() == 0
+    assert left[["n_email", "n_ip", "n_card", "n_phone"]].sum().sum() == 0
     changed = before.set_index("doc_id").text.sort_index() != after.set_index("doc_id").text.sort_index()
     assert after.set_index("doc_id").text.sort_index()[changed].str.contains("<(?:email|ip|card|phone|context)>").all()
     assert (after.n_chars == after.text.str.len()).all()
@@ -70,3 +71,23 @@ def test_sequences_hold_the_mix(stages):
     assert after.length.sum() == sum(tokens)
     assert after.groupby("sequence_id").length.sum().max() <= 4096
     assert after.sequence_id.nunique() <= np.ceil(sum(tokens) / 4096) * 1.1 + 2
+
+
+def test_awkward_and_empty_tables_pass_all_stages(spark, tmp_path):
+    for name, docs in (("awkward", documents(spark)), ("empty", empty(spark))):
+        for kind, table in (("documents", docs), ("labels", spark.createDataFrame([(1, 1, 0), (11, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"))):
+            table.write.parquet(f"{tmp_path}/{name}/{kind}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
+        assert (len(out) > 0) == (name == "awkward")
+        assert out.empty or out.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_stages_take_effect_on_rows_without_doc_id(spark):
+    text = "mail x.y@z.org now " + " ".join(f"v{k}" for k in range(60))
+    docs = documents(spark, [(None, text, "s"), (None, text + " end", "s"), (3, text, "s"), (3, "two of one id", "s"), (4, None, None)])
+    clean = corpus_pipeline.personal_data(spark, docs, "").collect()
+    assert not any("@" in (r.text or "") for r in clean) and len(clean) == 5
+    once = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in once if r.text) == [(3, text), (3, "two of one id")] or len(once) == 3
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.filter("text is null").count() == 0

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ from fixture import documents, empty, texts
 from oracle import SF, assert_same
 from pyspark.sql import functions as F
 
-from plume.llm import mixing, near_duplicates, oracles, packing, personal, quality_rules, queries, secrets, substrings
+from plume.llm import common, components, mixing, near_duplicates, oracles, packing, personal, quality_rules, queries, secrets, substrings
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -45,6 +47,22 @@ def test_repeats_against_brute_force(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_batches_are_bounded_by_characters():
+    import pandas as pd
+
+    frame = pd.DataFrame({"text": ["a" * 10, None, "b" * 25, "c" * 4, "d" * 4, ""], "k": range(6)})
+    parts = [p["k"].tolist() for p in common.slices(iter([frame]), 12)]
+    assert parts == [[0, 1], [2], [3, 4, 5]]
+    assert list(common.slices(iter([frame.iloc[:0]]))) == []
+
+
+def test_settings_come_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    substrings.remove_repeats(empty(spark)).count()
+    assert spark.conf.get(key) == before
+
+
 def test_equal_windows_have_equal_anchors():
     random = np.random.default_rng(0)
     for trial in range(30):
@@ -90,6 +108,28 @@ def test_near_duplicates_against_brute_force(spark, n):
     assert near_duplicates.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_doc_id_are_linked(spark):
+    """Null ids, equal rows and two texts of one id: one row of each group stays."""
+    base = " ".join(f"v{k}" for k in range(80))
+    near = base.replace("v40", "x")
+    other = " ".join(f"z{k}" for k in range(80))
+    rows = [(None, base, "s"), (None, near, "s"), (None, other, "t"), (5, other, "s"), (5, base, "s"), (5, base, "s"), (7, "", "s"), (7, "", "s")]
+    out = near_duplicates.one_of_each_group(documents(spark, rows), n=2).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(5, base), (5, other), (7, ""), (7, "")])
+    got = near_duplicates.near_duplicates(documents(spark, [r for r in rows if r[0] is None]), n=2).collect()
+    assert all(r.component_id is None for r in got) and len(got) == 3
+    nameless = near_duplicates.one_of_each_group(documents(spark, [r for r in rows if r[0] is None]), n=2)
+    assert nameless.count() == 2 and nameless.columns == documents(spark).columns
+    assert near_duplicates.one_of_each_group(empty(spark)).count() == 0
+
+
+def test_components_of_a_chain_a_hub_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(100, 400)] + [(1000 + i, 1000) for i in range(1, 500)] + [(7, 7), (9, 8)]
+    got = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**dict.fromkeys(range(100, 401), 100), **dict.fromkeys(range(1000, 1500), 1000), 8: 8, 9: 8}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_a_large_group_of_near_copies(spark):
     """Over a list's length, with edits that part some members from most others."""
     random = np.random.default_rng(1)
@@ -210,6 +250,53 @@ def test_the_battery_adds_random_strings_only(spark):
     assert not any(got[100 + i] for i in range(400))
 
 
+def battery(token):
+    """The three tests in plain Python."""
+    t = token.rstrip("=")
+    n = len(t)
+    digits, capitals, small, others = next(own for _, pattern, own in secrets.ENCODINGS if re.search(pattern, t))
+    size = digits + capitals + small + others
+    two = lambda z: math.erfc(min(abs(z), 30) / math.sqrt(2))
+    chi = sum(c * c for c in Counter(t).values()) * size / n - n
+    df = size - 1
+    uniform = two((max(chi, 0) / df) ** (1 / 3) / math.sqrt(2 / (9 * df)) - (1 - 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+    change = 1 - sum((c / size) ** 2 for c in (digits, capitals, small, others))
+    runs = two((len(re.findall(secrets.CLASS_RUNS, t)) - 1 - (n - 1) * change) / math.sqrt((n - 1) * change * (1 - change)))
+    codes = np.array([ord(c) for c in t], dtype=float)
+    codes -= codes.mean()
+    var = (codes**2).sum()
+    serial = two((codes[1:] * codes[:-1]).sum() / var * math.sqrt(n)) if var > 0 else 0.0
+    return min(1.0, 3 * min(uniform, runs, serial))
+
+
+ALPHABETS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "small base32": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def test_battery_against_python(spark):
+    random = np.random.default_rng(8)
+    tokens = ["".join(random.choice(list(a), n)) for a in ALPHABETS.values() for n in (20, 31, 64)] + ["a" * 30, "internationalization-and-more", "0123456789abcdefghijklmnopqrstuv", "QUJDREVGRw0123456789xyz=="]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(battery(r.t), rel=1e-3, abs=1e-6), r.t
+
+
+def test_random_strings_of_every_encoding_are_found(spark):
+    random = np.random.default_rng(6)
+    lengths = {"hex": 28, "HEX": 30}
+    keys = [(name, "".join(random.choice(list(a), lengths.get(name, 44)))) for name, a in ALPHABETS.items() for _ in range(12)]
+    keys = [(name, k + ("==" if name == "base64" else "")) for name, k in keys]
+    plain = ["internationalization-and-more", "anotherverylongnaturalwordhere", "THISISALONGHEADLINEOFWORDS", "Some-Hyphenated-Headline-Of-Words", "abcabcabcabcabcabcabcabc", "00000000000000000000001", "AbAbAbAbAbAbAbAbAbAbAbAb"]
+    rows = [(i, f"see {k} there", "s") for i, (_, k) in enumerate(keys)] + [(1000 + i, f"see {plain[i % 7]} there", "s") for i in range(700)]
+    got = {r.doc_id: r.spans for r in secrets.secrets(documents(spark, rows)).collect()}
+    found = Counter(name for i, (name, k) in enumerate(keys) if got[i] == f"random:4:{4 + len(k)}")
+    assert all(found[name] >= 9 for name in ALPHABETS), found
+    assert not any(got[1000 + i] for i in range(700))
+
+
 def luhn(digits):
     values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(v - 9 if v > 9 else v for v in values) % 10 == 0
@@ -250,6 +337,52 @@ def test_contexts_find_unseen_shapes(spark):
     assert got[300] == "" and not any(got[200 + i] for i in range(30))
 
 
+def test_unseen_forms_are_found_by_their_contexts(spark):
+    """Recall and precision on planted forms that no fixed form has, in contexts of several words on both sides."""
+    r = np.random.default_rng(9)
+    fill = lambda: " ".join(f"w{'abcdefghij'[k]}" for k in r.integers(0, 10, 6))
+    contexts = ["please reach me under {} any time", "my account is {} thanks", "write to {} soon"]
+    seeds = [lambda: f"+1 ({r.integers(100, 999)}) 555-{r.integers(1000, 9999)}", lambda: f"user{r.integers(9999)}@mail.example.com", lambda: f"10.{r.integers(255)}.{r.integers(255)}.{r.integers(1, 255)}"]
+    fresh = [lambda: f"{r.integers(100, 999)}-{r.integers(10, 99)}-{r.integers(1000, 9999)}", lambda: f"DE{r.integers(10**17, 10**18)}", lambda: f"{r.integers(10**15, 10**16)}", lambda: f"@handle_{'xyz'[r.integers(3)]}{r.integers(10, 99)}", lambda: f"ab{r.integers(10, 99)}-cd{r.integers(10, 99)}"]
+    rows, planted = [], {}
+    for i in range(300):
+        rows.append((i, f"{fill()} {contexts[i % 3].format(seeds[i // 3 % 3]())} {fill()}", "s"))
+    for i in range(300, 360):
+        value = fresh[i % 5]()
+        text = f"{fill()} {contexts[i // 5 % 3].format(value)} {fill()}"
+        rows.append((i, text, "s"))
+        if not personal_base(text):
+            planted[i] = f"context:{text.index(value)}:{text.index(value) + len(value)}"
+    for i in range(400, 600):
+        rows.append((i, f"{fill()} order number {r.integers(10**5, 10**9)} shipped {fill()} version {r.integers(1, 9)}.{r.integers(10, 99)} {fill()}", "s"))
+    got = {x.doc_id: x.spans for x in personal.personal(documents(spark, rows)).collect()}
+    recall = np.mean([got[i] == want for i, want in planted.items()])
+    flagged = [i for i in got if "context" in got[i]]
+    precision = np.mean([i in planted for i in flagged])
+    assert len(planted) >= 50 and recall >= 0.95 and precision >= 0.95, (recall, precision)
+
+
+def personal_base(text):
+    only = re.sub("[^0-9]", "", text)
+    return any(len(m) >= 14 and luhn(m) for m in re.findall("[0-9]{14,19}", text)) or "@mail" in text or only == ""
+
+
+def test_texts_with_very_many_matches(spark):
+    """The work grows with the number of matches, not with its square."""
+    numbers = " ".join(str(k * 7919 % 100000) for k in range(100_000))
+    mails = " ".join(f"u{k}@x{k % 7}.org" for k in range(20_000))
+    keys = " ".join(f"token=abcdefgh{k}" for k in range(20_000))
+    rows = [(1, numbers, "s"), (2, mails, "s"), (3, keys, "s")]
+    began = time.monotonic()
+    got = {x.doc_id: x for x in personal.personal(documents(spark, rows)).collect()}
+    assert got[2].n_email == 20_000 and got[1].n_email == 0
+    found = {x.doc_id: x for x in secrets.secrets(documents(spark, rows)).collect()}
+    assert found[3].n_assign == 20_000
+    out = {x.doc_id: x.text for x in personal.redact(documents(spark, rows)).collect()}
+    assert out[2] == " ".join(["<email>"] * 20_000)
+    assert time.monotonic() - began < 120
+
+
 def test_redacted_texts(spark):
     docs = documents(spark)
     out = {r.doc_id: r for r in personal.redact(docs).collect()}
@@ -272,6 +405,67 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_inclusion_follows_the_size(spark):
+    """Twenty sources alike are twenty draws: documents are taken as often as their expected copies say."""
+    sizes = [9, 16, 25, 36, 49, 64, 81, 100, 121, 144] * 40
+    rows = [(s * 1000 + k, " ".join(["w"] * n), f"s{s:03d}") for s in range(20) for k, n in enumerate(sizes)]
+    got = mixing.mix_sources(documents(spark, rows), weights=(1,), share=0.6).toPandas()
+    copies = got.groupby("size").copies.mean()
+    level = 0.6 * sum(sizes) / sum(n * np.sqrt(n) for n in sizes)
+    want = np.minimum(level * np.sqrt(copies.index.to_numpy()), 2)
+    assert want[0] < 0.25 and want[-1] > 0.7
+    assert np.abs(copies.to_numpy() - want).max() < 0.08, (copies, want)
+    taken = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((taken.taken - taken.target).abs() <= 5).all()
+
+
+def test_mix_of_awkward_rows(spark):
+    got = mixing.mix_sources(documents(spark)).toPandas()
+    assert len(got) == len(texts()) and (got.taken == got.copies * got["size"]).all() and got.copies.between(0, 2).all()
+    assert got["size"].sum() == sum(len(split(t)) for _, t, _ in texts())
+    per = got.fillna({"source": "none"}).groupby("source").agg(target=("target", "first"), size=("source_size", "first"), taken=("taken", "sum"), longest=("size", "max"))
+    assert (per.target <= 2 * per["size"] + 1e-9).all() and ((per.taken - per.target).abs() <= per.longest).all()
+
+
+def slow_sum_of_squares(lengths, capacity):
+    """The rule as it is said: try every gap, take the least sum of squares."""
+    open_, where = [], []
+    for s in lengths:
+        best = None
+        for gap in sorted({g for g in open_ if g >= s}) + [capacity]:
+            left = [*open_]
+            if gap != capacity or capacity in left:
+                if gap in left:
+                    left.remove(gap)
+            if 0 < gap - s < capacity:
+                left.append(gap - s)
+            cost = sum(c * c for c in Counter(left).values())
+            if best is None or cost < best[0]:
+                best = cost, gap, left
+        where.append(capacity - best[1])
+        open_ = best[2]
+    return where
+
+
+def test_sum_of_squares_against_the_rule():
+    for seed in range(20):
+        lengths = np.random.default_rng(seed).integers(1, 31, 60)
+        _, offsets = packing.sum_of_squares(lengths, 30)
+        assert offsets.tolist() == slow_sum_of_squares(lengths.tolist(), 30)
+
+
+def test_packing_in_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_PIECES", 100)
+    rows = [(i, words_of(i), "s") for i in range(450)]
+    got = packing.pack_documents(documents(spark, rows)).toPandas()
+    assert got.sequence_id.map(lambda s: s >> 32).nunique() == 5 and sorted(got.doc_id) == list(range(450))
+    assert got.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def words_of(i):
+    return " ".join(f"w{(i * 7 + k) % 50}" for k in range(20 + i % 90))
+
+
 def test_packing_is_exact_and_gapless(spark):
     from tokenizers import Tokenizer
 
