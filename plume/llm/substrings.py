@@ -170,14 +170,16 @@ def starts_of(runs: np.ndarray | None) -> np.ndarray:
     return np.unique(start + np.arange(len(start)))
 
 
-def seen_before(prints: Prints, whole: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """Windows whose words also start earlier in the same document."""
-    at = np.flatnonzero(whole)
-    long, short = prints.long(at, size), prints.short(at, size)
+def own_repeats(h: np.ndarray, wall: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (first window, number) of the windows whose words also start earlier in the same document."""
+    at, prints, owner = np.flatnonzero(whole_windows(wall, size)), Prints(h), np.cumsum(wall)
+    long = prints.long(at, size)
     order = np.argsort(long, kind="stable")  # places of one document stay in order and, for equal hashes, side by side
-    before, after = order[:-1], order[1:]
-    again = (long[before] == long[after]) & (short[before] == short[after]) & (owner[at[before]] == owner[at[after]])
-    return at[after[again]]
+    equal = np.flatnonzero(long[order[:-1]] == long[order[1:]])
+    before, after = at[order[equal]], at[order[equal + 1]]
+    again = np.sort(after[(owner[before] == owner[after]) & (prints.short(before, size) == prints.short(after, size))])
+    first = np.flatnonzero((np.diff(again, prepend=-2) != 1) | (np.diff(owner[again], prepend=-1) != 0))
+    return again[first], np.diff(np.append(first, len(again)))
 
 
 def texts_by_id(docs: DataFrame) -> DataFrame:
@@ -185,12 +187,12 @@ def texts_by_id(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """of, of_check, runs: the runs of windows that also start in a document of a smaller doc_id.
+    """of, of_check, runs: the runs of windows that also start earlier, in a document of a smaller doc_id or the same one.
 
     ``docs`` has doc_id, text, check. Names are hashes of what they name, so
     that they are the same in all tasks. First round: symbols of token runs
     and pairs, one for each run of windows that has it inside; Spark counts
-    them, and those of one document alone are dropped. Second round: all
+    them, and those of one document alone are dropped (what a document repeats of itself is known at once, rows without a name). Second round: all
     words of such a run of windows are one symbol of a higher level. Where
     it occurs again, the whole run is a repeat; its first document stands for all.
     Third round: where one low symbol has several high ones, the
@@ -211,9 +213,12 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             key = mixed(name + mixed(print_ | row.astype(np.uint64)))
             once = np.sort(np.unique(key, return_index=True)[1])
             name, at, number, print_, row = name[once], at[once], number[once], print_[once], row[once]
-            check = frame["check"].to_numpy(dtype=np.uint64)[row]
+            checks, ids = frame["check"].to_numpy(dtype=np.uint64), frame["doc_id"].to_numpy()
             run = (at - offsets[row]) << 32 | number
-            yield pd.DataFrame({"name": name.view(np.int64), "doc_id": frame["doc_id"].to_numpy()[row], "tag": (print_ | check).view(np.int64), "run": run})
+            yield pd.DataFrame({"name": pd.array(name.view(np.int64), dtype="Int64"), "doc_id": ids[row], "tag": (print_ | checks[row]).view(np.int64), "run": run})
+            at, number = own_repeats(h, wall, size)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            yield pd.DataFrame({"name": pd.array([None] * len(at), dtype="Int64"), "doc_id": ids[row], "tag": checks[row].view(np.int64), "run": (at - offsets[row]) << 32 | number})
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
@@ -234,18 +239,18 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     upper, check = F.shiftright("tag", 32).cast("int"), F.col("tag").bitwiseAND(F.lit(LOWER))
     symbols = stored(known.mapInPandas(reveal, "name long, doc_id long, tag long, run long"), "symbols")
     # low symbols of several documents
-    high = symbols.select("name", "doc_id", upper.alias("high"))
+    high = symbols.filter("name is not null").select("name", "doc_id", upper.alias("high"))
     low = high.groupBy(F.col("name").alias("of")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("high").alias("h0"), F.max("high").alias("h1"))
     low = low.filter("least < most").select("of", (F.col("h0") < F.col("h1")).alias("several"))
     shared = stored(symbols.join(low, F.col("name") == F.col("of")).drop("of"), "shared")
-    discard(symbols)
     # high symbols: all but the first document repeat the whole run
     first = shared.groupBy(F.col("name").alias("of"), upper.alias("high")).agg(F.min("doc_id").alias("least"))
     runs = shared.withColumn("own_high", upper).join(first, (F.col("name") == F.col("of")) & (F.col("own_high") == F.col("high")))
     later = F.col("doc_id") > F.col("least")
-    runs = runs.filter(later | F.col("several")).groupBy(F.col("doc_id").alias("of"), check.alias("of_check"))
-    runs = stored(runs.agg(F.collect_list(F.when(later, F.col("run"))).alias("sure"), F.collect_list(F.when(~later, F.col("run"))).alias("runs")), "runs")
-    discard(shared)
+    runs = runs.filter(later | F.col("several")).select("doc_id", "tag", "run", later.alias("sure"))
+    runs = runs.union(symbols.filter("name is null").select("doc_id", "tag", "run", F.lit(True))).groupBy(F.col("doc_id").alias("of"), check.alias("of_check"))
+    runs = stored(runs.agg(F.collect_list(F.when(F.col("sure"), F.col("run"))).alias("sure"), F.collect_list(F.when(~F.col("sure"), F.col("run"))).alias("runs")), "runs")
+    discard(symbols, shared)
     # windows at the ends of repeats
     open_ = runs.filter(F.size("runs") > 0).select("of", "of_check", "runs")
     open_ = known.join(open_, (F.col("doc_id") == F.col("of")) & (F.col("check") == F.col("of_check"))).select("doc_id", "text", "check", "runs")
@@ -280,18 +285,17 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
-            split = [(t or "").encode().split() for t in frame["text"]]
-            h, wall, counts = named(split)
-            offsets = np.cumsum([0, *(c + 1 for c in counts)])
-            own = [starts_of(r) for r in frame["runs"]]
-            starts = [s + offset for s, offset in zip(own, offsets)]
-            starts.append(seen_before(Prints(h), whole_windows(wall, size), np.cumsum(wall), size))
-            starts = np.concatenate(starts)
-            change = np.bincount(starts, minlength=len(h) + size + 1) - np.bincount(starts + size, minlength=len(h) + size + 1)
-            stays = np.cumsum(change)[: len(h)] == 0
             rows = []
-            for doc_id, words, offset in zip(frame["doc_id"], split, offsets):
-                kept = [words[i] for i in np.flatnonzero(stays[offset : offset + len(words)])]
+            for doc_id, text, runs in zip(frame["doc_id"], frame["text"], frame["runs"]):
+                words = kept = (text or "").encode().split()
+                if doc_id is None:
+                    h, wall, _ = named([words])
+                    first, number = own_repeats(h, wall, size)
+                    runs = first << 32 | number
+                if runs is not None and len(runs):
+                    starts = starts_of(runs)
+                    change = np.bincount(starts, minlength=len(words) + size) - np.bincount(starts + size, minlength=len(words) + size)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(change)[: len(words)] == 0)]
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
 
