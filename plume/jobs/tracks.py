@@ -83,13 +83,6 @@ def skill_darpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.darpa(pairs(spark, sf_dir))
 
 
-@query()
-def wind_drift_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = joins.asof_nearest(track(spark, sf_dir), forcing(spark, sf_dir), "sec", ["x_wind", "y_wind"])
-    t = t.withColumns({"x_current": F.col("x_wind") * 0.01, "y_current": F.col("y_wind") * 0.01})
-    return trajectory.wind_drift(t).select("traj_id", "step", F.round("factor", 6).alias("factor"), F.round("offset", 3).alias("offset"))
-
-
 K0 = "(2 * sqrt(n) / (1 + n))"
 
 
@@ -123,6 +116,35 @@ def joined(names: str, body: str) -> str:
     return with_views(names, body).replace(") ,", "),", 1)
 
 
+def forward_sql(source: str, keep: str, rounds: int = 4) -> str:
+    """Nested selects that unroll Vincenty's direct formula for lon, lat, az (degrees) and dist (m): ``keep``, lon1, lat1."""
+    a, f = "6378137e0", "(1e0 / 298.257223563e0)"
+    b = f"({a} * (1 - {f}))"
+    q = f"SELECT {keep}, lon, radians(az) AS a1, (1 - {f}) * tan(radians(lat)) AS tu, dist FROM ({source})"
+    q = f"SELECT *, 1 / sqrt(1 + tu * tu) AS cu, atan2(tu, cos(a1)) AS s1 FROM ({q})"
+    q = f"SELECT *, tu * cu AS su, cu * sin(a1) AS sa FROM ({q})"
+    q = f"SELECT *, (1 - sa * sa) * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS uu FROM ({q})"
+    q = f"SELECT *, dist / ({b} * (1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))))) AS s0, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS bb FROM ({q})"
+    q = f"SELECT *, s0 AS s FROM ({q})"
+    for _ in range(rounds):
+        q = f"SELECT *, cos(2 * s1 + s) AS m2 FROM ({q})"
+        q = f"SELECT * EXCLUDE (s, m2), s0 + bb * sin(s) * (m2 + bb / 4 * (cos(s) * (2 * m2 * m2 - 1) - bb / 6 * m2 * (4 * sin(s) * sin(s) - 3) * (4 * m2 * m2 - 3))) AS s FROM ({q})"
+    q = f"SELECT *, su * sin(s) - cu * cos(s) * cos(a1) AS t, cos(2 * s1 + s) AS m2, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS c FROM ({q})"
+    return f"SELECT {keep}, lon + degrees(atan2(sin(s) * sin(a1), cu * cos(s) - su * sin(s) * cos(a1)) - (1 - c) * {f} * sa * (s + c * sin(s) * (m2 + c * cos(s) * (2 * m2 * m2 - 1)))) AS lon1, degrees(atan2(su * cos(s) + cu * sin(s) * cos(a1), (1 - {f}) * sqrt(sa * sa + t * t))) AS lat1 FROM ({q})"
+
+
+DRIFT = "traj_id, step, x_wind, y_wind, dt, lon2, lat2"
+CARRIED = forward_sql(f"SELECT traj_id, step, x_wind, y_wind, lead(sec) OVER w - sec AS dt, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lon, lat, degrees(atan2(x_wind * 0.01e0, y_wind * 0.01e0)) AS az, sqrt(pow(x_wind * 0.01e0, 2) + pow(y_wind * 0.01e0, 2)) * (lead(sec) OVER w - sec) AS dist FROM near WINDOW w AS (PARTITION BY traj_id ORDER BY step)", DRIFT)
+RESIDUAL = vincenty_sql(f"SELECT * FROM ({CARRIED}) WHERE lon2 IS NOT NULL", "lon1", "lat1", "lon2", "lat2", DRIFT)
+
+
+@query(joined("track forcing", NEAREST.replace("FROM particles p", "FROM track p") + f", r AS (SELECT traj_id, step, distance / nullif(dt * sqrt(x_wind * x_wind + y_wind * y_wind), 0) AS factor, ((azimuth - degrees(atan2(x_wind, y_wind))) % 360 + 360) % 360 AS turn FROM ({RESIDUAL})) SELECT traj_id, step, round(factor, 6) AS factor, round(CASE WHEN turn > 180 THEN turn - 360 ELSE turn END, 3) AS offset FROM r"))
+def wind_drift_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = joins.asof_nearest(track(spark, sf_dir), forcing(spark, sf_dir), "sec", ["x_wind", "y_wind"])
+    t = t.withColumns({"x_current": F.col("x_wind") * 0.01, "y_current": F.col("y_wind") * 0.01})
+    return trajectory.wind_drift(t).select("traj_id", "step", F.round("factor", 6).alias("factor"), F.round("offset", 3).alias("offset"))
+
+
 @query(joined("particles forcing", NEAREST + " SELECT event_id, round(x_wind, 6) AS x_wind, round(y_wind, 6) AS y_wind, round(sst, 6) AS sst FROM near"))
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = joins.asof_nearest(particles(spark, sf_dir), forcing(spark, sf_dir), "sec", ["x_wind", "y_wind", "sst"])

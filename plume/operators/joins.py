@@ -5,9 +5,13 @@ Each has an equality key, so that none becomes a nested loop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plume.sources.stores import written
+
 
 def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str], slots: int = 3600) -> DataFrame:
     """``left`` with the last row of ``right`` at or before its time and the first at or after it.
@@ -91,19 +95,20 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, rad
 def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, radius: float) -> DataFrame:
     """The nearest row of ``right`` for every row of ``left``, however far, ties by ``tie``.
 
-    Rows without one within ``radius`` are looked for again within three
+    Rows without one within ``radius`` are looked for again within four
     times of it, and so on until all have one; each time only those that are left are joined.
     An empty ``right`` gives an empty result.
     """
-    found = nearest_k(left, right, key, tie, 1, radius)
-    if right.isEmpty():
-        return found
-    rest = left.join(found.select(key), key, "left_anti")
-    while radius < 2.1e7 and not rest.isEmpty():
-        radius *= 3
-        more = nearest_k(rest, right, key, tie, 1, radius)
-        found, rest = found.unionByName(more), rest.join(more.select(key), key, "left_anti")
-    return found
+    spark, parts = left.sparkSession, []
+    kept = lambda df: spark.read.parquet(written(df, "nearest"))  # noqa: E731  so that a round isn't run again in the next
+    rest, known = left, not right.isEmpty()
+    while True:
+        found = kept(nearest_k(rest, right, key, tie, 1, radius))
+        parts.append(found)
+        rest = kept(rest.join(found.select(key), key, "left_anti"))
+        if not known or radius > 2.1e7 or rest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        radius *= 4
 
 
 def inverse_distance_shares(pairs: DataFrame, key: str) -> DataFrame:
