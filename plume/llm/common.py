@@ -74,11 +74,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the tables that :func:`stored` makes meanwhile, so that they can be discarded once their result is written."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`stored` that nothing will read again."""
+    """Deletes tables made by :func:`stored` that nothing will read again, if they are still there."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)

@@ -22,6 +22,7 @@ RULES = (
     ("length", "n_words", 50, None),
     ("mean word length", "mean_word", 2.0, 14.0),
     ("symbols per word", "symbol_ratio", None, 0.20),
+    # shouted texts and table dumps, whose other ratios look normal
     ("words that end in ! or are bars", "mark_ratio", None, 0.25),
     ("stop words", "stop_ratio", 0.02, None),
     ("duplicate lines", "dup_line_ratio", None, 0.50),

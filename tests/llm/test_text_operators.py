@@ -207,8 +207,10 @@ def test_masses_of_tiny_texts(spark):
 
 
 def test_quality_rules(spark):
-    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark)).collect()}
-    for doc_id, text, _ in texts():
+    filler = "the cat and the dog of a house in it was on "
+    more = [(200 + k, filler * 6 + " ".join(f"u{k}{j}" for j in range(60)) + tail, "s") for k, tail in enumerate(("", " wow!" * 60, " | x" * 60, " ###" * 70, "\nsame line" * 80))]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, texts() + more)).collect()}
+    for doc_id, text, _ in texts() + more:
         w = [x.decode() for x in split(text)]
         grams = Counter(zip(w, w[1:], w[2:]))
         covered = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
@@ -216,7 +218,14 @@ def test_quality_rules(spark):
         r = got[doc_id]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered)), doc_id
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r.kept and r.base_failed)
+        assert r.n_symbols == sum(c in quality_rules.SYMBOLS for c in text or "")
+        n = max(len(w), 1)
+        ratios = {
+            "n_words": len(w), "mean_word": sum(map(len, w)) / n, "symbol_ratio": r.n_symbols / n, "mark_ratio": sum(x.endswith("!") or x == "|" for x in w) / n,
+            "stop_ratio": sum(x.lower() in quality_rules.STOP_WORDS for x in w) / n, "dup_line_ratio": r.n_dup_lines / max(len(lines), 1),
+        }
+        within = all((low is None or ratios[m] >= low) and (high is None or ratios[m] <= high) for _, m, low, high in quality_rules.RULES)
+        assert r.kept == (within and not r.base_failed)
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
