@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plume.llm.common import KEYS, by_keys, stored, table, with_keys
+from plume.llm.common import KEYS, by_keys, discard, scratch, stored, table, with_keys
 from plume.llm.mixing import mix_sources
 from plume.llm.near_duplicates import one_of_each_group
 from plume.llm.packing import pack_documents
@@ -79,8 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; what a stage has written on its way is deleted once its result is there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with scratch() as made:
+            out = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*[t for t in made if t.stored_path != out.stored_path], *[docs] * hasattr(docs, "stored_path"))
+        docs = out
+    return docs
