@@ -92,13 +92,13 @@ def seed_seafloor(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPECIES = f"CASE WHEN u < 0.35e0 THEN 0 WHEN u < 0.725e0 THEN 1 WHEN u < 0.9e0 THEN 2 ELSE 3 END"
 
 
-@query(f"WITH u AS (SELECT event_id, user_id, value, {uniform_sql('event_id', *text('specie'))} AS u FROM events) SELECT CAST(user_id % 4 AS INT) AS origin, CAST({SPECIES} AS INT) AS specie, count(*) AS n, round(sum(value * 870 / 3600), 4) AS mass FROM u GROUP BY ALL")
+@query(f"WITH u AS (SELECT event_id, user_id, value, {uniform_sql('event_id', *text('specie'))} AS u FROM events) SELECT CAST(user_id % 4 AS INT) AS origin, CAST({SPECIES} AS INT) AS specie, count(*) AS n, round(sum(value * 870 / 3600), 7) AS mass FROM u GROUP BY ALL")
 def seed_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements dealt to species by shares, with the oil's mass of a release in m3 an hour over a second."""
     u = hash_uniform(F.col("event_id"), F.lit("specie"))
     specie = seeding.by_shares(F.col("u"), (0.35, 0.375, 0.175, 0.1))
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("int").alias("origin"), "value", u.alias("u"))
-    return e.groupBy("origin", specie.alias("specie")).agg(F.count("*").alias("n"), r(F.sum(F.col("value") * 870 / 3600), 4, "mass"))
+    return e.groupBy("origin", specie.alias("specie")).agg(F.count("*").alias("n"), r(F.sum(F.col("value") * 870 / 3600), 7, "mass"))
 
 
 DRAWS = "[" + ", ".join(normal_sql("event_id", str(k), *text("lee")) for k in range(6)) + "]"
