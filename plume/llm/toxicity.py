@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids
+from plume.llm.common import discard, for_python, remembered, slices, stored, to_driver, unit_hash, whole_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Hashed terms; each word gives itself and its first four and six letters.
@@ -62,11 +62,22 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
+def associated(seen: np.ndarray, seen_positive: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """The ``TERMS`` hashed terms with the greatest chi-squared statistic against the label, in order.
+
+    ``seen`` has how many of the n rows hold each term, ``seen_positive``
+    how many of the positive ones.
+    """
+    expected = seen * positive / n
+    chi = np.where((seen >= 3) & (seen < n), (seen_positive - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - positive / n), 1e-9), 0)
+    kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
+    return kept[chi[kept] > 0]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """A factorization machine fitted by mini-batch AdaGrad on the logistic loss.
 
-    Of all hashed terms the ``TERMS`` with the greatest chi-squared
-    statistic against the label stay. With labels of one kind only, the
+    ``rows`` has the places of each row's terms among ``kept``. With labels of one kind only, the
     score is their share.
     """
     place = np.full(BUCKETS, -1, dtype=np.int32)
@@ -75,18 +86,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     bias = float(np.log(share / (1 - share)))
     if not 0 < positive < n:
         return Machine(place, bias, np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=BUCKETS).astype(float)
-    seen_positive = np.bincount(flat, weights=labels[owner], minlength=BUCKETS)
-    expected = seen * positive / n
-    chi = np.where((seen >= 3) & (seen < n), (seen_positive - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - positive / n), 1e-9), 0)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    kept = kept[chi[kept] > 0]
     place[kept] = np.arange(len(kept))
-    held = place[flat] >= 0
-    at, owner = place[flat][held].astype(np.int64), owner[held]
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    at = np.concatenate(rows).astype(np.int64)
+    starts = np.cumsum([0, *(len(r) for r in rows)])
 
     random = np.random.default_rng(seed)
     weight, factor = np.zeros(len(kept)), random.normal(0, 0.01, (len(kept), FACTORS))
@@ -143,10 +145,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     doc_id, text and (in ``labels``) doc_id, toxic aren't read.
     """
     spark = docs.sparkSession
-    sample = to_driver(labelled_terms(docs, labels, rows))
+    sample = stored(labelled_terms(docs, labels, rows), "labelled")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    # one row per hashed term, BUCKETS at most
+    counts = to_driver(sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("positive")))
+    seen, seen_positive = (np.bincount(counts["term"], weights=counts[c], minlength=BUCKETS) for c in ("n", "positive"))
+    kept = associated(seen, seen_positive, max(n, 1), float(positive))
+    places = spark.sparkContext.broadcast(kept)
+
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held = [np.flatnonzero(np.isin(places.value, t, assume_unique=True)).astype(np.int32) for t in frame["terms"]]
+            yield pd.DataFrame({"label": frame["label"].astype("int32"), "at": held})
+
+    # at most ``rows`` rows, of the kept terms only
+    chosen = to_driver(sample.mapInPandas(reduce, "label int, at array<int>"))
+    discard(sample)
     # the order in which rows arrive must not change the model
-    sample = sample.assign(key=[(len(t), zlib.crc32(np.asarray(t, dtype=np.int32).tobytes())) for t in sample["terms"]]).sort_values(["key", "label"])
-    machine = fit([np.asarray(t, dtype=np.int64) for t in sample["terms"]], sample["label"].to_numpy(dtype=float))
+    chosen = chosen.assign(key=[(len(t), zlib.crc32(np.asarray(t, dtype=np.int32).tobytes())) for t in chosen["at"]]).sort_values(["key", "label"])
+    machine = fit([np.asarray(t, dtype=np.int64) for t in chosen["at"]], chosen["label"].to_numpy(dtype=float), kept)
     model = spark.sparkContext.broadcast(machine)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
