@@ -22,7 +22,7 @@ WHOLE = 60
 LONG_LIST = 48
 #: Shingles and, about, classes of a block of such a list.
 BLOCK_SHINGLES = 1_000_000
-BLOCK_CLASSES = 2000
+BLOCK_CLASSES = 4000
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -66,6 +66,11 @@ def least_shared(percent: int) -> Column:
     return F.element_at(limits, size.cast("int"))
 
 
+def least_retained(percent: int) -> Column:
+    """:func:`sketch_size` of column m."""
+    return F.least(F.col("m") - F.floor((F.col("m") * percent + 99) / 100).cast("int") + 1, F.lit(SKETCH))
+
+
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, keys, n_shingles, class and sketch of every row; the smallest values of one hash, or all of a small set."""
 
@@ -94,21 +99,15 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return sets.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
 
 
-def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int, own: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect the linked classes of a block, or of two blocks across, at most one per class.
-
-    ``own`` is the block of each class. Intersections of sets are counted by
-    products of incidence blocks, for some rows at a time.
-    """
-    n = len(sets)
-    flat = np.concatenate(sets)
+def intersections(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``first`` with sets ``second``, by products of incidence blocks."""
+    flat, n = np.concatenate(sets), len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = counts[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    first, second = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     common = np.zeros((len(first), len(second)), dtype=np.float32)
     width, strip = 1024, 256
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
@@ -118,9 +117,24 @@ def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], per
         across = block[second].T
         for k in range(0, len(first), strip):
             common[k : k + strip] += block[first[k : k + strip]] @ across
+    return common
+
+
+def two_sides(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two blocks of a group, or of its only one twice."""
+    return np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+
+
+def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int, own: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the linked classes of a block, or of two blocks across, at most one per class.
+
+    ``own`` is the block of each class.
+    """
+    n, (first, second) = len(sets), two_sides(own)
+    common = intersections(sets, first, second)
     linked = np.zeros((n, n), dtype=bool)
-    for k in range(0, len(first), strip):
-        rows, both = first[k : k + strip], common[k : k + strip].astype(np.int64)
+    for k in range(0, len(first), 256):
+        rows, both = first[k : k + 256], common[k : k + 256].astype(np.int64)
         near = 100 * both >= percent * (sizes[rows][:, None] + sizes[second][None] - both)
         linked[np.ix_(rows, second)] |= near
         linked[np.ix_(second, rows)] |= near.T
@@ -182,7 +196,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rare_pairs = list_pairs(rare.filter(F.col("n") <= LONG_LIST).drop("n"), percent).select("p.a.class", "p.b.class").toDF("a", "b")
 
     # inverted lists of retained values
-    large = open_.filter(F.col("m") > WHOLE * share).withColumn("sketch", F.slice("sketch", F.lit(1), F.least(F.col("m") - F.floor((F.col("m") * percent + 99) / 100).cast("int") + 1, F.lit(SKETCH))))
+    large = open_.filter(F.col("m") > WHOLE * share).withColumn("sketch", F.slice("sketch", F.lit(1), least_retained(percent)))
     entries = large.select("class", "m", F.size("sketch").alias("k"), F.posexplode("sketch").alias("at", "value"))
     lists = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("value", "of")
     entries = stored(entries.join(lists, F.col("value") == F.col("of")).drop("of"), "lists")
@@ -192,8 +206,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     long = entries.filter(F.col("n") > LONG_LIST)
     crowded = long.groupBy("class").agg(F.first("m").alias("m"), F.first("k").alias("k"), F.count("*").cast("int").alias("long"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     crowded = stored(crowded.withColumn("prefix", F.col("long") - least_shared(percent) + 1), "crowded")
-    searched = crowded.filter("prefix > 0").select("class", F.explode(F.slice("values", F.lit(1), F.col("prefix"))["value"]).alias("value"))
-    searched = stored(searched.union(rare.filter(F.col("n") > LONG_LIST).select("class", "value")), "searched")
+    searched = crowded.filter("prefix > 0").select("class", "m", F.explode(F.slice("values", F.lit(1), F.col("prefix"))["value"]).alias("value"))
+    searched = stored(searched.union(rare.filter(F.col("n") > LONG_LIST).select("class", "m", "value")), "searched")
 
     # overlaps of the other lists
     pairs = list_pairs(entries.filter(F.col("n") <= LONG_LIST).drop("n"), percent).groupBy(F.col("p.a.class").alias("a"), F.col("p.b.class").alias("b"))
@@ -206,11 +220,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     missed = crowded.select(F.col("class"), "long")
     maybe = maybe.join(missed.toDF("a", "long_a"), "a").join(missed.toDF("b", "long_b"), "b")
     maybe = maybe.filter(F.col("shared") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
-    pairs = sure.select("a", "b").union(maybe.select("a", "b"))
-    # one class of each long list, with which all others of it are compared first
-    pivots = searched.groupBy(F.col("value").alias("of")).agg(F.min_by("class", F.xxhash64("class", "value")).alias("a"))
-    pairs = pairs.union(rare_pairs).union(searched.join(pivots, F.col("value") == F.col("of")).filter(F.col("class") != F.col("a")).select(F.least("a", "class"), F.greatest("a", "class"))).distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(sure.select("a", "b").union(maybe.select("a", "b")).union(rare_pairs).distinct(), "pairs")
 
     # full sets of what is to be verified
     used = pairs.select("a").union(pairs.select("b")).union(searched.select("class")).distinct().toDF("class")
@@ -220,20 +230,11 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     common = F.size(F.array_intersect("set_a", "set_b"))
     full = full.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common")))
     links = stored(full.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    roots = stored(connected_components(links), "roots")
-
-    # long lists, block against block; the classes of a list's main component aren't compared with each other
-    placed = searched.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = stored(placed.join(sets.select("class", "n_shingles"), "class"), "placed")
-    parts = placed.groupBy("value", "root").agg(F.count("*").alias("classes"), F.sum("n_shingles").alias("n_shingles"))
-    main = parts.groupBy(F.col("value").alias("of")).agg(F.max_by("root", F.struct("classes", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    parts = parts.join(main, F.col("value") == F.col("of"))
-    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("n_shingles"))) / BLOCK_SHINGLES), F.ceil(F.sum(F.when(own, F.col("classes"))) / BLOCK_CLASSES)).cast("int")
-    is_main = F.col("root") == F.col("main")
-    totals = parts.groupBy("of", "main").agg(blocks(~is_main).alias("others"), blocks(is_main).alias("mains"))
-    dealt = placed.join(totals, F.col("value") == F.col("of"))
-    dealt = dealt.withColumn("own", F.when(is_main, F.col("others") + F.pmod(F.xxhash64("class"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
+
+    # long lists, block against block
+    totals = searched.groupBy("value").agg(F.greatest(F.ceil(F.sum("m") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")).withColumnRenamed("value", "of")
+    dealt = searched.join(totals, F.col("value") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("class", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -242,10 +243,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     across = stored(dealt.groupBy("value", "low", "high").applyInPandas(compare, "u long, v long"), "across")
-    roots = stored(connected_components(roots.toDF("u", "v").union(across)), "components").withColumnRenamed("node", "of")
+    roots = stored(connected_components(links.union(across)), "components").withColumnRenamed("node", "of")
     out = rows.drop("sketch").join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
     out = stored(out, "groups")
-    discard(rows, kinds, rare, entries, crowded, searched, pairs, wanted, sets, links, placed, across)
+    discard(rows, kinds, rare, entries, crowded, searched, pairs, wanted, sets, links, across)
     return out
 
 
@@ -264,16 +265,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     up to ``WHOLE`` shingles are retained whole and meet in the lists of
     their rarest values, without a margin.
 
-    A list of over ``LONG_LIST`` classes gives no pairs. Linked classes that share
+    A list of over ``LONG_LIST`` classes gives no pairs by itself. Linked classes that share
     values in long lists alone share at least t of them, with the same
     margin, so each class with l >= t values there is searched by its first
     l - t + 1 in one order: two such classes have one of these in common. In
-    each long list all classes are compared with one of them first. Then
-    those of different components are compared on their full sets, in
+    each list the searched classes are compared on their full sets, in
     blocks of bounded shingles and classes, which gives no more than one
-    edge per class and block; the list's main component is compared with the
-    others alone. So no task or table holds all pairs of a group, and a
-    large group of copies of one text costs about its size.
+    edge per class and block. So no task or table holds all pairs of a
+    group, and a group of copies of one text costs no more than one of them.
 
     Null texts and texts without words have the empty set and are linked
     with nothing. Rows that repeat a doc_id or a text are members of one
