@@ -221,15 +221,18 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     maybe = maybe.join(missed.toDF("a", "long_a"), "a").join(missed.toDF("b", "long_b"), "b")
     maybe = maybe.filter(F.col("shared") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
     pairs = stored(sure.select("a", "b").union(maybe.select("a", "b")).union(rare_pairs).distinct(), "pairs")
+    discard(entries, crowded, rare)
 
     # full sets of what is to be verified
     used = pairs.select("a").union(pairs.select("b")).union(searched.select("class")).distinct().toDF("class")
     wanted = stored(kinds.join(used, "class", "left_semi").select("rep.*"), "wanted")
+    discard(kinds)
     sets = stored(wanted_sets(docs, wanted, n), "sets")
     full = pairs.join(sets.toDF("a", "size_a", "set_a"), "a").join(sets.toDF("b", "size_b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     full = full.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common")))
     links = stored(full.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    discard(pairs)
 
     # long lists, block against block
     totals = searched.groupBy("value").agg(F.greatest(F.ceil(F.sum("m") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")).withColumnRenamed("value", "of")
@@ -246,7 +249,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     roots = stored(connected_components(links.union(across)), "components").withColumnRenamed("node", "of")
     out = rows.drop("sketch").join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
     out = stored(out, "groups")
-    discard(rows, kinds, rare, entries, crowded, searched, pairs, wanted, sets, links, across)
+    discard(rows, searched, wanted, sets, links, across)
     return out
 
 
