@@ -9,20 +9,21 @@ from plume.llm.common import KEYS, SPACES, by_keys, discard, stored, with_keys
 from plume.llm.spans import beside, count_of, let, listing, masked, matches, valid
 
 KINDS = ("email", "ip", "card", "phone", "context")
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+# possessive, and only from where a run of their characters or the last match ends, so that time grows with the text
+# and nothing is recursive
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # a whole run of digits and single separators that holds 14 to 19 digits
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: An instance: a number in parentheses with what is before and after, or three groups of digits or more, or a string with a digit or @.
 MENTION = (
-    r"(?<![^\x20\x09-\x0D])(?:(?:\+?[0-9]{1,3}[\x20.-]?)?\([0-9]+\)[\x20.-]?[0-9][0-9.-]*[^\x20\x09-\x0D]*"
-    r"|\+?[0-9]{1,4}(?:\x20[0-9]{2,4}){2,}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)"
+    r"(?<![^\x20\x09-\x0D])(?:(?:\+?[0-9]{1,3}[\x20.-]?)?\([0-9]++\)[\x20.-]?[0-9][0-9.-]*+[^\x20\x09-\x0D]*+"
+    r"|\+?[0-9]{1,4}(?:\x20[0-9]{2,4}+(?![^\x20\x09-\x0D])){2,}+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 )
-#: Words of a context on each side, and the characters that are looked at for them.
+#: Words of a context on each side.
 CONTEXT_WORDS = 3
-CONTEXT_CHARS = 96
 #: Marks around an identifier that aren't part of it.
 EDGE = r"[\"'`*#$%&!?,;:.|<>()\[\]{}]"
 ROUNDS = 3
@@ -64,9 +65,8 @@ def mentions(text: Column, base: Column) -> Column:
 
         def one(all_: Column) -> Column:
             def context(s: Column, i: Column) -> Column:
-                left = F.concat_ws(" ", F.substring(F.coalesce(F.get(all_, i - 1)["match"], F.lit("")), -CONTEXT_CHARS, CONTEXT_CHARS), F.substring(F.get(gaps, i), -CONTEXT_CHARS, CONTEXT_CHARS))
-                right = F.concat_ws(" ", F.substring(F.get(gaps, i + 1), 1, CONTEXT_CHARS), F.substring(F.coalesce(F.get(all_, i + 1)["match"], F.lit("")), 1, CONTEXT_CHARS))
-                left, right = F.substring(left, -CONTEXT_CHARS, CONTEXT_CHARS), F.substring(right, 1, CONTEXT_CHARS)
+                left = F.concat_ws(" ", F.coalesce(F.get(all_, i - 1)["match"], F.lit("")), F.get(gaps, i))
+                right = F.concat_ws(" ", F.get(gaps, i + 1), F.coalesce(F.get(all_, i + 1)["match"], F.lit("")))
                 before = let(words(left), lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)))
                 return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), s["near"].alias("near"), before.alias("before"), F.slice(words(right), 1, CONTEXT_WORDS).alias("after"))
 
@@ -92,7 +92,7 @@ def graph(found: DataFrame) -> DataFrame:
     before = F.when(~F.col("seed") | (F.col("m.start") <= F.col("m.near.start")), F.col("m.before")).otherwise(F.array().cast("array<string>"))
     after = F.when(~F.col("seed") | (F.col("m.end") >= F.col("m.near.end")), F.col("m.after")).otherwise(F.array().cast("array<string>"))
     plain = lambda words: F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[0-9]+", "9"))
-    lead, tail = F.length(F.regexp_extract("m.match", f"^{EDGE}*", 0)), F.length(F.regexp_extract("m.match", f"{EDGE}*$", 0))
+    lead, tail = F.length(F.regexp_extract("m.match", f"^{EDGE}*", 0)), F.length(F.regexp_extract("m.match", f"(?<!{EDGE}){EDGE}*+$", 0))
     lead, tail = F.when(F.col("m.match").rlike(r"^\(?\+?[0-9]"), 0).otherwise(lead), tail
     core = F.substring(F.col("m.match"), lead + 1, F.greatest(F.length("m.match") - lead - tail, F.lit(0)))
     edges = edges.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plume.llm import alignment, mixing, near_duplicates, nearest, oracles, packing, personal, quality_classifier, quality_rules, secrets, substrings, toxicity
+from plume.llm import alignment, mixing, near_duplicates, near_vectors, nearest, oracles, packing, personal, quality_classifier, quality_rules, secrets, substrings, toxicity, whitening
 from plume.llm.common import table
 
 
@@ -50,12 +50,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substrings, op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op7_secrets, op8_near_duplicates, op9_personal, op10_packing, op12_alignment)}
+    return {f.__name__: f for f in (op1_substrings, op2_quality_classifier, op3_nearest, op4_toxicity, op5_mixing, op6_quality_rules, op7_secrets, op8_near_duplicates, op9_personal, op10_packing, op11_near_vectors, op12_alignment, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

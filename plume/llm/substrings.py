@@ -118,7 +118,7 @@ def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[in
 
 
 def anchors(h: np.ndarray, wall: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows for which one symbol stands: name, first window, number, print of all their words.
+    """Runs of neighbouring windows for which one symbol stands: name, first window, number, prints (32 and 64 bits) of all their words.
 
     Of all symbols that were made inside of a window alone, the one of the
     most words stands for it, of equal ones that of the least name. Equal
@@ -129,7 +129,7 @@ def anchors(h: np.ndarray, wall: np.ndarray, size: int = WINDOW) -> tuple[np.nda
     place = np.arange(n)
     whole = whole_windows(wall, size)
     if not whole.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     depth = size.bit_length() - 1
     best = np.full((depth + 1, n + size), NONE, dtype=np.uint64)
     symbols = Symbols(h, place, place, place, place, wall).runs()
@@ -158,7 +158,8 @@ def anchors(h: np.ndarray, wall: np.ndarray, size: int = WINDOW) -> tuple[np.nda
     at = np.flatnonzero(new & whole)
     run = np.cumsum(new)
     number = np.bincount(run[whole], minlength=run[-1] + 1)[run[at]]
-    return key[at], at, number, prints.short(at, number + size - 1)
+    words = number + size - 1
+    return key[at], at, number, prints.short(at, words), prints.long(at, words)
 
 
 def starts_of(runs: np.ndarray | None) -> np.ndarray:
@@ -198,6 +199,9 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Third round: where one low symbol has several high ones, the
     windows of the first document of each are compared one by one.
 
+    A high symbol has 96 bits: so many surroundings of one popular phrase
+    are told apart that texts without repeats keep their words.
+
     Columns are packed, since they are most of what is shuffled: a tag has
     32 bits of a hash of words and the check of the text, a run its first
     window and its number of windows.
@@ -206,19 +210,19 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     def reveal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
             h, wall, counts = word_names(frame["text"].tolist())
-            name, at, number, print_ = anchors(h, wall, size)
+            name, at, number, print_, whole = anchors(h, wall, size)
             offsets = np.cumsum([0, *(c + 1 for c in counts)])
             row = np.searchsorted(offsets, at, side="right") - 1
             # a document says each high symbol once
-            key = mixed(name + mixed(print_ | row.astype(np.uint64)))
+            key = mixed(name + mixed(whole + mixed(print_ | row.astype(np.uint64))))
             once = np.sort(np.unique(key, return_index=True)[1])
-            name, at, number, print_, row = name[once], at[once], number[once], print_[once], row[once]
+            name, at, number, print_, whole, row = name[once], at[once], number[once], print_[once], whole[once], row[once]
             checks, ids = frame["check"].to_numpy(dtype=np.uint64), frame["doc_id"].to_numpy()
             run = (at - offsets[row]) << 32 | number
-            yield pd.DataFrame({"name": pd.array(name.view(np.int64), dtype="Int64"), "doc_id": ids[row], "tag": (print_ | checks[row]).view(np.int64), "run": run})
+            yield pd.DataFrame({"name": pd.array(name.view(np.int64), dtype="Int64"), "high": pd.array(whole.view(np.int64), dtype="Int64"), "doc_id": ids[row], "tag": (print_ | checks[row]).view(np.int64), "run": run})
             at, number = own_repeats(h, wall, size)
             row = np.searchsorted(offsets, at, side="right") - 1
-            yield pd.DataFrame({"name": pd.array([None] * len(at), dtype="Int64"), "doc_id": ids[row], "tag": checks[row].view(np.int64), "run": (at - offsets[row]) << 32 | number})
+            yield pd.DataFrame({"name": pd.array([None] * len(at), dtype="Int64"), "high": pd.array([None] * len(at), dtype="Int64"), "doc_id": ids[row], "tag": checks[row].view(np.int64), "run": (at - offsets[row]) << 32 | number})
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
@@ -237,15 +241,15 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     known = docs.filter("doc_id is not null")
     upper, check = F.shiftright("tag", 32).cast("int"), F.col("tag").bitwiseAND(F.lit(LOWER))
-    symbols = stored(known.mapInPandas(reveal, "name long, doc_id long, tag long, run long"), "symbols")
+    symbols = stored(known.mapInPandas(reveal, "name long, high long, doc_id long, tag long, run long"), "symbols")
     # low symbols of several documents
-    high = symbols.filter("name is not null").select("name", "doc_id", upper.alias("high"))
+    high = symbols.filter("name is not null").select("name", "doc_id", "high")
     low = high.groupBy(F.col("name").alias("of")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("high").alias("h0"), F.max("high").alias("h1"))
     low = low.filter("least < most").select("of", (F.col("h0") < F.col("h1")).alias("several"))
     shared = stored(symbols.join(low, F.col("name") == F.col("of")).drop("of"), "shared")
     # high symbols: all but the first document repeat the whole run
-    first = shared.groupBy(F.col("name").alias("of"), upper.alias("high")).agg(F.min("doc_id").alias("least"))
-    runs = shared.withColumn("own_high", upper).join(first, (F.col("name") == F.col("of")) & (F.col("own_high") == F.col("high")))
+    first = shared.groupBy(F.col("name").alias("of"), F.col("high").alias("of_high"), upper.alias("of_upper")).agg(F.min("doc_id").alias("least"))
+    runs = shared.withColumn("upper", upper).join(first, (F.col("name") == F.col("of")) & (F.col("high") == F.col("of_high")) & (F.col("upper") == F.col("of_upper")))
     later = F.col("doc_id") > F.col("least")
     runs = runs.filter(later | F.col("several")).select("doc_id", "tag", "run", later.alias("sure"))
     runs = runs.union(symbols.filter("name is null").select("doc_id", "tag", "run", F.lit(True))).groupBy(F.col("doc_id").alias("of"), check.alias("of_check"))
