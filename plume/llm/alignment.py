@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,7 +40,7 @@ PAIR_BITS, PLACE_BITS = 40, 14
 #: Rows that are aligned at once.
 PART_ROWS = 4096
 #: Different pieces of text that a worker remembers, and bytes of their forms.
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 300_000
 MEMORY_BYTES = 50_000_000
 #: Ends of a piece of text behind which it isn't cut: white space to one of the libraries or another.
 UNSAFE_ENDS = "᠎​﻿"
@@ -65,6 +69,23 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+#: Pieces that both libraries for the byte-level tokenizer cut alike: no white space, no letters that came late to Unicode.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]{1,200}")
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The merge ranks of a byte-level vocabulary, if its ids are in the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab, letters = model["vocab"], byte_letters()
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    single = {bytes([b]): vocab.get(c, made[0]) for c, b in letters.items()}
+    if made != sorted(set(made)) or max(single.values()) >= made[0]:
+        return None
+    names = {i: t for t, i in vocab.items()}
+    return single | {bytes(letters[c] for c in names[i]): i for i in made}
+
+
 class Aligner:
     """Both tokenizers, and what they make of pieces of text: groups, links and their text form."""
 
@@ -73,13 +94,17 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        ranks = ranks_of(a_path)
+        self.merge = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
         letters = byte_letters()
-        size = self.a.get_vocab_size()
-        self.a_bytes = [bytes(letters.get(c, 63) for c in self.a.id_to_token(i)) for i in range(size)]
+        self.a_bytes = [bytes(letters.get(c, 63) for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
         self.width = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b.id_to_piece(i) for i in range(self.width))]
-        self.a_sizes = [len(x) for x in self.a_bytes]
-        self.b_sizes = [len(x) for x in self.b_bytes]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.a_bytes, self.b_bytes))
+        digits = [str(i).encode() for i in range(max(len(self.a_bytes), self.width))]
+        self.places_of_digits = len(digits[-1])
+        self.digits = np.frombuffer(b"".join(d.ljust(self.places_of_digits + 1) for d in digits), dtype=np.uint8).reshape(len(digits), -1)
+        self.n_digits = np.array([len(d) for d in digits])
         self.blank = self.b.piece_to_id("▁")
         self.forget()
 
@@ -91,38 +116,59 @@ class Aligner:
         self.starts = np.zeros(1, np.int64)
         self.sizes = np.zeros((0, 4), np.int64)
 
-    def encoded(self, piece: str, a: list[int], b: list[int]) -> tuple[bytes, list[int], tuple[int, int, int, int]]:
-        """Form, links and sizes (A tokens, B tokens, groups, 1 if the bytes are right) of a piece from its ids."""
-        whole = b" " + piece.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return b"", [], (0, 0, 0, 0)
-        links, groups, own, other = [], [], [], []
-        i = j = at_a = at_b = 0
-        while i < len(a):
-            links.append(a[i] * self.width + b[j])
-            end_a, end_b = at_a + self.a_sizes[a[i]], at_b + self.b_sizes[b[j]]
-            if end_a <= end_b:
-                own.append(str(a[i]))
-                i, at_a = i + 1, end_a
-            if end_b <= end_a:
-                other.append(str(b[j]))
-                j, at_b = j + 1, end_b
-            if end_a == end_b:
-                groups.append(f"{','.join(own)}|{','.join(other)}")
-                own, other = [], []
-        return ";".join(groups).encode(), links, (len(a), len(b), len(groups), 1)
-
     def learn(self, pieces: list[str]) -> None:
-        """Remembers pieces not known yet."""
-        a = [x.ids for x in self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+        """Remembers pieces not known yet; those whose bytes don't come back have no tokens."""
+        plain = [bool(self.merge and PLAIN.fullmatch(p)) for p in pieces]
+        others = iter(self.a.encode_batch([" " + p for p, own in zip(pieces, plain) if not own], add_special_tokens=False))
+        a = [self.merge(" " + p) if own else next(others).ids for p, own in zip(pieces, plain)]
         b = [x if p else [self.blank] for p, x in zip(pieces, self.b.encode(pieces, num_threads=1))]
-        made = [self.encoded(*x) for x in zip(pieces, a, b)]
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        whole = b"".join([b" " + p.encode() for p in pieces])
+        right = [True] * len(pieces)
+        if b"".join(map(self.a_bytes.__getitem__, flat_a)) != whole or b"".join(map(self.b_bytes.__getitem__, flat_b)) != whole:
+            join = lambda own, ids: b"".join([own[i] for i in ids])
+            right = [join(self.a_bytes, x) == b" " + p.encode() == join(self.b_bytes, y) for p, x, y in zip(pieces, a, b)]
+            a, b = ([x for x, own in zip(ids, right) if own] for ids in (a, b))
+            flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        forms, links, sizes = self.aligned(np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64), np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64))
+        right = np.array(right, dtype=bool)
+        every = np.zeros((len(pieces), 5), np.int64)
+        every[right] = sizes
+        each = iter(forms)
         self.known.update(zip(pieces, range(len(self.forms), len(self.forms) + len(pieces))))
-        self.forms.extend(m[0] for m in made)
-        self.weight += sum(len(m[0]) for m in made)
-        self.links = np.concatenate([self.links, *[np.array(m[1], dtype=np.int64) for m in made]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(m[1]) for m in made])])
-        self.sizes = np.concatenate([self.sizes, np.array([m[2] for m in made], dtype=np.int64)])
+        self.forms.extend(next(each) if own else b"" for own in right)
+        self.weight += sum(map(len, forms))
+        self.links = np.concatenate([self.links, links])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(every[:, 3])])
+        self.sizes = np.concatenate([self.sizes, every[:, [0, 1, 2, 4]]])
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Forms, links and sizes (A tokens, B tokens, groups, links, 1) of pieces that follow each other: ``n_a`` and ``n_b`` tokens each."""
+        if not len(a):
+            return [], np.zeros(0, np.int64), np.zeros((0, 5), np.int64)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        last = ends_a[np.cumsum(n_a) - 1]
+        # between neighbouring ends of either side lies one link
+        edges = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, edges), np.searchsorted(ends_b, edges)
+        links = a[at_a] * self.width + b[at_b]
+        cuts = edges[(ends_a[at_a] == edges) & (ends_b[at_b] == edges)]
+        per_piece = lambda ends: np.diff(np.searchsorted(ends, last, side="right"), prepend=0)
+        sizes = np.stack([n_a, n_b, per_piece(cuts), per_piece(edges), np.ones(len(n_a), np.int64)], axis=1)
+        # tokens of A, then those of B, group by group
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a] = np.where(np.append(group_a[1:] == group_a[:-1], False), ord(","), ord("|"))
+        mark[place_b] = np.where(np.append(group_b[1:] == group_b[:-1], False), ord(","), ord(";"))
+        size = self.n_digits[ids]
+        letters = self.digits[ids]
+        letters[np.arange(len(ids)), size] = mark
+        text = letters[np.arange(self.places_of_digits + 1) <= size[:, None]].tobytes()
+        ends = np.cumsum(size + 1)[np.cumsum(n_a + n_b) - 1].tolist()
+        return [text[i : j - 1] for i, j in zip([0, *ends[:-1]], ends)], links, sizes
 
     def places(self, texts: list[str]) -> list[list[int]]:
         """The remembered pieces of each text, in order; all are forgotten when they are too many, at the next call."""
