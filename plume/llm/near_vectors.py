@@ -151,8 +151,8 @@ def leading_coordinate(x: Column, direction: np.ndarray) -> Column:
     return F.when(F.size(x) == len(direction), along).otherwise(F.element_at(v, 1)) / norm
 
 
-def in_blocks(classes: DataFrame, reach: float, numbers: int = BLOCK_NUMBERS) -> tuple[DataFrame, DataFrame]:
-    """``classes`` (class, label, lead, x) with their block, and the pairs of blocks of a label that may hold links.
+def in_blocks(classes: DataFrame, reach: float, numbers: int = BLOCK_NUMBERS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``classes`` (class, label, lead, x) with their block, the pairs of blocks of a label that may hold links, and the tables they read.
 
     A label with more vectors than a block is cut by quantiles of the
     leading coordinate; a slab that ties make too large is dealt by hash.
@@ -175,8 +175,7 @@ def in_blocks(classes: DataFrame, reach: float, numbers: int = BLOCK_NUMBERS) ->
     pairs = stored(pairs.select(*kinds, F.col("block").alias("first"), "second"), "block-pairs")
     dealt = slabbed.join(slabs.select(*kinds, "slab", "parts"), [*kinds, "slab"])
     dealt = dealt.withColumn("block", F.struct("slab", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")))
-    discard(cuts)
-    return dealt.drop("parts", "slab", "lead"), pairs
+    return dealt.drop("parts", "slab", "lead"), pairs, [cuts, slabs, pairs]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, numbers: int = BLOCK_NUMBERS) -> DataFrame:
@@ -219,7 +218,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, numbers: int = BLO
     if d:
         rotation = np.linalg.eigh(second_moments(classes, d))[1][:, ::-1].copy()
     lead = leading_coordinate(F.col("x"), rotation[:, 0] if d else np.ones(1))
-    dealt, pairs = in_blocks(classes.select("class", "label", "n", "x", lead.alias("lead")), float(np.sqrt(2 - 2 * threshold)) + SINGLE, numbers)
+    dealt, pairs, made = in_blocks(classes.select("class", "label", "n", "x", lead.alias("lead")), float(np.sqrt(2 - 2 * threshold)) + SINGLE, numbers)
     places = pairs.select("label", "d", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"), "first", "second")
     met = dealt.join(places, ["label", "d", "block"]).withColumn("one", F.col("block") == F.col("first")).select("class", "n", "x", "label", "d", "first", "second", "one")
 
@@ -238,12 +237,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, numbers: int = BLO
     counts = links.groupBy(F.col("class").alias("of")).agg(F.sum("linked").alias("linked"))
     known = classes.select("class", *keys, "n", "least").join(counts, F.col("class") == F.col("of"), "left").drop("of")
     known = known.join(roots.withColumnRenamed("node", "of"), F.col("class") == F.col("of"), "left").select("class", *keys, "n", "least", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "class").alias("root"))
-    known = stored(known, "vector-groups")
-    least = known.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    known = stored(known.join(least, F.col("root") == F.col("of")).select(*keys, (F.col("n") - 1 + F.col("linked")).alias("n_links"), "component_id"), "vector-results")
+    groups = stored(known, "vector-groups")
+    least = groups.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    known = stored(groups.join(least, F.col("root") == F.col("of")).select(*keys, (F.col("n") - 1 + F.col("linked")).alias("n_links"), "component_id"), "vector-results")
     found = used.select("vec_id", *keys).join(known, keys).select("vec_id", "n_links", "component_id")
     rest = rows.filter(~F.col("used")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = found.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     out = stored(out, "near-vectors")
-    discard(classes, pairs, links, roots, known)
+    discard(classes, *made, links, roots, known, groups)
     return out

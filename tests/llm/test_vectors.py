@@ -10,7 +10,7 @@ SCHEMA = "vec_id long, label int, embedding array<double>, n int, class string,
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, l, e, 7, "c", "r", 1, 2) for i, l, e in rows], SCHEMA)
+    return spark.createDataFrame([(i, l, None if e is None else [None if c is None else float(c) for c in e], 7, "c", "r", 1, 2) for i, l, e in rows], SCHEMA)
 
 
 def awkward():
@@ -70,7 +70,7 @@ def crowd(seed, n=900, d=24):
     for k in range(60):  # a chain whose ends are far apart
         t = k / 12
         x[n // 3 + k] = np.cos(t) * x[n - 1] + np.sin(t) * x[n - 2]
-    x[500:520] = x[500]
+    x[5 * n // 9 : 5 * n // 9 + 20] = x[5 * n // 9]
     x = x.astype(np.float32).astype(float)
     return [(int(i), 0 if i % 5 else 1, v.tolist()) for i, v in zip(r.permutation(n), x)]
 
