@@ -357,18 +357,16 @@ HARD = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(HARD))
-def test_a_megabyte_of_one_kind_takes_seconds(spark, name):
+def test_megabytes_of_one_kind_take_seconds(spark):
     """Fixed forms, contexts, secrets and masks take time that grows with the text, and no stack."""
-    docs = documents(spark, [(1, HARD[name], "s"), (2, "mail x.y@z.org now", "s")])
+    docs = documents(spark, [*[(k, HARD[name], "s") for k, name in enumerate(sorted(HARD))], (99, "mail x.y@z.org now", "s")])
     began = time.monotonic()
     got = {r.doc_id: r for r in personal.personal(docs).collect()}
-    assert got[2].n_email == 1 and got[1].n_email == len(re.findall(EMAIL, HARD[name][:2000])) * (name in ("labels", "at"))
-    assert time.monotonic() - began < 30
-    began = time.monotonic()
-    assert {r.doc_id for r in secrets.secrets(docs).collect()} == {1, 2}
-    assert {r.doc_id: r.text for r in personal.redact(docs).collect()}[2] == "mail <email> now"
-    assert time.monotonic() - began < 60
+    assert {name: got[k].n_email for k, name in enumerate(sorted(HARD))} == {name: int(name == "labels") for name in HARD}
+    assert got[99].n_email == 1
+    assert len(secrets.secrets(docs).collect()) == len(HARD) + 1
+    assert {r.doc_id: r.text for r in personal.redact(docs).collect()}[99] == "mail <email> now"
+    assert time.monotonic() - began < 150
 
 
 def test_personal_against_python(spark):
