@@ -37,6 +37,24 @@ def written(df: DataFrame, label: str, by: tuple[str, ...] = (), path: str | Non
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: rounds of one job start from it, and a lost executor costs no more than its tasks."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`kept` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "kept_path", None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_lines(df: DataFrame, line: Column, label: str, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> str:
     """The folder that ``line`` of each row is written to as text, in ``order`` within each value of ``by``."""
     path = new_path(df.sparkSession, label)
