@@ -26,7 +26,7 @@ from plume.llm.common import discard, for_python, remembered, slices, stored, wh
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 #: Records (pair and document) and documents of a run, at least one document.
-RUN_RECORDS = 1_000_000
+RUN_RECORDS = 500_000
 RUN_DOCS = 1 << 14
 #: Runs are parted by the low bits of the A id.
 RADIX_BITS = 5
@@ -37,11 +37,12 @@ FRAME_PAIRS = 65_536
 FAN_IN = 64
 #: Bits of a pair of ids, and of a document's place in its run.
 PAIR_BITS, PLACE_BITS = 40, 14
-#: Rows that are aligned at once.
+#: Rows that are aligned at once, and their characters (a longer text is alone).
 PART_ROWS = 4096
+PART_CHARS = 1_000_000
 #: Different pieces of text that a worker remembers, and bytes of their forms.
-MEMORY_PIECES = 300_000
-MEMORY_BYTES = 50_000_000
+MEMORY_PIECES = 150_000
+MEMORY_BYTES = 25_000_000
 #: Ends of a piece of text behind which it isn't cut: white space to one of the libraries or another.
 UNSAFE_ENDS = "᠎​﻿"
 
@@ -263,7 +264,7 @@ def spilled(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = aligner(a_path, b_path)
         spill = Spill(tool.width, most)
-        for frame in slices(frames):
+        for frame in slices(frames, PART_CHARS):
             for at in range(0, len(frame), PART_ROWS):
                 part = frame.iloc[at : at + PART_ROWS]
                 rows, own, pairs = aligned_rows(part["text"].tolist(), tool)
