@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plume.jobs.grids import MESH, lattice
+from plume.jobs.grids import HOLES, MESH, holed, lattice
 from plume.jobs.meshes import CENTRE
 from plume.jobs.tracks import joined
-from plume.operators import mesh, potential
+from plume.operators import curvilinear, harmonics, mesh, potential, vertical
+from plume.sources.fixtures import bathymetry, particles, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +73,134 @@ def limited_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths of the mesh after the slope limiter."""
     nodes, cells = lattice(spark, sf_dir)
     return potential.limited_slopes(nodes, cells, STEEPEST).select("node", r("value", 6, "depth"))
+
+
+TIDES = ["M2", "K1", "M4"]
+#: Levels at places with two tides, and what particles add to them.
+LEVELS = ", l AS (SELECT traj_id % 20 AS place, sec / 3600e0 AS hour, 2 + weight / 100 + 1.3e0 * cos(sec / 3600e0 * radians(28.9841042e0) - traj_id % 20 / 3e0) + 0.4e0 * cos(sec / 3600e0 * radians(15.0410686e0) - 1) AS level FROM particles)"
+
+
+def tide_sql(hours: str) -> list[str]:
+    """The basis in SQL."""
+    return ["1e0", *[f"{f}({hours} * radians({harmonics.SPEEDS[n]}e0))" for n in TIDES for f in ("cos", "sin")]]
+
+
+def elimination_sql() -> str:
+    """Gauss-Jordan elimination of the normal equations, one step a table; the last one is ``fit``."""
+    size = 2 * len(TIDES) + 1
+    b = tide_sql("hour")
+    a = lambda i, j: f"a{i}_{j}"
+    sums = [f"sum({b[i]} * {b[j]}) AS {a(i, j)}" for i in range(size) for j in range(size)] + [f"sum({b[i]} * level) AS {a(i, size)}" for i in range(size)]
+    out = f", g0 AS (SELECT place, count(*) AS n, {', '.join(sums)} FROM l GROUP BY place)"
+    for k in range(size):
+        rest = [f"{a(i, j)} / {a(k, k)} AS {a(i, j)}" if i == k else f"{a(i, j)} - {a(i, k)} * {a(k, j)} / {a(k, k)} AS {a(i, j)}" for i in range(size) for j in range(k + 1, size + 1)]
+        out += f", g{k + 1} AS (SELECT place, n, {', '.join(rest)} FROM g{k})"
+    return out + f", fit AS (SELECT place, n, {', '.join(f'{a(i, size)} AS x{i}' for i in range(size))} FROM g{size})"
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour, place = F.col("sec") / 3600.0, F.col("traj_id") % 20
+    level = 2 + F.col("weight") / 100 + 1.3 * F.cos(hour * F.radians(F.lit(28.9841042)) - place / 3.0) + 0.4 * F.cos(hour * F.radians(F.lit(15.0410686)) - 1)
+    return particles(spark, sf_dir).select(place.alias("place"), hour.alias("hour"), level.alias("level"))
+
+
+AMPLITUDES = ", ".join(f"round(sqrt(x{2 * k + 1} * x{2 * k + 1} + x{2 * k + 2} * x{2 * k + 2}), 6) AS amplitude_{n}, round((degrees(atan2(x{2 * k + 2}, x{2 * k + 1})) + 360) % 360, 4) AS phase_{n}" for k, n in enumerate(TIDES))
+
+
+@query(joined("particles", LEVELS + elimination_sql() + f" SELECT place, n, round(x0, 6) AS mean, {AMPLITUDES} FROM fit"))
+def tidal_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amplitudes and phases of three tides at each place, by least squares."""
+    fit = harmonics.constituents(levels(spark, sf_dir), "place", F.col("hour"), F.col("level"), TIDES)
+    parts = [c for k, n in enumerate(TIDES) for c in (r(harmonics.amplitude(k), 6, f"amplitude_{n}"), r(harmonics.phase(k), 4, f"phase_{n}"))]
+    return fit.select("place", "n", r("x0", 6, "mean"), *parts)
+
+
+@query(joined("particles", LEVELS + elimination_sql() + f", h AS (SELECT place, floor(hour) AS hour, avg(level) AS level FROM l GROUP BY 1, 2), w AS (SELECT place, unnest(range(0, 48)) AS hour FROM fit) SELECT w.place, w.hour, round(coalesce(level, {' + '.join(f'x{k} * {b}' for k, b in enumerate(tide_sql('w.hour')))}), 6) AS level, level IS NULL AS filled FROM w JOIN fit USING (place) LEFT JOIN h ON h.place = w.place AND h.hour = w.hour").replace("FROM l GROUP BY place)", "FROM (SELECT place, floor(hour) AS hour, level FROM l) l GROUP BY place)", 1))
+def tidal_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of hourly levels at each place: observed, or else predicted by the tides of all observations."""
+    seen = levels(spark, sf_dir).withColumn("hour", F.floor("hour"))
+    wanted = seen.select("place").distinct().select("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(47).cast("bigint"))).alias("hour"))
+    out = harmonics.filled(seen, wanted, "place", "hour", "level", TIDES)
+    return out.select("place", "hour", r("level", 6, "level"), "filled")
+
+
+#: The lattice bent to a curvilinear grid of quadrilaterals without a right angle.
+BENT = ", g AS (SELECT ix, iy, 12 + 0.1e0 * ix + 0.03e0 * sin(iy * 0.7e0) AS x, 68 + 0.05e0 * iy + 0.02e0 * cos(ix * 0.9e0) AS y, depth FROM bathymetry)"
+SPOTS = ", p AS (SELECT event_id, 12 + 0.1e0 * ((event_id * 37 % 4800) / 100e0 + 0.0031e0) AS px, 68 + 0.05e0 * ((event_id * 53 % 3700) / 100e0 + 0.0017e0) AS py FROM events)"
+#: The bilinear map inverted in closed form.
+INVERTED = """, q AS (SELECT a.ix, a.iy, a.x AS x0, a.y AS y0, b.x - a.x AS ex, b.y - a.y AS ey, d.x - a.x AS fx, d.y - a.y AS fy, a.x - b.x + c.x - d.x AS gx, a.y - b.y + c.y - d.y AS gy, a.depth AS h0, b.depth AS h1, c.depth AS h2, d.depth AS h3,
+  least(a.x, b.x, c.x, d.x) AS x_, greatest(a.x, b.x, c.x, d.x) AS _x, least(a.y, b.y, c.y, d.y) AS y_, greatest(a.y, b.y, c.y, d.y) AS _y
+  FROM g a JOIN g b ON b.ix = a.ix + 1 AND b.iy = a.iy JOIN g c ON c.ix = a.ix + 1 AND c.iy = a.iy + 1 JOIN g d ON d.ix = a.ix AND d.iy = a.iy + 1),
+k AS (SELECT *, px - x0 AS hx, py - y0 AS hy FROM p JOIN q ON px BETWEEN x_ AND _x AND py BETWEEN y_ AND _y),
+k2 AS (SELECT *, gx * fy - gy * fx AS c2, ex * fy - ey * fx + hx * gy - hy * gx AS c1, hx * ey - hy * ex AS c0 FROM k),
+roots AS (SELECT *, unnest(CASE WHEN abs(c2) < 1e-12 THEN [-c0 / c1] ELSE [(-c1 + sqrt(greatest(c1 * c1 - 4 * c0 * c2, 0))) / (2 * c2), (-c1 - sqrt(greatest(c1 * c1 - 4 * c0 * c2, 0))) / (2 * c2)] END) AS t FROM k2),
+st AS (SELECT *, CASE WHEN abs(ex + gx * t) > abs(ey + gy * t) THEN (hx - fx * t) / (ex + gx * t) ELSE (hy - fy * t) / (ey + gy * t) END AS s FROM roots),
+found AS (SELECT * FROM st WHERE s BETWEEN -1e-9 AND 1 + 1e-9 AND t BETWEEN -1e-9 AND 1 + 1e-9 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY iy, ix) = 1)"""
+
+
+def bent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bathymetry(spark, sf_dir).select("ix", "iy", (12 + 0.1 * F.col("ix") + 0.03 * F.sin(F.col("iy") * 0.7)).alias("x"), (68 + 0.05 * F.col("iy") + 0.02 * F.cos(F.col("ix") * 0.9)).alias("y"), "depth")
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", (12 + 0.1 * (e * 37 % 4800 / 100.0 + 0.0031)).alias("px"), (68 + 0.05 * (e * 53 % 3700 / 100.0 + 0.0017)).alias("py"))
+
+
+@query(joined("bathymetry", BENT + SPOTS + INVERTED + " SELECT event_id, round(ix + s, 6) AS x, round(iy + t, 6) AS y FROM found"))
+def curvilinear_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where particles are on a curvilinear grid, in cell units."""
+    return curvilinear.position_to_index(spots(spark, sf_dir), bent(spark, sf_dir), "event_id", 0.1).select("event_id", r("x", 6, "x"), r("y", 6, "y"))
+
+
+@query(joined("bathymetry", BENT + SPOTS + INVERTED + " SELECT event_id, round((1 - s) * (1 - t), 6) AS w0, round(s * (1 - t), 6) AS w1, round(s * t, 6) AS w2, round((1 - s) * t, 6) AS w3, round((1 - s) * (1 - t) * h0 + s * (1 - t) * h1 + s * t * h2 + (1 - s) * t * h3, 5) AS depth FROM found"))
+def quadrilateral_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the corners of the quadrilateral around each particle, and the depth that they give."""
+    at = curvilinear.located(spots(spark, sf_dir), bent(spark, sf_dir), "event_id", 0.1, ("depth",))
+    w = curvilinear.corner_weights(F.col("s"), F.col("t"))
+    depth = sum((c * F.col(f"depth{k}") for k, c in enumerate(w)), F.lit(0.0))
+    return at.select("event_id", *[r(c, 6, f"w{k}") for k, c in enumerate(w)], r(depth, 5, "depth"))
+
+
+CUBIC = ", p AS (SELECT event_id, (event_id * 37 % 4800) / 100e0 + 0.0031e0 AS x, (event_id * 53 % 3700) / 100e0 + 0.0017e0 AS y FROM events), f AS (SELECT *, x - floor(x) AS a, y - floor(y) AS b FROM p), k AS (SELECT unnest([-1, 0, 1, 2]) AS k)"
+LAGRANGE = "CASE {k} WHEN -1 THEN -{a} * ({a} - 1) * ({a} - 2) / 6 WHEN 0 THEN ({a} + 1) * ({a} - 1) * ({a} - 2) / 2 WHEN 1 THEN -({a} + 1) * {a} * ({a} - 2) / 2 ELSE ({a} + 1) * {a} * ({a} - 1) / 6 END"
+
+
+@query(joined("bathymetry", HOLES + CUBIC + f", w AS (SELECT event_id, h.depth, ({LAGRANGE.format(k='i.k', a='a')}) * ({LAGRANGE.format(k='j.k', a='b')}) AS w FROM f, k i, k j LEFT JOIN h ON h.ix = CAST(floor(x) AS BIGINT) + i.k AND h.iy = CAST(floor(y) AS BIGINT) + j.k), s AS (SELECT event_id, coalesce(sum(w) FILTER (depth IS NOT NULL), 0) AS there, sum(w * depth) AS total FROM w GROUP BY event_id) SELECT event_id, round(CASE WHEN there >= 0.5e0 THEN total / there END, 5) AS depth FROM s"))
+def cubic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths at particles by cubics in both directions, around holes."""
+    e = F.col("event_id")
+    p = table(spark, sf_dir, "events").select("event_id", (e * 37 % 4800 / 100.0 + 0.0031).alias("x"), (e * 53 % 3700 / 100.0 + 0.0017).alias("y"))
+    return curvilinear.cubic(p, holed(spark, sf_dir), "depth", "event_id").select("event_id", r("depth", 5, "depth"))
+
+
+#: A day of currents every six hours on ten levels over the lattice, turned with the grid.
+CRITICAL, SURFACE, BOTTOM = 10.0, 6.0, 0.4
+S4_SQL = "((exp(0.4e0 * ((1 - cosh(6 * s)) / (cosh(6e0) - 1))) - 1) / (1 - exp(-0.4e0)))"
+WATER = f""", lv AS (SELECT ix, iy, depth AS h, slot, k, -(k + 0.5e0) / 10 AS s FROM bathymetry, (SELECT unnest(range(0, 5)) AS slot), (SELECT unnest(range(0, 10)) AS k)),
+c AS (SELECT ix, iy, slot, k, -(h * (10 * s + h * {S4_SQL}) / (10 + h)) AS d, sin(ix * 0.3e0 + k * 0.2e0) * (1 + slot) AS u, cos(iy * 0.2e0 - k * 0.1e0) * (2 - slot * 0.3e0) AS v, (ix - iy) * 0.01e0 AS a FROM lv),
+e AS (SELECT ix, iy, slot, k, d, u * cos(a) - v * sin(a) AS u, u * sin(a) + v * cos(a) AS v FROM c),
+p AS (SELECT event_id, (event_id * 37 % 4800) / 100e0 + 0.0031e0 AS x, (event_id * 53 % 3700) / 100e0 + 0.0017e0 AS y, -z AS z, (sec % 86400) / 3600e0 AS t FROM particles),
+n AS (SELECT event_id, z, CAST(floor(x) AS BIGINT) + i AS ix, CAST(floor(y) AS BIGINT) + j AS iy, CAST(floor(t / 6) AS BIGINT) + m AS slot, (CASE i WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE j WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE m WHEN 1 THEN t / 6 - floor(t / 6) ELSE 1 - t / 6 + floor(t / 6) END) AS w
+  FROM p, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS m)),
+b AS (SELECT event_id, any_value(w) AS w, max(e.d) FILTER (e.d < n.z) AS up, min(e.d) FILTER (e.d >= n.z) AS down, any_value(n.z) AS z, arg_max(u, e.d) FILTER (e.d < n.z) AS u0, arg_min(u, e.d) FILTER (e.d >= n.z) AS u1, arg_max(v, e.d) FILTER (e.d < n.z) AS v0, arg_min(v, e.d) FILTER (e.d >= n.z) AS v1 FROM n JOIN e USING (ix, iy, slot) GROUP BY event_id, ix, iy, slot),
+l AS (SELECT event_id, w, CASE WHEN up IS NULL THEN u1 WHEN down IS NULL THEN u0 ELSE u0 + (u1 - u0) * (z - up) / (down - up) END AS u, CASE WHEN up IS NULL THEN v1 WHEN down IS NULL THEN v0 ELSE v0 + (v1 - v0) * (z - up) / (down - up) END AS v FROM b WHERE w > 0)"""
+
+
+@query(joined("particles bathymetry", WATER + " SELECT event_id, round(sum(w * u) / sum(w), 6) AS u, round(sum(w * v) / sum(w), 6) AS v FROM l GROUP BY event_id"))
+def terrain_following_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current at particles: between four columns, the levels around their depth in each, and two times."""
+    levels_ = F.sequence(F.lit(0), F.lit(9))
+    s = lambda k: -(k + 0.5) / 10
+    c = bathymetry(spark, sf_dir).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
+    depths = F.transform(levels_, lambda k: -vertical.s_depth(F.col("depth"), s(k), vertical.stretch_4(s(k), SURFACE, BOTTOM), CRITICAL, 2))
+
+    def east_and_north(k: Column) -> tuple[Column, Column]:
+        u, v = F.sin(F.col("ix") * 0.3 + k * 0.2) * (1 + F.col("slot")), F.cos(F.col("iy") * 0.2 - k * 0.1) * (2 - F.col("slot") * 0.3)
+        return curvilinear.turned(u, v, (F.col("ix") - F.col("iy")) * 0.01)
+
+    east, north = F.transform(levels_, lambda k: east_and_north(k)[0]), F.transform(levels_, lambda k: east_and_north(k)[1])
+    columns = c.select("ix", "iy", "slot", depths.alias("depths"), east.alias("u"), north.alias("v"))
+    e = F.col("event_id")
+    p = particles(spark, sf_dir).select("event_id", (e * 37 % 4800 / 100.0 + 0.0031).alias("x"), (e * 53 % 3700 / 100.0 + 0.0017).alias("y"), (-F.col("z")).alias("z"), (F.col("sec") % 86400 / 3600.0).alias("t"))
+    return curvilinear.four_way(p, columns, "event_id", ("u", "v"), 6.0).select("event_id", r("u", 6, "u"), r("v", 6, "v"))

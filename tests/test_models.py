@@ -1,11 +1,12 @@
 """Potentials, slope limiter and other operators of models against plain Python."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plume.operators import potential
+from plume.operators import curvilinear, harmonics, potential
 
 
 def graph(spark, rows):
@@ -63,3 +64,94 @@ def test_slopes_end_below_the_bound_with_the_volume_kept(spark):
     assert sum(out.values()) == pytest.approx(sum(x.value for x in nodes.collect()), rel=1e-12)
     gentle, same = square_mesh(spark, 4, lambda i, j: 50 + i + j)
     assert sorted(potential.limited_slopes(gentle, same, 0.3).collect()) == sorted(gentle.collect())
+
+
+def test_tides_come_back_and_gaps_are_filled(spark):
+    names = ["M2", "S2", "K1"]
+    r = random.Random(1)
+    true = {"M2": (1.5, 40.0), "S2": (0.4, 300.0), "K1": (0.2, 123.0)}
+    level = lambda t: 3 + sum(a * math.cos(math.radians(harmonics.SPEEDS[n] * t - p)) for n, (a, p) in true.items())
+    hours = sorted({r.randrange(0, 24 * 40) for _ in range(500)})
+    rows = [(1, float(t), level(t)) for t in hours] + [(2, 1.0, 5.0), (2, 2.0, None), (3, None, 1.0)]
+    series = spark.createDataFrame(rows, "place long, hour double, level double")
+    fit = harmonics.constituents(series, "place", F.col("hour"), F.col("level"), names)
+    got = fit.select("place", "n", "x0", *[c for k in range(3) for c in (harmonics.amplitude(k).alias(f"a{k}"), harmonics.phase(k).alias(f"p{k}"))]).collect()
+    one, two = (next(x for x in got if x.place == k) for k in (1, 2))
+    assert one.n == len(hours) and one.x0 == pytest.approx(3, abs=1e-9)
+    for k, n in enumerate(names):
+        assert (one[f"a{k}"], one[f"p{k}"]) == pytest.approx(true[n], abs=1e-6)
+    assert two.n == 1 and two.a1 is None and len(got) == 2
+    wanted = spark.createDataFrame([(1, float(t)) for t in range(0, 100)] + [(2, 1.0), (2, 7.0)], "place long, hour double")
+    out = {(x.place, x.hour): x for x in harmonics.filled(series, wanted, "place", "hour", "level", names).collect()}
+    assert all(out[1, t].level == pytest.approx(level(t), abs=1e-7) and out[1, t].filled == (t not in hours) for t in range(100))
+    assert out[2, 1.0].level == 5.0 and out[2, 7.0].level is None
+
+
+def test_normal_sums_of_parts_add_up(spark):
+    series = spark.createDataFrame([(1, float(t), math.sin(t)) for t in range(60)], "place long, hour double, level double")
+    both = lambda f: harmonics.normal_sums(series.filter(f), "place", F.col("hour"), F.col("level"), ["M2"]).drop("place")
+    whole, parts = both("true").first(), [both("hour < 20").first(), both("hour >= 20").first()]
+    assert all(whole[c] == pytest.approx(parts[0][c] + parts[1][c], abs=1e-9) for c in whole.asDict())
+
+
+def curved(i, j):
+    return 10 + i + 0.3 * math.sin(0.6 * j), 5 + 0.7 * j + 0.2 * math.cos(0.5 * i) + 0.1 * i
+
+
+def test_places_on_a_curvilinear_grid_are_found_again(spark):
+    r = random.Random(2)
+    grid = spark.createDataFrame([(i, j, *curved(i, j), 2.0 * i - 3.0 * j) for i in range(12) for j in range(9) if (i, j) != (5, 5)], "ix long, iy long, x double, y double, depth double")
+    points, want = [], {}
+    for k in range(500):
+        i, j, s, t = r.randrange(11), r.randrange(8), r.random(), r.random()
+        corners = [curved(i, j), curved(i + 1, j), curved(i + 1, j + 1), curved(i, j + 1)]
+        w = [(1 - s) * (1 - t), s * (1 - t), s * t, (1 - s) * t]
+        points.append((k, *[sum(a * c[m] for a, c in zip(w, corners)) for m in (0, 1)]))
+        if not (4 <= i <= 5 and 4 <= j <= 5):
+            want[k] = (i + s, j + t)
+    points += [(900, *curved(3, 3)), (901, -50.0, 0.0), (902, None, 1.0)]
+    df = spark.createDataFrame(points, "k long, px double, py double")
+    got = {x.k: (x.x, x.y) for x in curvilinear.position_to_index(df, grid, "k", 1.0).collect()}
+    assert got.pop(900) == pytest.approx((3, 3), abs=1e-6)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    at = curvilinear.located(df, grid, "k", 1.0, ("depth",))
+    weights = curvilinear.corner_weights(F.col("s"), F.col("t"))
+    for x in at.select("k", sum((c * F.col(f"depth{k}") for k, c in enumerate(weights)), F.lit(0.0)).alias("depth"), sum(weights, F.lit(0.0)).alias("one")).collect():
+        assert x.one == pytest.approx(1)
+        if x.k in want:
+            assert x.depth == pytest.approx(2 * want[x.k][0] - 3 * want[x.k][1], abs=1e-5)
+
+
+def test_cubics_are_exact_and_holes_leave_their_weight(spark):
+    value = lambda x, y: 1 + 2 * x - y + 0.3 * x**3 - 0.1 * x * x * y**3
+    field = spark.createDataFrame([(i, j, value(i, j)) for i in range(9) for j in range(9)], "ix long, iy long, v double")
+    r = random.Random(4)
+    rows = [(k, r.uniform(1, 7), r.uniform(1, 7)) for k in range(200)] + [(300, 3.0, 4.0)]
+    points = spark.createDataFrame(rows, "k long, x double, y double")
+    got = {x.k: x.v for x in curvilinear.cubic(points, field, "v", "k").collect()}
+    assert all(got[k] == pytest.approx(value(x, y), rel=1e-9) for k, x, y in rows)
+    even = field.withColumn("v", F.when((F.col("ix") + F.col("iy") * 3) % 7 > 0, 5.0))
+    assert {x.k: x.v for x in curvilinear.cubic(points, even, "v", "k").collect()}[0] == pytest.approx(5)
+    assert all(x.v is None for x in curvilinear.cubic(points, field.filter("ix > 100"), "v", "k").collect())
+
+
+def test_four_way_interpolation_is_exact_where_the_field_is_linear(spark):
+    """Levels follow the ground, so the same level is at another depth in each column."""
+    value = lambda x, y, z, t: 1 + 0.5 * x - 0.25 * y + 0.1 * z + 2 * t
+    ground = lambda i, j: 40 + 7 * i + 3 * j
+    columns = []
+    for i in range(5):
+        for j in range(5):
+            for slot in range(4):
+                depths = [ground(i, j) * (k + 0.5) / 8 for k in range(8)]
+                columns.append((i, j, slot, depths, [value(i, j, z, slot * 6.0) for z in depths]))
+    c = spark.createDataFrame(columns, "ix long, iy long, slot long, depths array<double>, v array<double>")
+    r = random.Random(6)
+    rows = [(k, r.uniform(0, 4), r.uniform(0, 4), r.uniform(5, 35), r.uniform(0, 18)) for k in range(100)]
+    p = spark.createDataFrame([*rows, (200, 50.0, 1.0, 5.0, 1.0)], "k long, x double, y double, z double, t double")
+    got = {x.k: x.v for x in curvilinear.four_way(p, c, "k", ("v",), 6.0).collect()}
+    assert set(got) == {k for k, *_ in rows}
+    assert all(got[k] == pytest.approx(value(*place), rel=1e-9) for k, *place in rows)
+    held = spark.createDataFrame([(1, 0.0, 0.0, 1e4, 0.0), (2, 0.0, 0.0, 0.0, 0.0)], "k long, x double, y double, z double, t double")
+    assert {x.k: x.v for x in curvilinear.four_way(held, c, "k", ("v",), 6.0).collect()} == {1: pytest.approx(value(0, 0, 37.5, 0)), 2: pytest.approx(value(0, 0, 2.5, 0))}
