@@ -9,7 +9,8 @@ from plume.jobs.grids import HOLES, MESH, holed, lattice
 from plume.jobs.meshes import CENTRE
 from plume.jobs.tracks import joined
 from plume.operators import curvilinear, harmonics, mesh, potential, vertical
-from plume.sources.fixtures import bathymetry, particles, table
+from plume.sources.fixtures import bathymetry, particles, table, track, with_views
+from plume.streaming import steps
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -204,3 +205,18 @@ def terrain_following_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     p = particles(spark, sf_dir).select("event_id", (e * 37 % 4800 / 100.0 + 0.0031).alias("x"), (e * 53 % 3700 / 100.0 + 0.0017).alias("y"), (-F.col("z")).alias("z"), (F.col("sec") % 86400 / 3600.0).alias("t"))
     return curvilinear.four_way(p, columns, "event_id", ("u", "v"), 6.0).select("event_id", r("u", 6, "u"), r("v", 6, "v"))
+
+
+#: Hours without a row after which a particle is lost.
+GAP = 48
+#: Step 0 in seconds (2024-01-01).
+ORIGIN = 1_704_067_200
+
+
+@query(with_views("track", f", w AS (SELECT traj_id, step, z, lag(step) OVER o AS p, lag(z) OVER o AS pz, lead(step) OVER o AS n FROM track WINDOW o AS (PARTITION BY traj_id ORDER BY step)) SELECT traj_id, step, round(CASE WHEN step - p < {GAP} THEN z - pz END, 6) AS dz, CASE WHEN step - p < {GAP} THEN 'continuing' ELSE 'activated' END AS phase FROM w UNION ALL SELECT traj_id, step + {GAP}, NULL, 'lost' FROM w WHERE n - step >= {GAP} OR n IS NULL AND step + {GAP} <= (SELECT max(step) FROM track)").replace(") , w", "), w", 1))
+def two_step_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertical displacements from a stream that keeps one row for each particle and forgets those that are silent."""
+    rows = track(spark, sf_dir).select("traj_id", "step", "z", F.timestamp_seconds(F.col("step") * 3600 + ORIGIN).alias("at"))
+    stream = steps.in_batches(rows, "track-stream", "step", 4)
+    out = steps.run_to_table(steps.displacements(stream, GAP, ORIGIN * 1000), "displacements")
+    return out.select("traj_id", "step", r("dz", 6, "dz"), "phase")

@@ -3,10 +3,12 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plume.operators import curvilinear, harmonics, potential
+from plume.streaming import steps
 
 
 def graph(spark, rows):
@@ -155,3 +157,44 @@ def test_four_way_interpolation_is_exact_where_the_field_is_linear(spark):
     assert all(got[k] == pytest.approx(value(*place), rel=1e-9) for k, *place in rows)
     held = spark.createDataFrame([(1, 0.0, 0.0, 1e4, 0.0), (2, 0.0, 0.0, 0.0, 0.0)], "k long, x double, y double, z double, t double")
     assert {x.k: x.v for x in curvilinear.four_way(held, c, "k", ("v",), 6.0).collect()} == {1: pytest.approx(value(0, 0, 37.5, 0)), 2: pytest.approx(value(0, 0, 2.5, 0))}
+
+
+class Handle:
+    """State and timers of one particle, in plain Python."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_state_of_a_particle_goes_after_the_gap():
+    handle, own = Handle(), steps.Displacement(gap=10, origin=0)
+    own.init(handle)
+    give = lambda *rows: [tuple(None if v != v else v for v in r) for f in own.handleInputRows((7,), iter([pd.DataFrame([r], columns=["step", "z"]) for r in rows]), None) for r in f.itertuples(index=False)]
+    assert give((3, 1.0), (1, 5.0)) == [(7, 1, None, "activated"), (7, 3, -4.0, "continuing")]
+    assert handle.timers == {13 * 3_600_000} and handle.value == (3, 1.0)
+    assert give((2, 9.0), (4, 2.0)) == [(7, 4, 1.0, "continuing")]  # step 2 is late
+    expired = type("Info", (), {"getExpiryTimeInMs": lambda self: 14 * 3_600_000})()
+    assert [r for f in own.handleExpiredTimer((7,), None, expired) for r in f.itertuples(index=False, name=None)][0][1] == 14
+    assert handle.value is None
+    assert give((20, 1.0), (40, 3.0)) == [(7, 20, None, "activated"), (7, 30, None, "lost"), (7, 40, None, "activated")]
