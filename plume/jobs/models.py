@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plume.jobs.grids import HOLES, MESH, holed, lattice
 from plume.jobs.meshes import CENTRE
+from plume.jobs.series import CELLS, GRID
 from plume.jobs.tracks import joined
-from plume.operators import curvilinear, harmonics, mesh, potential, vertical
+from plume.operators import curvilinear, harmonics, kernels, mesh, potential, vertical
 from plume.sources.fixtures import bathymetry, particles, table, track, with_views
 from plume.streaming import steps
 
@@ -220,3 +221,47 @@ def two_step_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = steps.in_batches(rows, "track-stream", "step", 4)
     out = steps.run_to_table(steps.displacements(stream, GAP, ORIGIN * 1000), "displacements")
     return out.select("traj_id", "step", r("dz", 6, "dz"), "phase")
+
+
+#: Cells of the particles' grid, bandwidths of the kernels in cells, and windows of the statistics.
+SHAPE, BANDWIDTHS, WINDOW = (17, 14), [0.0, 0.5, 0.8, 1.2, 1.6], 2
+MASS = f", g AS (SELECT CAST(floor(step / 24e0) AS BIGINT) AS day, ix, iy, count(*) AS n, sum(weight) AS mass FROM (SELECT *, {CELLS} FROM particles) GROUP BY ALL)"
+REFLECTED = f""", i AS (SELECT day, n, unnest(list_distinct([ix, -ix, {2 * (SHAPE[0] - 1)} - ix])) AS x, iy FROM g), j AS (SELECT day, n, x, unnest(list_distinct([iy, -iy, {2 * (SHAPE[1] - 1)} - iy])) AS y FROM i),
+w AS (SELECT g.day, g.ix, g.iy, any_value(g.mass) AS mass, sum(j.n) AS s, sum(j.n * j.n) AS ss, sum(j.n * (pow(x - g.ix, 2) + pow(y - g.iy, 2))) AS d2 FROM g JOIN j ON j.day = g.day AND abs(x - g.ix) <= {WINDOW} AND abs(y - g.iy) <= {WINDOW} GROUP BY g.day, g.ix, g.iy),
+h AS (SELECT *, sqrt(d2 / s / 2) * pow(s * s / ss, -1 / 6e0) AS h FROM w)"""
+#: Cells that are open water.
+OPEN = ", o AS (SELECT ix, iy FROM (SELECT unnest(range(0, 17)) AS ix), (SELECT unnest(range(0, 14)) AS iy) WHERE (ix * 7 + iy * 3) % 11 > 1)"
+SPREAD = f""", b AS (SELECT *, coalesce([{', '.join(f'{b}e0' for b in BANDWIDTHS)}][len(list_filter([{', '.join(f'{b}e0' for b in BANDWIDTHS)}], lambda c: c < h)) + 1], {BANDWIDTHS[-1]}e0) AS bw FROM h),
+k AS (SELECT b.day, b.ix AS cx, b.iy AS cy, mass, o.ix, o.iy, CASE WHEN bw > 0 THEN exp(-(pow(o.ix - b.ix, 2) + pow(o.iy - b.iy, 2)) / (2 * bw * bw)) ELSE 1 END AS w FROM b LEFT JOIN o ON greatest(abs(o.ix - b.ix), abs(o.iy - b.iy)) <= ceil(3 * bw)),
+t AS (SELECT *, sum(w) OVER (PARTITION BY day, cx, cy) AS total FROM k)"""
+
+
+def daily_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GRID.cells(particles(spark, sf_dir)).groupBy(F.floor(F.col("step") / 24).alias("day"), "ix", "iy").agg(F.count("*").alias("n"), F.sum("weight").alias("mass"))
+
+
+def with_bandwidth(g: DataFrame) -> DataFrame:
+    w = kernels.window_statistics(g, ("day",), "n", SHAPE, WINDOW)
+    return g.join(w.select("day", "ix", "iy", kernels.bandwidth().alias("h")), ["day", "ix", "iy"])
+
+
+@query(joined("particles", MASS + REFLECTED + " SELECT day, ix, iy, round(h, 8) AS h FROM h"))
+def reflected_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bandwidth of each day's cells from the window around them, mirrored at the edges."""
+    return with_bandwidth(daily_mass(spark, sf_dir)).select("day", "ix", "iy", r("h", 8, "h"))
+
+
+@query(joined("particles", MASS + REFLECTED + OPEN + SPREAD + " SELECT day, ix, iy, round(sum(CASE WHEN ix IS NULL THEN mass ELSE mass * w / total END), 6) AS mass FROM t GROUP BY day, ix, iy"))
+def adaptive_kernel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's mass spread by kernels of each cell's own bandwidth over open water; what is near to none has null cells."""
+    row = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    cells = spark.range(1).select(row(SHAPE[0]).alias("ix")).withColumn("iy", row(SHAPE[1]))
+    free = cells.filter((F.col("ix") * 7 + F.col("iy") * 3) % 11 > 1)
+    out = kernels.adaptive_kernel(with_bandwidth(daily_mass(spark, sf_dir)), ("day",), "mass", "h", free, BANDWIDTHS)
+    return out.select("day", "ix", "iy", r("mass", 6, "mass"))
+
+
+@query(joined("particles", MASS + ", l AS (SELECT unnest(range(0, 6)) AS lag), p AS (SELECT a.day, lag, sum(a.n * b.n) AS p FROM g a JOIN l ON true JOIN g b ON b.day = a.day AND b.ix = a.ix + lag AND b.iy = a.iy GROUP BY ALL), q AS (SELECT a.day, lag, sum(a.n * b.n) AS q FROM g a JOIN l ON true JOIN g b ON b.day = a.day AND b.ix = a.ix AND b.iy = a.iy + lag GROUP BY ALL), z AS (SELECT day, sum(n * n) AS z FROM g GROUP BY day) SELECT day, lag, round((coalesce(p, 0) / z + coalesce(q, 0) / z) / 2, 8) AS ac FROM p FULL JOIN q USING (day, lag) JOIN z USING (day)"))
+def count_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autocorrelation of each day's counts up to five cells, the mean along rows and columns."""
+    return kernels.autocorrelation(daily_mass(spark, sf_dir), ("day",), "n", 5).select("day", "lag", r("ac", 8, "ac"))
