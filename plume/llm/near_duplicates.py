@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import KEYS, by_keys, discard, for_python, slices, stored, whole_ids, with_keys
+from plume.llm.common import KEYS, by_keys, discard, for_python, scratch, slices, stored, whole_ids, with_keys
 from plume.llm.components import connected_components
 from plume.llm.hashing import hashes, mixed, sequences
 
@@ -234,22 +234,35 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = stored(full.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     discard(pairs)
 
-    # long lists, block against block
-    totals = searched.groupBy("value").agg(F.greatest(F.ceil(F.sum("m") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")).withColumnRenamed("value", "of")
-    dealt = searched.join(totals, F.col("value") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # long lists, block against block; lists of one least class have much in common and are one, if that is less to compare
+    sizes = searched.groupBy("value").agg(F.min("class").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    listed = stored(searched.join(sizes.withColumnRenamed("value", "of"), F.col("value") == F.col("of")).select("leader", "value", "class", "m", "n"), "listed")
+    apart = listed.groupBy("leader").agg(F.sum("n").alias("apart"))
+    merged = listed.select("leader", "class").distinct().groupBy(F.col("leader").alias("of")).agg(F.count("*").alias("union"))
+    merged = apart.join(merged, F.col("leader") == F.col("of")).filter(F.col("union") * F.col("union") <= F.col("apart")).select("of", F.lit(True).alias("one"))
+    listed_as = F.when(F.col("one"), F.col("leader")).otherwise(F.col("value"))
+    members = listed.join(merged, F.col("leader") == F.col("of"), "left").select(F.coalesce("one", F.lit(False)).alias("one"), listed_as.alias("list"), "class", "m").distinct()
+    members = stored(members, "members")
+    discard(listed)
+    totals = members.groupBy(F.col("one").alias("of_one"), F.col("list").alias("of")).agg(F.greatest(F.ceil(F.sum("m") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    dealt = members.join(totals, (F.col("list") == F.col("of")) & (F.col("one") == F.col("of_one"))).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
+    dealt = dealt.select("class", "one", "list", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sets, "class")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("class")
         found = group_links(frame["class"].to_numpy(), frame["n_shingles"].to_numpy(), frame["shingles"].tolist(), percent, frame["own"].to_numpy())
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    across = stored(dealt.groupBy("value", "low", "high").applyInPandas(compare, "u long, v long"), "across")
-    roots = stored(connected_components(links.union(across)), "components").withColumnRenamed("node", "of")
+    across = stored(dealt.groupBy("one", "list", "low", "high").applyInPandas(compare, "u long, v long"), "across")
+    discard(searched, sets, members)
+    with scratch() as made:
+        components = stored(connected_components(links.union(across)), "components")
+    discard(links, across, *[t for t in made if t.stored_path != components.stored_path])
+    roots = components.withColumnRenamed("node", "of")
     out = rows.drop("sketch").join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
     out = stored(out, "groups")
-    discard(rows, searched, wanted, sets, links, across)
+    discard(rows, wanted, components)
     return out
 
 
@@ -274,7 +287,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     l - t + 1 in one order: two such classes have one of these in common. In
     each list the searched classes are compared on their full sets, in
     blocks of bounded shingles and classes, which gives no more than one
-    edge per class and block. So no task or table holds all pairs of a
+    edge per class and block. Lists that share their least class are one
+    list, so that a set travels once for all of them, unless their union has
+    more pairs than they have apart. So no task or table holds all pairs of a
     group, and a group of copies of one text costs no more than one of them.
 
     Null texts and texts without words have the empty set and are linked
@@ -285,7 +300,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     groups = near_groups(docs, n, percent)
     least = groups.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id"))
     out = groups.join(least, F.col("root") == F.col("of"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")), "near-duplicates")
+    discard(groups)
+    return out
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
