@@ -5,12 +5,13 @@ Each has an equality key, so that none becomes a nested loop.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plume.sources.stores import written
+from plume.sources.stores import dropped, kept
 
 
 def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str], slots: int = 3600) -> DataFrame:
@@ -27,8 +28,11 @@ def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str]
     """
     slot = lambda t: F.floor(t / slots)
     row = F.struct(F.col(time), *values)
-    following = F.lead("r").over(Window.orderBy("t"))  # forcing: one row per time
-    spans = right.select(F.col(time).alias("t"), row.alias("r")).withColumn("next", following).filter("next is not null")
+    rows = right.select(F.col(time).alias("t"), row.alias("r")).withColumn("own", slot(F.col("t")))
+    # successors within a slot, and the first row of the next slot that has any: one row per slot is all that is ordered as a whole
+    firsts = rows.groupBy("own").agg(F.min_by("r", "t").alias("first")).select("own", F.lead("first").over(Window.orderBy("own")).alias("later"))
+    rows = rows.withColumn("next", F.lead("r").over(Window.partitionBy("own").orderBy("t"))).join(firsts, "own")
+    spans = rows.select("t", "r", F.coalesce("next", "later").alias("next")).filter("next is not null")
     spans = spans.withColumn("slot", F.explode(F.sequence(slot(F.col("t")), slot(F.col(f"next.{time}")))))
     ends = right.agg(F.min_by(row, F.col(time)).alias("first"), F.max_by(row, F.col(time)).alias("last"))
     within = (F.col("l.slot") == F.col("s.slot")) & (F.col(f"l.{time}") >= F.col("s.t")) & (F.col(f"l.{time}") < F.col(f"s.next.{time}"))
@@ -62,26 +66,36 @@ DEGREE = 111194.92664455873
 
 
 def metres(lon: str, lat: str, lon2: str, lat2: str) -> Column:
-    """Distance on a plane that is true to scale at the mean latitude of the two points."""
-    dx = (F.col(lon) - F.col(lon2)) * F.cos(F.radians((F.col(lat) + F.col(lat2)) / 2))
-    dy = F.col(lat) - F.col(lat2)
-    return F.sqrt(dx * dx + dy * dy) * DEGREE
+    """Distance on a plane that is true to scale at the mean latitude of the two points, the short way around.
+
+    Within 5 degrees of a pole, where no plane is, it is that of the great circle.
+    """
+    gap = F.col(lon) - F.col(lon2)
+    gap = F.when(F.abs(gap) > 180, gap - 360 * F.round(gap / 360)).otherwise(gap)
+    dx, dy = gap * F.cos(F.radians((F.col(lat) + F.col(lat2)) / 2)), F.col(lat) - F.col(lat2)
+    up, across = F.sin(F.radians(dy / 2)), F.sin(F.radians(gap / 2))
+    h = up * up + F.cos(F.radians(F.col(lat))) * F.cos(F.radians(F.col(lat2))) * across * across
+    circle = F.degrees(2 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
+    return F.when(F.abs(F.col(lat) + F.col(lat2)) > 170, circle).otherwise(F.sqrt(dx * dx + dy * dy)) * DEGREE
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs within ``radius`` m and of equal ``on`` columns, with their distance.
 
     ``right`` has lon2, lat2. Buckets are bands of latitude of the height of
-    ``radius``, each cut into widths that hold ``radius`` at its poleward
-    end. Right rows are copied to the 3 by 3 buckets around their own, which
-    makes an equality join on the bucket; the distance then decides.
+    ``radius``, each cut into equal parts of the circle that hold ``radius``
+    at its poleward end (one part near a pole), so that the last part meets
+    the first. Right rows are copied to the 3 by 3 buckets around their own,
+    which makes an equality join on the bucket; the distance then decides.
     """
     height = radius / DEGREE
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     band = lambda lat: F.floor(F.col(lat) / height)
-    poleward = F.least((F.abs(F.col("by")) + 2) * height, F.lit(89.0))
-    place = lambda lon: F.floor(F.col(lon) * F.cos(F.radians(poleward)) / height)
-    r = right.withColumn("by", F.explode(F.transform(near, lambda d: band("lat2") + d))).withColumn("bx", F.explode(F.transform(near, lambda d: place("lon2") + d)))
+    poleward = (F.abs(F.col("by")) + 2) * height
+    parts = F.when(poleward < 88, F.greatest(F.floor(360 * F.cos(F.radians(poleward)) / height), F.lit(1))).otherwise(1)
+    place = lambda lon: F.least(F.floor(F.pmod(F.col(lon).cast("double"), F.lit(360.0)) / 360 * parts), parts - 1)
+    around = lambda at: F.array_distinct(F.transform(near, lambda d: F.pmod(at + d, parts)))
+    r = right.withColumn("by", F.explode(F.transform(near, lambda d: band("lat2") + d))).withColumn("bx", F.explode(around(place("lon2"))))
     l = left.withColumn("by", band("lat")).withColumn("bx", place("lon"))  # noqa: E741
     return l.join(r, [*on, "bx", "by"]).withColumn("distance", metres("lon", "lat", "lon2", "lat2")).filter(F.col("distance") <= radius).drop("bx", "by")
 
@@ -95,20 +109,37 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, rad
 def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, radius: float) -> DataFrame:
     """The nearest row of ``right`` for every row of ``left``, however far, ties by ``tie``.
 
-    Rows without one within ``radius`` are looked for again within four
-    times of it, and so on until all have one; each time only those that are left are joined.
-    An empty ``right`` gives an empty result.
+    The first round looks within ``radius``, or less where ``right`` is so
+    dense (by its number and extent, counted once) that less will do; rows
+    that find none look again within three times of it, and so on. A round
+    keeps the least pair of each row before anything is shuffled, and writes
+    rows found and not found as one table; tables of more than one round are
+    deleted when their result is written. An empty ``right`` gives an empty
+    result; rows without a place have none.
     """
-    spark, parts = left.sparkSession, []
-    kept = lambda df: spark.read.parquet(written(df, "nearest"))  # noqa: E731  so that a round isn't run again in the next
-    rest, known = left, not right.isEmpty()
+    extent = right.agg(F.count("lon2").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("lon2", "lat2") for n, f in (("low", F.min), ("high", F.max))]).first()
+    if extent["n"]:
+        middle = math.radians((extent["low_lat2"] + extent["high_lat2"]) / 2)
+        area = (extent["high_lon2"] - extent["low_lon2"]) * max(math.cos(middle), 0.02) * (extent["high_lat2"] - extent["low_lat2"]) * DEGREE * DEGREE
+        radius = min(radius, max(math.sqrt(4 * area / extent["n"]), radius / 64))
+    own = [c for c in right.columns if c not in (tie, *left.columns)]
+    pair = F.struct("distance", tie, *own)
+    empty = F.lit(None).cast(radius_join(left, right, radius).select(pair.alias("p")).schema["p"].dataType)
+    rest, rounds = left.filter("lon is not null and lat is not null"), []
     while True:
-        found = kept(nearest_k(rest, right, key, tie, 1, radius))
-        parts.append(found)
-        rest = kept(rest.join(found.select(key), key, "left_anti"))
-        if not known or radius > 2.1e7 or rest.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        radius *= 4
+        met = radius_join(rest, right, radius).select(*left.columns, pair.alias("pair"))
+        best = met.unionByName(rest.select(*left.columns, empty.alias("pair"))).groupBy(*left.columns).agg(F.min("pair").alias("pair"))
+        rounds.append(kept(best, "nearest"))
+        rest = rounds[-1].filter("pair is null").select(*left.columns)
+        if not extent["n"] or radius > 2.1e7 or not rest.limit(1).count():
+            break
+        radius *= 3
+    found = reduce(DataFrame.unionByName, rounds).filter("pair is not null").select(*left.columns, "pair.*", F.lit(1).alias("rank"))
+    if len(rounds) == 1:
+        return found
+    out = kept(found, "nearest")
+    dropped(*rounds)
+    return out
 
 
 def inverse_distance_shares(pairs: DataFrame, key: str) -> DataFrame:

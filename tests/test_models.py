@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plume.operators import curvilinear, harmonics, potential
+from plume.operators import curvilinear, harmonics, joins, potential
 from plume.streaming import steps
 
 
@@ -198,3 +198,54 @@ def test_state_of_a_particle_goes_after_the_gap():
     assert [r for f in own.handleExpiredTimer((7,), None, expired) for r in f.itertuples(index=False, name=None)][0][1] == 14
     assert handle.value is None
     assert give((20, 1.0), (40, 3.0)) == [(7, 20, None, "activated"), (7, 30, None, "lost"), (7, 40, None, "activated")]
+
+
+def places(spark, rows, names):
+    return spark.createDataFrame(rows, f"{names[0]} long, {names[1]} double, {names[2]} double")
+
+
+def great_circle(a, b):
+    (lon, lat), (lon2, lat2) = a, b
+    h = math.sin(math.radians(lat - lat2) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon - lon2) / 2) ** 2
+    return 2 * 6371000 * math.asin(math.sqrt(h))
+
+
+def test_pairs_across_the_antimeridian_and_the_pole(spark):
+    left = places(spark, [(1, 179.99, 10.0), (2, -179.995, -60.0), (3, 0.0, 89.97), (4, 179.999, 0.0), (5, 359.995, 45.0)], ("a", "lon", "lat"))
+    right = places(spark, [(1, -179.99, 10.0), (2, 179.99, -60.0), (3, 180.0, 89.96), (4, -179.95, 0.0), (5, 0.01, 45.0), (6, 170.0, 10.0)], ("b", "lon2", "lat2"))
+    got = {(r.a, r.b): r.distance for r in joins.radius_join(left, right, 10_000.0).collect()}
+    assert set(got) == {(k, k) for k in range(1, 6)}
+    for k, (p, q) in enumerate([((179.99, 10), (-179.99, 10)), ((-179.995, -60), (179.99, -60)), ((0, 89.97), (180, 89.96)), ((179.999, 0), (-179.95, 0)), ((-0.005, 45), (0.01, 45))], 1):
+        assert got[k, k] == pytest.approx(great_circle(p, q), rel=1e-3)
+    near = {r.a: (r.b, r.distance) for r in joins.nearest(left, right, "a", "b", 500.0).collect()}
+    assert {a: b for a, (b, _) in near.items()} == {k: k for k in range(1, 6)}
+
+
+def test_pairs_on_the_whole_sphere_against_all_pairs(spark):
+    r = random.Random(12)
+    spot = lambda: (r.uniform(-180, 180), math.degrees(math.asin(r.uniform(-1, 1))))
+    a, b = [(k, *spot()) for k in range(300)], [(k, *spot()) for k in range(300)]
+    left, right = places(spark, a, ("a", "lon", "lat")), places(spark, b, ("b", "lon2", "lat2"))
+    got = {(x.a, x.b): x.distance for x in joins.radius_join(left, right, 400_000.0).collect()}
+    near = lambda p, q: great_circle(p[1:], q[1:])
+    # the plane and the great circle differ a little, so pairs near the radius are left open
+    assert {(p[0], q[0]) for p in a for q in b if near(p, q) < 390_000 and max(abs(p[2]), abs(q[2])) < 80} <= set(got)
+    assert all(near(a[i], b[j]) < 440_000 for i, j in got)
+    best = {x.a: x.distance for x in joins.nearest(left, right, "a", "b", 100_000.0).collect()}
+    assert set(best) == set(range(300))
+    assert all(near(p, min(b, key=lambda q: near(p, q))) == pytest.approx(best[p[0]], rel=0.1) for p in a if abs(p[2]) < 75)
+    assert joins.nearest(left, right.limit(0), "a", "b", 1000.0).count() == 0
+
+
+def test_brackets_of_times_in_many_slots(spark):
+    """Rows at, between, before and after times that are dense in some slots and missing in others."""
+    r = random.Random(7)
+    times = sorted({r.randrange(0, 200) for _ in range(60)} | {5000, 90_000})
+    asked = list(range(-5, 210)) + [4999, 5000, 5001, 89_999, 90_000, 100_000]
+    right = spark.createDataFrame([(t, t * 2.0) for t in times], "t long, v double")
+    out = joins.asof_bracket(spark.createDataFrame([(t,) for t in asked], "t long"), right, "t", ["v"], slots=50).collect()
+    assert sorted(x.t for x in out) == sorted(asked)
+    for x in out:
+        before, after = [t for t in times if t <= x.t], [t for t in times if t >= x.t]
+        assert (x.t_before, x.t_after) == (before[-1] if before else None, after[0] if after else None)
+        assert x.v_before == (None if not before else before[-1] * 2.0)
