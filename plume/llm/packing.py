@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plume.llm.common import for_python, remembered, slices, stored, whole_ids
+from plume.llm.common import discard, for_python, remembered, slices, stored, whole_ids
 
 CAPACITY = 4096
 END = 1
@@ -158,13 +158,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, chunks: int, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    Pieces are dealt to ``chunks`` groups by hash, so that no task holds
-    more than about its share, and each group is packed by the
+    Pieces are dealt to ``chunks`` groups by a hash of their values and of a
+    running number (equal rows go to all groups alike), so that no task
+    holds more than about its share, and each group is packed by the
     sum-of-squares rule twice: in an order that is random (by hash), which
     suits many pieces, and from long to short, which suits few. The packing
     with fewer sequences stays.
     """
-    keys = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    keys = F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id())
     dealt = pieces.withColumn("shuffle", keys).withColumn("chunk", F.pmod("shuffle", F.lit(chunks)))
     dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     columns = [*pieces.columns, "sequence_id", "offset"]
@@ -192,9 +193,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     Returns a row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset. Offsets within a sequence are gapless from 0.
 
-    A null or empty text is one piece of one token. Repeated rows are packed
-    each for itself. An empty table gives an empty result; columns besides
+    The groups are as many as the pieces ask for, not the documents: a few
+    very long ones are many groups. A null or empty text is one piece of one
+    token. Repeated rows are packed each for itself. An empty table gives an empty result; columns besides
     doc_id and text aren't read.
     """
-    chunks = max(1, -(-docs.count() // CHUNK_PIECES))
-    return pack(token_pieces(docs, tokenizer, capacity, end), chunks, capacity)
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end), "pieces")
+    out = pack(pieces, max(1, -(-pieces.count() // CHUNK_PIECES)), capacity)
+    discard(pieces)
+    return out

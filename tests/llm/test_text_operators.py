@@ -557,3 +557,16 @@ def test_sum_of_squares_fills_its_bins():
     bins, offsets = packing.sum_of_squares(lengths, 4096)
     assert (np.bincount(bins, weights=lengths) <= 4096).all()
     assert bins.max() + 1 <= 1.01 * lengths.sum() / 4096
+
+
+def test_equal_rows_and_long_documents_fill_many_groups(spark, monkeypatch):
+    """Null texts without ids go to all groups alike, and pieces are counted, not documents."""
+    monkeypatch.setattr(packing, "CHUNK_PIECES", 500)
+    rows = [(None, None, None)] * 6000 + [(1, "word " * 9000, "s")]
+    got = packing.pack_documents(documents(spark, rows), capacity=8).toPandas()
+    assert len(got) == 6000 + -(-9001 // 8)
+    groups = got.groupby(got.sequence_id // (1 << 32))
+    assert groups.ngroups == -(-len(got) // 500) and groups.size().max() < 800
+    assert (got.groupby("sequence_id").length.sum() <= 8).all()
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]]
