@@ -188,6 +188,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     one = F.min(F.struct(*KEYS)).alias("rep")
     kinds = rows.filter("class is not null").groupBy("class").agg(one, F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"))
     kinds = stored(kinds, "classes")
+    sketched, rows = rows, stored(rows.drop("sketch"), "classes-of-rows")
+    discard(sketched)
     # a set so small that only an equal one is similar has no links with other classes
     open_ = kinds.filter(F.floor(100 * F.col("m") / percent) > F.col("m"))
 
@@ -260,7 +262,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         components = stored(connected_components(links.union(across)), "components")
     discard(links, across, *[t for t in made if t.stored_path != components.stored_path])
     roots = components.withColumnRenamed("node", "of")
-    out = rows.drop("sketch").join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
+    out = rows.join(roots, F.col("class") == F.col("of"), "left").withColumn("root", F.coalesce("root", "class")).drop("of")
     out = stored(out, "groups")
     discard(rows, wanted, components)
     return out
