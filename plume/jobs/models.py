@@ -9,8 +9,9 @@ from plume.jobs.grids import HOLES, MESH, holed, lattice
 from plume.jobs.meshes import CENTRE
 from plume.jobs.series import CELLS, GRID
 from plume.jobs.tracks import joined
-from plume.operators import curvilinear, harmonics, kernels, mesh, potential, vertical
-from plume.sources.fixtures import bathymetry, particles, table, track, with_views
+from plume.operators import coast, curvilinear, harmonics, kernels, mesh, potential, vertical
+from plume.sources.fixtures import bathymetry, particles, sites, table, track, with_views
+from plume.sources.stores import kept
 from plume.streaming import steps
 
 QUERIES: dict = {}
@@ -265,3 +266,41 @@ def adaptive_kernel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Autocorrelation of each day's counts up to five cells, the mean along rows and columns."""
     return kernels.autocorrelation(daily_mass(spark, sf_dir), ("day",), "n", 5).select("day", "lag", r("ac", 8, "ac"))
+
+
+#: Shore nodes take this share of their depth, from rivers within reach.
+SHARE, REACH = 0.05, 12.0
+SHORE = f""", lim AS (SELECT node, x, y, {SHARE}e0 * value AS room FROM nodes WHERE node IN (SELECT unnest([u, v]) FROM edges WHERE cells = 1)),
+rv AS (SELECT site_id AS river, site_id * 7 % 4800 / 100e0 AS x, site_id * 13 % 3700 / 100e0 AS y, 1e0 + site_id % 9 AS flow, 4e0 + site_id % 7 AS t FROM sites),
+pr AS (SELECT river, node, sqrt(pow(rv.x - lim.x, 2) + pow(rv.y - lim.y, 2)) AS d, t FROM rv JOIN lim ON sqrt(pow(rv.x - lim.x, 2) + pow(rv.y - lim.y, 2)) <= {REACH}e0),
+z AS (SELECT 0 AS k, 'r' AS kind, river AS id, flow, flow * t AS heat, 0e0 AS room FROM rv UNION ALL SELECT 0, 'n', node, 0, 0, room FROM lim UNION ALL (
+  WITH a AS (SELECT river, node, d, t, r.flow AS rest, n.room FROM pr JOIN z r ON r.kind = 'r' AND r.id = river JOIN z n ON n.kind = 'n' AND n.id = node WHERE r.flow > 1e-9 AND n.room > 1e-9),
+  o AS (SELECT *, least(rest - coalesce(sum(room) OVER (PARTITION BY river ORDER BY d, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), room) AS offer FROM a),
+  s AS (SELECT river, node, t, offer * least(1, room / sum(offer) OVER (PARTITION BY node)) AS taken FROM o WHERE offer > 0),
+  c AS (SELECT 'r' AS kind, river AS id, -sum(taken) AS flow, -sum(taken * t) AS heat, 0e0 AS room FROM s GROUP BY river UNION ALL SELECT 'n', node, sum(taken), sum(taken * t), -sum(taken) FROM s GROUP BY node)
+  SELECT k + 1, z.kind, z.id, z.flow + coalesce(c.flow, 0), z.heat + coalesce(c.heat, 0), z.room + coalesce(c.room, 0) FROM z LEFT JOIN c ON c.kind = z.kind AND c.id = z.id WHERE EXISTS (SELECT 1 FROM s))),
+e AS (SELECT kind, id, arg_max(flow, k) AS flow, arg_max(heat, k) AS heat FROM z GROUP BY kind, id)"""
+
+
+@query(joined("bathymetry sites", MESH + SHORE + " SELECT id AS node, round(flow, 6) AS flow, round(heat / flow, 5) AS temperature FROM e WHERE kind = 'n' AND flow > 0 UNION ALL SELECT -1, round(sum(flow), 6), round(sum(heat) / sum(flow), 5) FROM e WHERE kind = 'r' AND flow > 1e-9 HAVING sum(flow) IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1))
+def rivers_to_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rivers on the shore nodes of the mesh, none with more than its depth allows."""
+    nodes, cells = lattice(spark, sf_dir)
+    shore = nodes.join(mesh.boundary_nodes(cells).select("node"), "node", "left_semi").select("node", "x", "y", (SHARE * F.col("value")).alias("limit"))
+    k = F.col("site_id")
+    rivers = sites(spark, sf_dir).select(k.alias("river"), (k * 7 % 4800 / 100.0).alias("x"), (k * 13 % 3700 / 100.0).alias("y"), (1.0 + k % 9).alias("flow"), (4.0 + k % 7).alias("temperature"))
+    return coast.rivers_to_nodes(rivers, kept(shore, "shore"), REACH).select("node", r("flow", 6, "flow"), r("temperature", 5, "temperature"))
+
+
+@query(joined("bathymetry", MESH + """, ob AS (SELECT x AS x2, y AS y2 FROM nodes WHERE y = 1 OR x = 0), d AS (SELECT node, min(sqrt(pow(x - x2, 2) + pow(y - y2, 2))) AS d FROM nodes, ob GROUP BY node), n AS (SELECT * FROM d WHERE d <= 9),
+e AS (SELECT max(d) FILTER (d <= 3) AS one, max(d) FILTER (d > 3) AS nil FROM n), w AS (SELECT node, CASE WHEN d <= 3 THEN 1e0 ELSE (d - nil) / (one - nil) END AS w FROM n, e),
+c AS (SELECT CAST(ix / 3 AS BIGINT) AS cx, CAST(iy / 3 AS BIGINT) AS cy, depth * 2 AS coarse FROM bathymetry WHERE ix % 3 = 0 AND iy % 3 = 0), o AS (SELECT unnest([0, 1]) AS i), o2 AS (SELECT unnest([0, 1]) AS j),
+p AS (SELECT node, CAST(floor(x / 3) AS BIGINT) + i AS cx, CAST(floor(y / 3) AS BIGINT) + j AS cy, (CASE i WHEN 1 THEN x / 3 - floor(x / 3) ELSE 1 - (x / 3 - floor(x / 3)) END) * (CASE j WHEN 1 THEN y / 3 - floor(y / 3) ELSE 1 - (y / 3 - floor(y / 3)) END) AS s FROM nodes, o, o2),
+h AS (SELECT node, sum(s * coarse) / sum(s) AS coarse FROM p JOIN c USING (cx, cy) WHERE s > 0 GROUP BY node)
+SELECT node, round(CASE WHEN coarse IS NULL OR w IS NULL THEN value ELSE coarse * w + value * (1 - w) END, 6) AS depth FROM nodes LEFT JOIN w USING (node) LEFT JOIN h USING (node)"""))
+def blended_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of the mesh with those of a coarse grid along the open boundary."""
+    nodes, _ = lattice(spark, sf_dir)
+    open_ = nodes.filter("y = 1 or x = 0").select(F.col("x").alias("x2"), F.col("y").alias("y2"))
+    coarse = bathymetry(spark, sf_dir).filter("ix % 3 = 0 and iy % 3 = 0").select((F.col("ix") / 3).cast("bigint").alias("ix"), (F.col("iy") / 3).cast("bigint").alias("iy"), (F.col("depth") * 2).alias("value"))
+    return coast.blended_depths(nodes, open_, coarse, 3.0, 1.5).select("node", r("value", 6, "depth"))
