@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plume.operators import curvilinear, harmonics, joins, potential
+from plume.operators import coast, curvilinear, harmonics, joins, kernels, potential
 from plume.streaming import steps
 
 
@@ -249,3 +249,55 @@ def test_brackets_of_times_in_many_slots(spark):
         before, after = [t for t in times if t <= x.t], [t for t in times if t >= x.t]
         assert (x.t_before, x.t_after) == (before[-1] if before else None, after[0] if after else None)
         assert x.v_before == (None if not before else before[-1] * 2.0)
+
+
+def test_rivers_keep_their_flow_and_no_node_takes_too_much(spark):
+    r = random.Random(9)
+    nodes = [(k, float(k), r.uniform(-0.2, 0.2), r.uniform(0.5, 2.0)) for k in range(60)]
+    rivers = [(k, r.uniform(20, 26), r.uniform(-2, 2), r.uniform(1, 6), r.uniform(2, 12)) for k in range(12)] + [(50, 500.0, 0.0, 7.0, 4.0)]
+    got = coast.rivers_to_nodes(spark.createDataFrame(rivers, "river long, x double, y double, flow double, temperature double"), spark.createDataFrame(nodes, "node long, x double, y double, limit double"), 30.0).collect()
+    limit = {k: m for k, _, _, m in nodes} | {-1: 7.0}
+    assert all(x.flow <= limit[x.node] + 1e-9 for x in got)
+    assert next(x for x in got if x.node == -1).flow == pytest.approx(7)  # out of reach
+    assert sum(x.flow for x in got) == pytest.approx(sum(f for *_, f, _ in rivers))
+    assert sum(x.flow * x.temperature for x in got) == pytest.approx(sum(f * t for *_, f, t in rivers))
+    full = [x.node for x in got if x.node >= 0 and x.flow > limit[x.node] - 1e-6]
+    assert full and set(range(min(full), max(full) + 1)) <= {x.node for x in got}  # nearest nodes first, no gaps
+    one = coast.rivers_to_nodes(spark.createDataFrame([(1, 0.4, 0.0, 0.1, 5.0)], "river long, x double, y double, flow double, temperature double"), spark.createDataFrame(nodes, "node long, x double, y double, limit double"), 5.0).collect()
+    assert [(x.node, x.flow, x.temperature) for x in one] == [(0, pytest.approx(0.1), pytest.approx(5))]
+
+
+def test_depths_are_the_coarse_ones_at_the_boundary_and_their_own_far_away(spark):
+    nodes = spark.createDataFrame([(k, float(k), 0.0, 10.0) for k in range(20)], "node long, x double, y double, value double")
+    coarse = spark.createDataFrame([(k, 0, 40.0) for k in range(6)], "ix long, iy long, value double")
+    boundary = spark.createDataFrame([(0.0, 0.0)], "x2 double, y2 double")
+    got = {x.node: x.value for x in coast.blended_depths(nodes, boundary, coarse, 4.0, 1.5).collect()}
+    assert [got[k] for k in range(4)] == [40.0] * 4 and all(got[k] == 10 for k in range(9, 20))
+    assert all(got[k] == pytest.approx(10 + 30 * (9 - k) / 6) for k in range(3, 10))
+
+
+def test_adaptive_kernels_keep_mass_on_allowed_cells(spark):
+    r = random.Random(4)
+    rows = [(k % 2, x, y, r.uniform(1, 5), r.choice([0.0, 0.3, 1.0, 2.0, 9.0])) for k, (x, y) in enumerate((x, y) for x in range(8) for y in range(8))]
+    grid = spark.createDataFrame([*rows, (0, 100, 100, 3.0, 1.0)], "day long, ix long, iy long, mass double, h double")
+    allowed = spark.createDataFrame([(x, y) for x in range(8) for y in range(8) if (x + y) % 3], "ix long, iy long")
+    out = kernels.adaptive_kernel(grid, ("day",), "mass", "h", allowed, [0.0, 0.5, 1.0, 2.0]).collect()
+    assert all((x.ix + x.iy) % 3 for x in out if x.ix is not None)
+    for day in (0, 1):
+        assert sum(x.mass for x in out if x.day == day) == pytest.approx(sum(m for d, _, _, m, _ in rows if d == day) + 3 * (day == 0), rel=1e-12)
+    # cells that aren't allowed and have no bandwidth are near to none
+    alone = sum(m for d, x, y, m, h in rows if d == 0 and h == 0 and (x + y) % 3 == 0) + 3
+    assert next(x.mass for x in out if x.day == 0 and x.ix is None) == pytest.approx(alone)
+
+
+def test_window_statistics_on_a_reflected_edge(spark):
+    r = random.Random(2)
+    n = [[r.randrange(1, 9) for _ in range(6)] for _ in range(7)]
+    grid = spark.createDataFrame([(1, x, y, n[x][y]) for x in range(7) for y in range(6)], "day long, ix long, iy long, n long")
+    fold = lambda k, size: -k if k < 0 else 2 * (size - 1) - k if k >= size else k
+    for x in kernels.window_statistics(grid, ("day",), "n", (7, 6), 2).collect():
+        window = [(n[fold(x.ix + dx, 7)][fold(x.iy + dy, 6)], dx * dx + dy * dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+        assert (x.s, x.ss, x.d2) == (sum(a for a, _ in window), sum(a * a for a, _ in window), sum(a * d for a, d in window))
+    ac = {x.lag: x.ac for x in kernels.autocorrelation(grid, ("day",), "n", 2).collect()}
+    whole = sum(v * v for row in n for v in row)
+    assert ac[0] == 1 and ac[1] == pytest.approx((sum(n[x][y] * n[x + 1][y] for x in range(6) for y in range(6)) + sum(n[x][y] * n[x][y + 1] for x in range(7) for y in range(5))) / 2 / whole)
