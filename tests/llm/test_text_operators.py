@@ -570,3 +570,25 @@ def test_equal_rows_and_long_documents_fill_many_groups(spark, monkeypatch):
     assert (got.groupby("sequence_id").length.sum() <= 8).all()
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]]
+
+
+def test_discovery_limits_against_benjamini_and_hochberg(spark):
+    """Evidence is counted in tenths, so the plain procedure on p values rounded up to them gives the same limits."""
+    r = np.random.default_rng(10)
+    rows = [(size, float(e)) for size in (20, 40) for e in np.concatenate([r.exponential(0.43, 3000), r.uniform(3, 70 if size == 20 else 8, 60)])] + [(64, 0.2)] * 50
+    got = secrets.discovery_limits(spark.createDataFrame(rows, "size int, evidence double"), "evidence", 0.01)
+    want = {}
+    for size in (20, 40, 64):
+        tenths = sorted((min(math.floor(e * 10), 600) for s, e in rows if s == size), reverse=True)
+        passed = [k for k, t in enumerate(tenths, 1) if 10 ** (-t / 10) <= 0.01 * k / len(tenths)]
+        if passed:
+            want[size] = tenths[passed[-1] - 1] / 10
+    assert got == want and set(want) == {20, 40}
+
+
+def test_strings_of_one_class_are_left_alone(spark):
+    """Without a change of character class nothing tells a random string from a word, so it is never added."""
+    r = np.random.default_rng(3)
+    keys = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(30)]
+    rows = [(i, f"see {k} there", "s") for i, k in enumerate(keys)]
+    assert {x.spans for x in secrets.secrets(documents(spark, rows)).collect()} == {""}
