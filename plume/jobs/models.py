@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plume.jobs.grids import HOLES, MESH, holed, lattice
@@ -10,6 +10,7 @@ from plume.jobs.meshes import CENTRE
 from plume.jobs.series import CELLS, GRID
 from plume.jobs.tracks import joined
 from plume.operators import coast, curvilinear, harmonics, kernels, mesh, potential, vertical
+from plume.sources.drift_text import Run, read_drift, write_drift
 from plume.sources.fixtures import bathymetry, particles, sites, table, track, with_views
 from plume.sources.stores import kept
 from plume.streaming import steps
@@ -304,3 +305,14 @@ def blended_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = nodes.filter("y = 1 or x = 0").select(F.col("x").alias("x2"), F.col("y").alias("y2"))
     coarse = bathymetry(spark, sf_dir).filter("ix % 3 = 0 and iy % 3 = 0").select((F.col("ix") / 3).cast("bigint").alias("ix"), (F.col("iy") / 3).cast("bigint").alias("iy"), (F.col("depth") * 2).alias("value"))
     return coast.blended_depths(nodes, open_, coarse, 3.0, 1.5).select("node", r("value", 6, "depth"))
+
+
+RUN = Run("2024-01-01 00:00:00", 60, 26, "LIFE-RAFT-DB-10", (("2024-01-01 00:00:00", 12.5, 68.5, 1.0),) * 2)
+
+
+@query(with_views("particles", "SELECT step, event_id AS id, round(CAST(lon AS FLOAT)::DOUBLE, 4) AS lon, round(CAST(lat AS FLOAT)::DOUBLE, 4) AS lat, CASE status WHEN 0 THEN 11 ELSE 41 END AS state, (step - min(step) OVER (PARTITION BY traj_id)) * 60 AS age, CAST(event_id % 2 AS INT) AS orientation FROM particles"))
+def drift_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles written to the text form of drift runs and read back."""
+    first = Window.partitionBy("traj_id")
+    p = particles(spark, sf_dir).select("step", F.col("event_id").alias("id"), "lon", "lat", "status", ((F.col("step") - F.min("step").over(first)) * 60).alias("age"), (F.col("event_id") % 2).cast("int").alias("orientation"))
+    return read_drift(spark, write_drift(p, RUN)).select("step", "id", r("lon", 4, "lon"), r("lat", 4, "lat"), "state", "age", "orientation")

@@ -1,13 +1,17 @@
 """Potentials, slope limiter and other operators of models against plain Python."""
 
+import datetime
 import math
+import pathlib
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plume.operators import coast, curvilinear, harmonics, joins, kernels, potential
+from plume.sources import drift_text
 from plume.streaming import steps
 
 
@@ -301,3 +305,38 @@ def test_window_statistics_on_a_reflected_edge(spark):
     ac = {x.lag: x.ac for x in kernels.autocorrelation(grid, ("day",), "n", 2).collect()}
     whole = sum(v * v for row in n for v in row)
     assert ac[0] == 1 and ac[1] == pytest.approx((sum(n[x][y] * n[x + 1][y] for x in range(6) for y in range(6)) + sum(n[x][y] * n[x][y + 1] for x in range(7) for y in range(5))) / 2 / whole)
+
+
+def drift_lines(rows, run, steps):
+    """The whole text, line by line in plain Python."""
+    out = [drift_text.header(run, steps, len({i for _, i, *_ in rows}))]
+    before = 0
+    for step in range(steps):
+        own = sorted((r for r in rows if r[0] == step), key=lambda r: r[1])
+        active = [r for r in own if r[4] == 0 and r[2] is not None]
+        mean = lambda k: f"{sum(r[k] for r in active) / len(active):.6f}" if active else "nan"  # noqa: E731, B023
+        at = datetime.datetime(2016, 2, 2, 12) + datetime.timedelta(minutes=30 * step)
+        out += ["", "# Date [UTC]:", "nowDate   nowTime", at.strftime("%Y-%m-%d\t%H:%M:%S"), "# Time passed [min] & [timesteps], now seeded, seeded so far:", "timePassed  nStep   nowSeeded   nSeeded", f"  {30 * step}\t{step + 1}\t{len(own) - before}\t{len(own)}"]
+        out += ["# Mean position:", "meanLon meanLat", f"{mean(2)}\t{mean(3)}", "# Particle data:", "id  lon lat state   age orientation"]
+        out += [f"{i}\t{lon if lon is not None else 0.0}\t{lat if lon is not None else 0.0}\t{41 if lon is None or status else 11}\t{age}\t{turn if lon is not None else 0}" for _, i, lon, lat, status, age, turn in own]
+        before = len(own)
+    return "\n".join(out) + "\n"
+
+
+def test_drift_text_byte_for_byte_and_back(spark):
+    r = random.Random(8)
+    number = lambda low: low + r.randrange(192) / 64  # noqa: E731  sums of these are exact in any order
+    short = lambda v: float(str(np.float32(v)))
+    rows = [(step, i, short(number(4)), short(number(60)), int(r.random() < 0.2), 30 * step, i % 2) for step in range(12) if step != 5 for i in range(1, 40) if i <= 10 + 4 * step]
+    rows += [(7, 500, None, None, 0, 210, 1)]
+    run = drift_text.Run("2016-02-02 12:00:00", 30, 26, "LIFE-RAFT-DB-10", (("2016-02-02 12:00:00", 4.5, 60.0, 1.0), ("2016-02-02 14:00:00", 4.5, 60.0, 2.0)), 120)
+    df = spark.createDataFrame(rows, "step long, id long, lon double, lat double, status int, age long, orientation int")
+    text = lambda path: b"".join(f.read_bytes() for f in sorted(pathlib.Path(path.removeprefix("file:")).glob("part-*")))
+    path = drift_text.write_drift(df.repartition(5), run, files=6)
+    assert text(path).decode() == drift_lines(rows, run, 12)
+    assert len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*"))) > 1
+    back = drift_text.read_drift(spark, path)
+    assert sorted(tuple(x) for x in back.collect()) == sorted((s, i, lon or 0.0, lat or 0.0, 41 if lon is None or status else 11, age, turn if lon else 0) for s, i, lon, lat, status, age, turn in rows)
+    again = back.filter("id < 500").withColumn("status", (F.col("state") == 41).cast("int")).unionByName(df.filter("id = 500").withColumn("state", F.lit(0)))
+    assert text(drift_text.write_drift(again, run)) == text(path)
+    assert drift_text.read_drift(spark, drift_text.write_drift(df.limit(0), run)).count() == 0
