@@ -253,14 +253,15 @@ def reflected_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_bandwidth(daily_mass(spark, sf_dir)).select("day", "ix", "iy", r("h", 8, "h"))
 
 
-@query(joined("particles", MASS + REFLECTED + OPEN + SPREAD + " SELECT day, ix, iy, round(sum(CASE WHEN ix IS NULL THEN mass ELSE mass * w / total END), 6) AS mass FROM t GROUP BY day, ix, iy"))
+@query(joined("particles", MASS + REFLECTED + OPEN + SPREAD + " SELECT day, coalesce(ix, -1) AS ix, coalesce(iy, -1) AS iy, round(sum(CASE WHEN ix IS NULL THEN mass ELSE mass * w / total END), 6) AS mass FROM t GROUP BY day, ix, iy"))
 def adaptive_kernel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's mass spread by kernels of each cell's own bandwidth over open water; what is near to none has null cells."""
+    """Each day's mass spread by kernels of each cell's own bandwidth over open water; what is near to none is in cell -1, -1."""
     row = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     cells = spark.range(1).select(row(SHAPE[0]).alias("ix")).withColumn("iy", row(SHAPE[1]))
     free = cells.filter((F.col("ix") * 7 + F.col("iy") * 3) % 11 > 1)
     out = kernels.adaptive_kernel(with_bandwidth(daily_mass(spark, sf_dir)), ("day",), "mass", "h", free, BANDWIDTHS)
-    return out.select("day", "ix", "iy", r("mass", 6, "mass"))
+    cell = lambda c: F.coalesce(c, F.lit(-1).cast("bigint")).alias(c)
+    return out.select("day", cell("ix"), cell("iy"), r("mass", 6, "mass"))
 
 
 @query(joined("particles", MASS + ", l AS (SELECT unnest(range(0, 6)) AS lag), p AS (SELECT a.day, lag, sum(a.n * b.n) AS p FROM g a JOIN l ON true JOIN g b ON b.day = a.day AND b.ix = a.ix + lag AND b.iy = a.iy GROUP BY ALL), q AS (SELECT a.day, lag, sum(a.n * b.n) AS q FROM g a JOIN l ON true JOIN g b ON b.day = a.day AND b.ix = a.ix AND b.iy = a.iy + lag GROUP BY ALL), z AS (SELECT day, sum(n * n) AS z FROM g GROUP BY day) SELECT day, lag, round((coalesce(p, 0) / z + coalesce(q, 0) / z) / 2, 8) AS ac FROM p FULL JOIN q USING (day, lag) JOIN z USING (day)"))
