@@ -74,11 +74,11 @@ SELECT doc_id, any_value(n_shingles) AS n_shingles, min(pos) AS component_id, do
 
 NEAR_VECTORS = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c <> 0)) > 0),
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 near AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98e0),
 reached AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, n.w FROM reached r JOIN near n ON r.w = n.u),
 c AS (SELECT u, min(w) AS component_id FROM reached GROUP BY u),
 n AS (SELECT u, count(*) AS n_links FROM near GROUP BY u)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id"""
 
-ORACLE = {"op1_substrings": REPEATS, "op5_mixing": MIX, "op6_quality_rules": RULES, "op8_near_duplicates": NEAR}
+ORACLE = {"op1_substrings": REPEATS, "op5_mixing": MIX, "op6_quality_rules": RULES, "op8_near_duplicates": NEAR, "op11_near_vectors": NEAR_VECTORS}
