@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,11 +18,15 @@ from plume.llm.hashing import hashes, mixed, sequences
 SKETCH = 48
 #: Sets of up to so many shingles are retained whole.
 WHOLE = 60
-#: A longer inverted list gives no pairs.
+#: A longer inverted list of small sets gives no pairs; one of sketches none where marks give more pairs than such a list can.
 LONG_LIST = 48
+#: Bits of a set's marks.
+MARKS = 256
 #: Shingles and, about, classes of a block of such a list.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 4000
+#: Rows of lists that a worker compares at once, or one list's.
+PAIR_ROWS = 10_000
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -53,6 +57,28 @@ def sketch_size(n: int, percent: int) -> int:
     return min(n - (percent * n + 99) // 100 + 1, SKETCH)
 
 
+def set_marks(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of ``MARKS`` parts of the shingles' hash, of the least shingle there; none for an empty part."""
+    part, first = np.unique(shingles & np.uint64(MARKS - 1), return_index=True)
+    bits = np.zeros(MARKS, dtype=np.uint8)
+    bits[part.astype(np.intp)] = (shingles[first] >> np.uint64(8)) & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
+def most_apart(parts: int, share: float) -> int:
+    """Bits in which the marks of a linked pair differ at most, but for a chance of 2e-9 (Chernoff's bound).
+
+    In each of the ``parts`` that hold a shingle of either, the least one is
+    common with a chance of ``share``, or else the bits differ every other time.
+    """
+    q = (1 - share) / 2
+    for x in range(math.ceil(q * parts), parts):
+        p = (x + 1) / parts
+        if q == 0 or parts * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)) > 20:
+            return x
+    return parts
+
+
 def least_hits(k: int, share: float) -> int:
     """Shared values among the first k of the union that a linked pair has, but for six deviations."""
     return max(1, math.floor(k * share - 6 * math.sqrt(k * share * (1 - share))))
@@ -72,18 +98,19 @@ def least_retained(percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, keys, n_shingles, class and sketch of every row; the smallest values of one hash, or all of a small set."""
+    """doc_id, keys, n_shingles, class, sketch and marks of every row; the smallest values of one hash, or all of a small set."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
             out = []
             for text in frame["text"]:
                 s = shingle_set(text, n)
-                out.append((len(s), class_key(s) if len(s) else None, s[: len(s) if len(s) <= WHOLE else sketch_size(len(s), percent)].view(np.int64) if len(s) else None))
-            size, key, sketch = zip(*out)
-            yield frame.drop(columns="text").assign(n_shingles=np.array(size, dtype=np.int64), sketch=list(sketch), **{"class": pd.array(key, dtype="Int64")})
+                kept = s[: len(s) if len(s) <= WHOLE else sketch_size(len(s), percent)].view(np.int64)
+                out.append((len(s), class_key(s), kept, set_marks(s)) if len(s) else (0, None, None, None))
+            size, key, sketch, marks = zip(*out)
+            yield frame.drop(columns="text").assign(n_shingles=np.array(size, dtype=np.int64), sketch=list(sketch), marks=list(marks), **{"class": pd.array(key, dtype="Int64")})
 
-    return whole_ids(for_python(with_keys(docs), *KEYS).mapInPandas(read, "doc_id string, id_key long, text_key long, n_shingles long, class long, sketch array<long>"))
+    return whole_ids(for_python(with_keys(docs), *KEYS).mapInPandas(read, "doc_id string, id_key long, text_key long, n_shingles long, class long, sketch array<long>, marks array<long>"))
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -150,10 +177,85 @@ def group_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], per
     return edges
 
 
-def pair_hits(low: Column, high: Column) -> Column:
-    """Of the places (sums of places in both sketches) of shared values: those among the first k of the union."""
-    ranks = F.transform(F.sort_array(low), lambda s, i: s - i)
-    return F.size(F.filter(ranks, lambda r: r < high))
+def shared_hits(a: Column, b: Column) -> Column:
+    """Values that two sketches share among the first k of their union, k as many as the smaller has."""
+    unsigned = [F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))) for x in (a, b)]
+    last = F.element_at(F.array_sort(F.array_union(*unsigned)), F.least(F.size(a), F.size(b)))
+    return F.size(F.filter(F.array_intersect(*unsigned), lambda v: v <= last))
+
+
+def marked_pairs(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For rows sorted by value, low and high: pairs of classes of a list (or across two of its blocks) whose sizes and marks allow a link.
+
+    A list gives as many as one of ``LONG_LIST`` classes can for each of its
+    classes; where there are more, it gives one row, crowded.
+    """
+    limits = np.array([most_apart(k, percent / 100) for k in range(MARKS + 1)])
+    words = [f"marks{k}" for k in range(MARKS // 64)]
+
+    def near(m: np.ndarray, marks: list[np.ndarray], i, j) -> np.ndarray:
+        low, high = np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+        apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in marks)
+        return (100 * low >= percent * high) & (apart <= limits[np.minimum(100 * low // percent, MARKS)])
+
+    def pairs(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        keys, value, m = frame["class"].to_numpy(), frame["value"].to_numpy(), frame["m"].to_numpy()
+        marks = [frame[w].to_numpy().view(np.uint64) for w in words]
+        sizes = np.diff(starts)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        short = sizes <= LONG_LIST
+        out = []
+        at = np.flatnonzero(short[of])
+        for step in range(1, int(sizes[short].max()) if short.any() else 0):
+            at = at[at + step < len(of)]
+            at = at[of[at] == of[at + step]]
+            found = at[near(m, marks, at, at + step)]
+            out.append((value[found], keys[found], keys[found + step]))
+        crowded = []
+        for k in np.flatnonzero(~short):
+            own = frame["own"].to_numpy()[starts[k] : starts[k + 1]]
+            first, second = (starts[k] + side for side in two_sides(own))
+            one, most, held = own.min() == own.max(), LONG_LIST // 2 * sizes[k], 0
+            part, strip = [], max(1, 1_000_000 // len(second))
+            for x in range(0, len(first), strip):
+                i, j = np.nonzero(near(m, marks, first[x : x + strip, None], second[None]))
+                i, j = first[x + i], second[j]
+                i, j = (i[i < j], j[i < j]) if one else (i, j)
+                part.append((value[i], keys[i], keys[j]))
+                held += len(i)
+                if held > most:
+                    part = []
+                    crowded.append(value[starts[k]])
+                    break
+            out += part
+        value, a, b = (np.concatenate(x) for x in zip(*out)) if out else np.zeros((3, 0), dtype=np.int64)
+        crowded = np.array(crowded, dtype=np.int64)
+        none = np.zeros(len(crowded), dtype=np.int64)
+        return pd.DataFrame({"value": np.append(value, crowded), "a": np.append(np.minimum(a, b), none), "b": np.append(np.maximum(a, b), none), "crowded": np.arange(len(value) + len(crowded)) >= len(value)})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= PAIR_ROWS:
+                held = [pd.concat(held, ignore_index=True)]
+                starts = list_starts(held[0])
+                if len(starts) > 2:  # the last list may go on
+                    yield pairs(held[0].iloc[: starts[-2]], starts[:-1])
+                    held = [held[0].iloc[starts[-2] :]]
+                n = len(held[0])
+        if n:
+            whole = pd.concat(held, ignore_index=True)
+            yield pairs(whole, list_starts(whole))
+
+    return read
+
+
+def list_starts(frame: pd.DataFrame) -> np.ndarray:
+    """Places where value, low or high change, and the end."""
+    keys = frame[["value", "low", "high"]].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
 
 
 def list_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -186,9 +288,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     share = percent / 100
     rows = stored(sketches(docs, n, percent), "sketches")
     one = F.min(F.struct(*KEYS)).alias("rep")
-    kinds = rows.filter("class is not null").groupBy("class").agg(one, F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"))
+    kinds = rows.filter("class is not null").groupBy("class").agg(one, F.first("n_shingles").cast("int").alias("m"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"))
     kinds = stored(kinds, "classes")
-    sketched, rows = rows, stored(rows.drop("sketch"), "classes-of-rows")
+    sketched, rows = rows, stored(rows.drop("sketch", "marks"), "classes-of-rows")
     discard(sketched)
     # a set so small that only an equal one is similar has no links with other classes
     open_ = kinds.filter(F.floor(100 * F.col("m") / percent) > F.col("m"))
@@ -199,31 +301,43 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     # inverted lists of retained values
     large = open_.filter(F.col("m") > WHOLE * share).withColumn("sketch", F.slice("sketch", F.lit(1), least_retained(percent)))
-    entries = large.select("class", "m", F.size("sketch").alias("k"), F.posexplode("sketch").alias("at", "value"))
-    lists = entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("value", "of")
+    entries = large.select("class", "m", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    lists = stored(entries.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("value", "of"), "counts")
     entries = stored(entries.join(lists, F.col("value") == F.col("of")).drop("of"), "lists")
+    discard(lists)
+
+    # linked classes share at least so many values, so of those of any list their first
+    # l - least + 1 in one order (rare ones first) have one in common
+    ranked = entries.groupBy("class").agg(F.first("m").alias("m"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    ranked = ranked.withColumn("prefix", F.size("values") - least_shared(percent) + 1).filter("prefix > 0")
+    listed = ranked.select("class", "m", F.slice("values", F.lit(1), F.col("prefix")).alias("values"))
+    listed = listed.join(large.select(F.col("class").alias("of"), *[F.col("marks")[k].alias(f"marks{k}") for k in range(MARKS // 64)]), F.col("class") == F.col("of"))
+    listed = stored(listed.drop("of"), "prefixes")
+    discard(entries)
+    inverted = listed.select(F.explode("values").alias("v"), *[c for c in listed.columns if c != "values"]).select("v.*", *[c for c in listed.columns if c != "values"])
+
+    # their pairs, by marks; long lists block against block
+    many = inverted.filter(F.col("n") > BLOCK_CLASSES).groupBy(F.col("value").alias("of")).agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
+    parted = inverted.filter(F.col("n") > BLOCK_CLASSES).join(many, F.col("value") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    whole = inverted.filter(F.col("n") <= BLOCK_CLASSES).select("*", *[F.lit(0).alias(c) for c in ("own", "low", "high")])
+    blocks = whole.union(parted.select(whole.columns)).drop("n").repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+    found = stored(blocks.mapInPandas(marked_pairs(percent), "value long, a long, b long, crowded boolean"), "found")
+
+    # overlaps of sketches, among the first of the union
+    pairs = found.filter("not crowded").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(large.select(F.col("class").alias(f"of_{side}"), F.col("sketch").alias(f"sketch_{side}")), F.col(side) == F.col(f"of_{side}"))
+    limits = F.array(*[F.lit(least_hits(k, share)) for k in range(1, SKETCH + 1)])
+    least = F.element_at(limits, F.least(F.size("sketch_a"), F.size("sketch_b")))
+    pairs = pairs.filter(shared_hits(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
+    pairs = stored(pairs.union(rare_pairs).distinct(), "pairs")
 
-    # pairs that share values in long lists alone share at least so many of them, so their first
-    # long - least + 1 values in one order (rare ones first) have one in common
-    long = entries.filter(F.col("n") > LONG_LIST)
-    crowded = long.groupBy("class").agg(F.first("m").alias("m"), F.first("k").alias("k"), F.count("*").cast("int").alias("long"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
-    crowded = stored(crowded.withColumn("prefix", F.col("long") - least_shared(percent) + 1), "crowded")
-    searched = crowded.filter("prefix > 0").select("class", "m", F.explode(F.slice("values", F.lit(1), F.col("prefix"))["value"]).alias("value"))
+    # lists with too many pairs are compared on full sets
+    crowded = found.filter("crowded").select(F.col("value").alias("of")).distinct()
+    searched = inverted.select("class", "m", "value").join(crowded, F.col("value") == F.col("of")).drop("of")
     searched = stored(searched.union(rare.filter(F.col("n") > LONG_LIST).select("class", "m", "value")), "searched")
-
-    # overlaps of the other lists
-    pairs = list_pairs(entries.filter(F.col("n") <= LONG_LIST).drop("n"), percent).groupBy(F.col("p.a.class").alias("a"), F.col("p.b.class").alias("b"))
-    pairs = pairs.agg(F.first(F.least("p.a.k", "p.b.k")).alias("k"), F.collect_list(F.col("p.a.at") + F.col("p.b.at")).alias("places"))
-    pairs = pairs.withColumn("hits", pair_hits(F.col("places"), F.col("k"))).withColumn("shared", F.size("places")).drop("places")
-    limits = F.array(*[F.lit(least_hits(k, share)) for k in range(1, SKETCH + 1)])
-    sure = pairs.filter(F.col("hits") >= F.element_at(limits, F.col("k")))
-    # values in long lists may be shared, too, and bring others among the first of the union
-    maybe = pairs.filter(F.col("hits") < F.element_at(limits, F.col("k")))
-    missed = crowded.select(F.col("class"), "long")
-    maybe = maybe.join(missed.toDF("a", "long_a"), "a").join(missed.toDF("b", "long_b"), "b")
-    maybe = maybe.filter(F.col("shared") + F.least("long_a", "long_b") >= F.element_at(limits, F.col("k")))
-    pairs = stored(sure.select("a", "b").union(maybe.select("a", "b")).union(rare_pairs).distinct(), "pairs")
-    discard(entries, crowded, rare)
+    discard(listed, found, rare)
 
     # full sets of what is to be verified
     used = pairs.select("a").union(pairs.select("b")).union(searched.select("class")).distinct().toDF("class")
@@ -236,7 +350,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = stored(full.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     discard(pairs)
 
-    # long lists, block against block; lists of one least class have much in common and are one, if that is less to compare
+    # these lists, block against block; those of one least class have much in common and are one, if that is less to compare
     sizes = searched.groupBy("value").agg(F.min("class").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     listed = stored(searched.join(sizes.withColumnRenamed("value", "of"), F.col("value") == F.col("of")).select("leader", "value", "class", "m", "n"), "listed")
     apart = listed.groupBy("leader").agg(F.sum("n").alias("apart"))
@@ -276,18 +390,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable over links; kept marks it.
 
     Documents of equal sets are one class, and one of them stands for it. A
-    sketch keeps the smallest values of one hash. Inverted lists of these
-    values give pairs and their overlaps; pairs with too few shared values
-    among the smallest of their sketches' union are dropped, with a margin
-    of six standard deviations; the rest are verified on full sets. Sets of
-    up to ``WHOLE`` shingles are retained whole and meet in the lists of
-    their rarest values, without a margin.
-
-    A list of over ``LONG_LIST`` classes gives no pairs by itself. Linked classes that share
-    values in long lists alone share at least t of them, with the same
-    margin, so each class with l >= t values there is searched by its first
-    l - t + 1 in one order: two such classes have one of these in common. In
-    each list the searched classes are compared on their full sets, in
+    sketch keeps the smallest values of one hash. Linked classes share at
+    least t of them, with a margin of six standard deviations, so each class
+    with l >= t values that others have, too, is in the inverted lists of its
+    first l - t + 1 in one order, rare ones first: two linked classes have
+    one of these in common. Pairs of a list are left whose marks (a bit for
+    each part of the hash, of the least value there) differ in no more bits
+    than those of linked classes; of these, pairs with too few shared values
+    among the smallest of their sketches' union are dropped, and the rest
+    verified on full sets. Sets of up to ``WHOLE`` shingles are retained
+    whole and meet in the lists of their rarest values, without a margin.
+
+    Lists of over ``BLOCK_CLASSES`` classes are compared by marks in blocks. Where a list
+    of over ``LONG_LIST`` has more pairs left than such a short one for each
+    class, or is one of small sets, its classes are compared on their full sets, in
     blocks of bounded shingles and classes, which gives no more than one
     edge per class and block. Lists that share their least class are one
     list, so that a set travels once for all of them, unless their union has

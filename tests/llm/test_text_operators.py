@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from fixture import documents, empty, texts
 from oracle import SF, assert_same
@@ -213,6 +214,51 @@ def test_lists_of_a_template_are_dealt_by_number(spark):
     assert all(r.component_id == r.doc_id for r in got) and seen.value > 1
 
 
+def test_long_lists_of_unlike_texts_move_no_sets(spark):
+    """Many texts share values, but too few for a link: no full set is compared in blocks, and near copies are still found."""
+    random = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        own = [f"t{i}x{k} u{i}x{k}" for k in range(10)] + [f"c{k} d{k}" for k in random.choice(160, 100, replace=False)]
+        random.shuffle(own)
+        rows.append((i, " ".join(own), "s"))
+    rows += [(600 + i, rows[i][1].replace(f"t{i}x3 ", "y "), "s") for i in range(5)]
+    seen = spark.sparkContext.accumulator(0)
+    most = near_duplicates.group_links
+
+    def watched(*of):
+        seen.add(1)
+        return most(*of)
+
+    near_duplicates.group_links = watched
+    try:
+        got = near_duplicates.near_duplicates(documents(spark, rows), n=2).collect()
+    finally:
+        near_duplicates.group_links = most
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 600 if i < 605 else i for i in range(605)} == brute_components(rows, 2)
+    assert seen.value == 0
+
+
+def test_marks_of_linked_sets_differ_little():
+    random = np.random.default_rng(6)
+    fresh = lambda n: np.unique(random.integers(0, 1 << 64, n, dtype=np.uint64))
+    for m in (49, 80, 300, 3000):
+        limit = near_duplicates.most_apart(min(m * 100 // 80, near_duplicates.MARKS), 0.8)
+        columns = {"value": 1, "low": 0, "high": 0, "own": 0, "m": m}
+        for _ in range(100):
+            union = fresh(m * 10 // 8)
+            part = np.sort(random.permutation(union)[: -(-8 * len(union) // 10)])
+            marks = [near_duplicates.set_marks(x) for x in (union, part, fresh(m))]
+            apart = [np.unpackbits((marks[0] ^ x).view(np.uint8)).sum() for x in marks[1:]]
+            assert apart[0] <= limit < near_duplicates.MARKS // 2
+            assert m < 300 or apart[1] > limit
+            frame = pd.DataFrame({**columns, "class": [1, 2, 3], **{f"marks{k}": [x[k] for x in marks] for k in range(4)}})
+            (got,) = near_duplicates.marked_pairs(80)(iter([frame]))
+            pairs = set(zip(got["a"], got["b"]))
+            assert (1, 2) in pairs and (m < 300 or pairs == {(1, 2)}) and not got["crowded"].any()
+    assert near_duplicates.most_apart(256, 1.0) == 0
+
+
 def test_short_near_copies_meet_one_of_their_list(spark):
     """Nothing is left for the blocks once all are linked with one class of the list."""
     common = " ".join(f"c{k}" for k in range(9))
