@@ -24,8 +24,13 @@ REMEMBERED_WORDS = 400_000
 
 #: Parts of printable ASCII and Latin letters, which no normal form changes.
 PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
+#: Texts of such parts between spaces and line ends.
+PLAIN_TEXT = re.compile(r"[!-~\u00a1-\u024f \n]*")
 #: The pieces that this tokenizer's file asks for, fixed value.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same in plain texts in lower case, of which a few letters are beyond U+024F: letters, numbers and other signs by name.
+LETTERS, NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u2c65\u2c66", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PLAIN_PIECES = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -39,7 +44,9 @@ class PartIds:
 
     A piece's merges depend on their ranks alone, so plain parts are merged
     by ``tiktoken`` under the same ranks (a NUL stands for the end of a
-    word), all new pieces at once; other parts go to ``tokenizers``.
+    word), all new pieces at once; other parts go to ``tokenizers``. A plain
+    text is cut into pieces at once, so that only these are remembered, each
+    without its capitals and the signs beside it.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,16 +65,17 @@ class PartIds:
         self.parts: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
+    def learn_pieces(self, new: list[str]) -> None:
+        if new:
+            ids = np.array(self.merger.encode_ordinary("\0".join(new) + "\0"), dtype="<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            flat = ids.tobytes()
+            self.pieces.update(zip(new, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
     def learn(self, parts: list[str]) -> None:
         plain = [p for p in parts if PLAIN.fullmatch(p) and "<|" not in p]
-        cut = {p: [low] if (low := p.lower()).isalpha() else PIECES.findall(low) for p in plain}
-        if new := list({x for found in cut.values() for x in found if x not in self.pieces}):
-            ids = np.array(self.merger.encode_ordinary("\0".join(new) + "\0"), dtype="<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            flat, at = ids.tobytes(), 0
-            for piece, end in zip(new, ends, strict=True):
-                self.pieces[piece] = flat[4 * at : 4 * end]
-                at = end
+        cut = {p: PIECES.findall(p.lower()) for p in plain}
+        self.learn_pieces(list({x for found in cut.values() for x in found if x not in self.pieces}))
         for part, found in cut.items():
             self.parts[part] = b"".join([self.pieces[x] for x in found])
         if odd := [p for p in parts if p not in cut]:
@@ -75,13 +83,14 @@ class PartIds:
                 self.parts[part] = np.array(code.ids, dtype="<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.parts):
-            if len(self.parts) > REMEMBERED_WORDS:
-                self.parts, self.pieces = {"": b""}, {}
-                new = set().union(*split) - {""}
+        if len(self.parts) + len(self.pieces) > REMEMBERED_WORDS:
+            self.parts, self.pieces = {"": b""}, {}
+        plain = [PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t for t in texts]
+        split = [PLAIN_PIECES.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
+        self.learn_pieces(list(set().union(*[x for x, p in zip(split, plain) if p]).difference(self.pieces)))
+        if new := set().union(*[x for x, p in zip(split, plain) if not p]).difference(self.parts):
             self.learn(list(new))
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
+        return [b"".join(map((self.pieces if p else self.parts).__getitem__, x)) for x, p in zip(split, plain)]
 
 
 def byte_letters() -> list[str]:

@@ -567,6 +567,24 @@ def test_sum_of_squares_against_the_rule():
         assert offsets.tolist() == slow_sum_of_squares(lengths.tolist(), 30)
 
 
+def test_plain_texts_are_cut_into_the_same_pieces():
+    """A plain text is cut at once, as its parts are, and none of its parts is kept."""
+    signs = [chr(c) for c in (*range(33, 127), *range(0xA1, 0x250))]
+    random = np.random.default_rng(8)
+    texts = ["".join(random.choice([*signs, *[" ", "\n", "'s", " 'LL", "'re", "..."] * 20], 60)) for _ in range(5000)]
+    texts = [t.replace("<|", "< |") for t in ["", " \n", *signs, *["a" + c + "b" for c in signs], *texts]]
+    for t in texts:
+        assert packing.PLAIN_TEXT.fullmatch(t)
+        assert packing.PLAIN_PIECES.findall(t.lower()) == [x for part in t.replace("\n", " ").split(" ") for x in packing.PIECES.findall(part.lower())]
+    ids = packing.PartIds(packing.default_tokenizer())
+    mixed = [*texts[:3000], "<|ENDOFTEXT|> <|endoftext|> It's", "\u03a3\u03a3 it's\tso", "a\u00a0b\r\n\u1e9e"]
+    whole = [np.array(code.ids, dtype="<u4").tobytes() for code in ids.tokenizer.encode_batch(mixed, add_special_tokens=False)]
+    assert ids.of(mixed) == whole
+    kept = packing.PartIds(packing.default_tokenizer())
+    kept.of(["Word, word. WORD!"])
+    assert set(kept.pieces) == {"word", ",", ".", "!"} and set(kept.parts) == {""}
+
+
 def test_packing_in_several_chunks(spark, monkeypatch):
     monkeypatch.setattr(packing, "CHUNK_PIECES", 100)
     rows = [(i, words_of(i), "s") for i in range(450)]
