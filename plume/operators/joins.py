@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from plume.sources.stores import dropped, kept
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join whose sides are both dealt by the key, never sent whole through the driver.
+
+    The planner knows the bytes of compressed files, and nothing of the rows
+    that an explode makes of one: by its estimate a table of millions of rows
+    can be small enough to broadcast.
+    """
+    return df.hint("merge")
+
+
 def asof_bracket(left: DataFrame, right: DataFrame, time: str, values: list[str], slots: int = 3600) -> DataFrame:
     """``left`` with the last row of ``right`` at or before its time and the first at or after it.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plume.operators.joins import shuffled
+
 
 def lattice_mesh(lattice: DataFrame, columns: int = 50) -> tuple[DataFrame, DataFrame]:
     """Nodes and two triangles for each square of a lattice (ix, iy, depth) whose four corners exist."""
@@ -13,7 +15,7 @@ def lattice_mesh(lattice: DataFrame, columns: int = 50) -> tuple[DataFrame, Data
     at = lambda dx, dy: lattice.select((F.col("ix") - dx).alias("ix"), (F.col("iy") - dy).alias("iy"))
     squares = lattice.select("ix", "iy").filter(F.col("ix") < columns - 1)
     for dx, dy in ((1, 0), (0, 1), (1, 1)):
-        squares = squares.join(at(dx, dy), ["ix", "iy"], "left_semi")
+        squares = squares.join(shuffled(at(dx, dy)), ["ix", "iy"], "left_semi")
     lower = F.struct((node(0, 0) * 2).alias("cell"), node(0, 0).alias("a"), node(1, 0).alias("b"), node(1, 1).alias("c"))
     upper = F.struct((node(0, 0) * 2 + 1).alias("cell"), node(0, 0).alias("a"), node(1, 1).alias("b"), node(0, 1).alias("c"))
     return nodes, squares.select(F.explode(F.array(lower, upper)).alias("t")).select("t.*")
@@ -52,7 +54,7 @@ def node_gradient(nodes: DataFrame, cells: DataFrame) -> DataFrame:
 
 def corners(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """cell with the coordinates and values of its corners, by one explode, join and regrouping."""
-    c = cells.select("cell", F.posexplode(F.array("a", "b", "c")).alias("k", "node")).join(nodes, "node")
+    c = cells.select("cell", F.posexplode(F.array("a", "b", "c")).alias("k", "node")).join(shuffled(nodes), "node")
     pick = lambda col, k: F.max(F.when(F.col("k") == k, F.col(col))).alias(f"{col}{k}")
     return c.groupBy("cell").agg(*[pick(col, k) for col in ("x", "y", "value") for k in range(3)])
 
