@@ -88,7 +88,7 @@ def centres(cells: DataFrame, nodes: DataFrame) -> DataFrame:
 def cell_gradient(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """cell, gx, gy: least-squares plane through the means of the cells that share an edge; null with one such cell."""
     c = centres(cells, nodes).select("cell", "cx", "cy", "mean")
-    n = cell_neighbours(cells).join(c, "cell").join(c.toDF("other", "ox", "oy", "om"), "other")
+    n = cell_neighbours(cells).join(shuffled(c), "cell").join(shuffled(c.toDF("other", "ox", "oy", "om")), "other")
     dx, dy, dv = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy"), F.col("om") - F.col("mean")
     s = n.groupBy("cell").agg(*[F.sum(e).alias(a) for a, e in (("xx", dx * dx), ("xy", dx * dy), ("yy", dy * dy), ("xv", dx * dv), ("yv", dy * dv))])
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
