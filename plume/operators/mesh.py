@@ -109,22 +109,22 @@ def vorticity(cells: DataFrame, nodes: DataFrame, flow: DataFrame) -> DataFrame:
     and each wall lies between two nodes, with opposite signs. Nodes of the
     boundary take the mean of their inner neighbours, or, without any, of the neighbours that have one.
     """
-    c = centres(cells, nodes).join(flow, "cell").join(cells, "cell")
+    c = centres(cells, nodes).join(shuffled(flow), "cell").join(shuffled(cells), "cell")
     wall = lambda p, q: F.struct(F.col("abc"[p]).alias("p"), F.col("abc"[q]).alias("q"), (F.col("cx") - (F.col(f"x{p}") + F.col(f"x{q}")) / 2).alias("dx"), (F.col("cy") - (F.col(f"y{p}") + F.col(f"y{q}")) / 2).alias("dy"))
     w = c.select("u", "v", "area", F.explode(F.array(wall(0, 1), wall(1, 2), wall(2, 0))).alias("w"))
     along = F.col("u") * F.col("w.dx") + F.col("v") * F.col("w.dy")
     # each node is p of one wall in each of its cells
     told = F.explode(F.array(F.struct(F.col("w.p").alias("node"), along.alias("c"), (F.col("area") / 3).alias("a")), F.struct(F.col("w.q").alias("node"), (-along).alias("c"), F.lit(0.0).alias("a"))))
-    inner = w.select(told.alias("t")).groupBy("t.node").agg((F.sum("t.c") / F.sum("t.a")).alias("vorticity")).join(boundary_nodes(cells), "node", "left_anti")
+    inner = w.select(told.alias("t")).groupBy("t.node").agg((F.sum("t.c") / F.sum("t.a")).alias("vorticity")).join(shuffled(boundary_nodes(cells)), "node", "left_anti")
     outer, pairs = boundary_nodes(cells).select("node"), links(cells)
 
     def mean_of(known: DataFrame, wanted: DataFrame) -> DataFrame:
-        near = wanted.join(pairs, "node").join(known.select(F.col("node").alias("other"), "vorticity"), "other")
+        near = wanted.join(shuffled(pairs), "node").join(shuffled(known.select(F.col("node").alias("other"), "vorticity")), "other")
         return near.groupBy("node").agg(F.avg("vorticity").alias("vorticity"))
 
     first = mean_of(inner, outer)
     known = inner.unionByName(first)
-    return known.unionByName(mean_of(known, outer.join(first, "node", "left_anti")))
+    return known.unionByName(mean_of(known, outer.join(shuffled(first), "node", "left_anti")))
 
 
 def containing_cell(points: DataFrame, cells: DataFrame, nodes: DataFrame, key: str, size: float = 1.0) -> DataFrame:
