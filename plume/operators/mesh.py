@@ -137,7 +137,7 @@ def containing_cell(points: DataFrame, cells: DataFrame, nodes: DataFrame, key:
     bucket = lambda v: F.floor(v / size)
     ends = lambda a: F.sequence(bucket(F.least(*[f"{a}{k}" for k in range(3)])), bucket(F.greatest(*[f"{a}{k}" for k in range(3)])))
     c = c.withColumn("bx", F.explode(ends("x"))).withColumn("by", F.explode(ends("y")))
-    met = points.withColumns({"bx": bucket(F.col("px")), "by": bucket(F.col("py"))}).join(c, ["bx", "by"])
+    met = points.withColumns({"bx": bucket(F.col("px")), "by": bucket(F.col("py"))}).join(shuffled(c), ["bx", "by"])
     part = lambda i, j: ((F.col(f"x{i}") - F.col("px")) * (F.col(f"y{j}") - F.col("py")) - (F.col(f"x{j}") - F.col("px")) * (F.col(f"y{i}") - F.col("py"))) / (2 * F.col("area"))
     met = met.withColumns({"w0": part(1, 2), "w1": part(2, 0), "w2": part(0, 1)}).filter("least(w0, w1, w2) >= -1e-12")
     row = F.struct("cell", *[f"{a}{k}" for a in ("w", "value") for k in range(3)])
