@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plume.operators.joins import shuffled
 from plume.operators.mesh import edges
 from plume.sources.stores import dropped, kept
 
@@ -19,7 +20,7 @@ def to_roots(tree: DataFrame) -> DataFrame:
     now = kept(tree.withColumn("done", F.col("node") == F.col("parent")), "tree")
     while now.filter("not done").limit(1).count():
         above = now.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("p").alias("q"), F.col("done").alias("there"))
-        stepped = now.filter("not done").join(above, "parent").select("node", F.col("next").alias("parent"), (F.col("p") + F.col("q")).alias("p"), F.col("there").alias("done"))
+        stepped = now.filter("not done").join(shuffled(above), "parent").select("node", F.col("next").alias("parent"), (F.col("p") + F.col("q")).alias("p"), F.col("there").alias("done"))
         step = kept(now.filter("done").unionByName(stepped), "tree")
         dropped(now)
         now = step
@@ -45,7 +46,7 @@ def potentials(steps: DataFrame) -> DataFrame:
     known = kept(to_roots(tree), "potentials")
     while True:
         of = lambda end, k: known.select(F.col("node").alias(end), F.col("root").alias(f"root_{k}"), F.col("p").alias(f"p_{k}"))
-        across = steps.join(of("u", 0), "u").join(of("v", 1), "v").filter("root_0 <> root_1")
+        across = steps.join(shuffled(of("u", 0)), "u").join(shuffled(of("v", 1)), "v").filter("root_0 <> root_1")
         gap = F.col("p_0") + F.col("d") - F.col("p_1")
         side = F.struct(F.greatest("root_0", "root_1").alias("node"), F.least("root_0", "root_1").alias("parent"), F.when(F.col("root_0") < F.col("root_1"), gap).otherwise(-gap).alias("p"))
         hooks = across.select("u", "v", side.alias("s")).groupBy("s.node").agg(F.min(F.struct("v", "u", "s.parent", "s.p")).alias("m"))
@@ -53,9 +54,9 @@ def potentials(steps: DataFrame) -> DataFrame:
         if not hooks.limit(1).count():
             dropped(hooks)
             return known
-        tops = hooks.select("parent").distinct().join(hooks.select(F.col("node").alias("parent")), "parent", "left_anti")
+        tops = hooks.select("parent").distinct().join(shuffled(hooks.select(F.col("node").alias("parent"))), "parent", "left_anti")
         roots = to_roots(hooks.unionByName(tops.select(F.col("parent").alias("node"), "parent", F.lit(0.0).alias("p"))))
-        moved = known.withColumnRenamed("p", "own").join(roots.select(F.col("node").alias("root"), F.col("root").alias("top"), "p"), "root", "left")
+        moved = known.withColumnRenamed("p", "own").join(shuffled(roots.select(F.col("node").alias("root"), F.col("root").alias("top"), "p")), "root", "left")
         step = kept(moved.select("node", F.coalesce("top", "root").alias("root"), (F.col("own") + F.coalesce("p", F.lit(0.0))).alias("p")), "potentials")
         dropped(known, hooks)
         known = step
@@ -64,9 +65,9 @@ def potentials(steps: DataFrame) -> DataFrame:
 def crossing_flow(nodes: DataFrame, cells: DataFrame, flow: DataFrame) -> DataFrame:
     """u, v, d: what flows across each edge (mean velocity of its cells, turned by its extent); ``flow`` has cell, vx, vy."""
     sides = F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
-    mean = cells.join(flow, "cell").select(F.explode(sides).alias("e"), "vx", "vy").groupBy("e.u", "e.v").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
+    mean = cells.join(shuffled(flow), "cell").select(F.explode(sides).alias("e"), "vx", "vy").groupBy("e.u", "e.v").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
     at = lambda end, k: nodes.select(F.col("node").alias(end), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    both = mean.join(at("u", 0), "u").join(at("v", 1), "v")
+    both = mean.join(shuffled(at("u", 0)), "u").join(shuffled(at("v", 1)), "v")
     return both.select("u", "v", (F.col("vx") * (F.col("y1") - F.col("y0")) - F.col("vy") * (F.col("x1") - F.col("x0"))).alias("d"))
 
 

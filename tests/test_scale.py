@@ -4,6 +4,7 @@ import pytest
 from oracle import SF
 
 from plume import jobs
+from plume.operators import potential
 
 
 def plan(df):
@@ -14,3 +15,13 @@ def plan(df):
 @pytest.mark.parametrize("name", ["cell_metrics", "poor_triangles", "weighted_deviation", "cell_gradient", "edge_vorticity", "element_in_cell", "mesh_section"])
 def test_meshes_are_not_sent_through_the_driver(spark, name):
     assert "Broadcast" not in plan(jobs.QUERIES[name](spark, SF))
+
+
+def test_rounds_of_trees_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, write = [], potential.kept
+    monkeypatch.setattr(potential, "kept", lambda df, label: plans.append(plan(df)) or write(df, label))
+    # two chains that meet at their upper ends, so that one root hooks on to the other
+    chains = [(k, k + 1, 1.0) for k in range(8)] + [(k, k + 1, 1.0) for k in range(20, 25)] + [(8, 25, 1.0)]
+    got = potential.potentials(spark.createDataFrame(chains, "u bigint, v bigint, d double")).collect()
+    assert {x.root for x in got} == {0} and {x.node: x.p for x in got}[20] == 4.0
+    assert plans and not [p for p in plans if "Broadcast" in p]
