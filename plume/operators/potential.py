@@ -81,7 +81,7 @@ def loop_residuals(nodes: DataFrame, cells: DataFrame, flow: DataFrame) -> DataF
     d = crossing_flow(nodes, cells, flow)
     side = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.when(F.col(p) < F.col(q), 1).otherwise(-1).alias("sign"))
     around = cells.select("cell", F.explode(F.array(side("a", "b"), side("b", "c"), side("c", "a"))).alias("e")).select("cell", "e.*")
-    return around.join(d, ["u", "v"]).groupBy("cell").agg(F.sum(F.col("sign") * F.col("d")).alias("residual"))
+    return around.join(shuffled(d), ["u", "v"]).groupBy("cell").agg(F.sum(F.col("sign") * F.col("d")).alias("residual"))
 
 
 def steepness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

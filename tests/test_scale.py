@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["cell_metrics", "poor_triangles", "weighted_deviation", "cell_gradient", "edge_vorticity", "element_in_cell", "mesh_section"])
+@pytest.mark.parametrize("name", ["cell_metrics", "poor_triangles", "weighted_deviation", "cell_gradient", "edge_vorticity", "element_in_cell", "mesh_section", "stream_residuals"])
 def test_meshes_are_not_sent_through_the_driver(spark, name):
     assert "Broadcast" not in plan(jobs.QUERIES[name](spark, SF))
 
