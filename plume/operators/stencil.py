@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plume.operators.joins import shuffled
+
 
 def offsets(radius: int) -> list[tuple[int, int]]:
     span = range(-radius, radius + 1)
@@ -40,14 +44,16 @@ def conserving_kernel(grid: DataFrame, value: str, allowed: DataFrame, radius: i
     """Spreads each cell by a Gaussian over the allowed cells around it, without loss of mass.
 
     The bandwidth is half the radius; the kernel of a cell is scaled so that
-    its shares over ``allowed`` (ix, iy) sum to one.
+    its shares over ``allowed`` (ix, iy) sum to one. As the kernel is
+    symmetric, that sum is what the allowed cells send to it; so only cells,
+    never their contributions, are joined.
     """
     h = radius / 2
-    shares = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.exp(F.lit(-(dx * dx + dy * dy) / (2 * h * h))).alias("w")) for dx, dy in offsets(radius)])
-    sent = grid.select(F.col("ix").alias("cx"), F.col("iy").alias("cy"), value, F.explode(shares).alias("s"))
-    sent = sent.withColumns({"ix": F.col("cx") + F.col("s.dx"), "iy": F.col("cy") + F.col("s.dy"), "w": F.col("s.w")}).drop("s").join(allowed, ["ix", "iy"], "left_semi")
-    total = sent.groupBy("cx", "cy").agg(F.sum("w").alias("all"))
-    return sent.join(total, ["cx", "cy"]).groupBy("ix", "iy").agg(F.sum(F.col(value) * F.col("w") / F.col("all")).alias(value))
+    kernel = {(dx, dy): math.exp(-(dx * dx + dy * dy) / (2 * h * h)) for dx, dy in offsets(radius)}
+    open_cells = allowed.select("ix", "iy").distinct()
+    total = spread(open_cells.withColumn("all", F.lit(1.0)), "all", kernel)
+    scaled = grid.select("ix", "iy", value).join(shuffled(total), ["ix", "iy"]).select("ix", "iy", (F.col(value) / F.col("all")).alias(value))
+    return spread(scaled, value, kernel).join(shuffled(open_cells), ["ix", "iy"], "left_semi")
 
 
 def contour_edges(grid: DataFrame, inside: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 
 from plume import jobs
-from plume.operators import potential
+from plume.operators import potential, stencil
 
 
 def plan(df):
@@ -25,3 +26,12 @@ def test_rounds_of_trees_are_not_sent_through_the_driver(spark, monkeypatch):
     got = potential.potentials(spark.createDataFrame(chains, "u bigint, v bigint, d double")).collect()
     assert {x.root for x in got} == {0} and {x.node: x.p for x in got}[20] == 4.0
     assert plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_kernel_joins_cells_and_not_their_shares(spark):
+    grid = spark.range(40).select((F.col("id") % 8).alias("ix"), F.floor(F.col("id") / 8).alias("iy"), (F.col("id") + 1.0).alias("v"))
+    allowed = grid.filter("(ix + iy) % 3 = 0").select("ix", "iy")
+    got = stencil.conserving_kernel(grid, "v", allowed)
+    assert got.agg(F.sum("v")).first()[0] == pytest.approx(820.0) and got.join(allowed, ["ix", "iy"], "left_anti").count() == 0
+    joins_, explodes = (lambda p: p.count("Join [")), (lambda p: p.count("Generate explode"))
+    assert "Broadcast" not in (p := plan(got)) and joins_(p) == 2 and explodes(p) == 2
