@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plume.operators import vertical
+from plume.operators.joins import shuffled
+from plume.sources.stores import kept
 
 NEWTON_STEPS = 8
 
+#: Columns of water that are sent to every executor, at most.
+FEW_COLUMNS = 16_384
+
 
 def quads(grid: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
     """ix, iy, x0..x3, y0..y3 and corners' ``values`` of each cell of ``grid`` (ix, iy, x, y) whose four corners exist, counter-clockwise.
@@ -103,13 +108,20 @@ def four_way(points: DataFrame, columns: DataFrame, key: str, values: tuple[str,
     depth are bracketed there, as the same level lies at another depth in the
     next column; the results are weighted bilinearly and linearly in time.
     Columns that are missing (land, or no such time) leave their weight to the others.
+    The columns that any point asks for are written and counted first: if they
+    are few they go to the points, else both are dealt by their place.
     """
     fx, fy, ft = F.col("x") - F.floor("x"), F.col("y") - F.floor("y"), F.col("t") / period - F.floor(F.col("t") / period)
     corners = [(i, j, m) for i in (0, 1) for j in (0, 1) for m in (0, 1)]
     share = lambda f, k: f if k else 1 - f
     near = F.array(*[F.struct((F.floor("x") + i).alias("ix"), (F.floor("y") + j).alias("iy"), (F.floor(F.col("t") / period) + m).alias("slot"), (share(fx, i) * share(fy, j) * share(ft, m)).alias("w")) for i, j, m in corners])
     sent = points.select(key, "z", F.explode(near).alias("c")).select(key, "z", "c.*").filter("w > 0")
-    met = sent.join(columns, ["ix", "iy", "slot"])
+    place = ["ix", "iy", "slot"]
+    boxes = points.select(F.floor("x").alias("bx"), F.floor("y").alias("by"), F.floor(F.col("t") / period).alias("bt")).distinct()
+    ends = F.array(*[F.struct((F.col("bx") + i).alias("ix"), (F.col("by") + j).alias("iy"), (F.col("bt") + m).alias("slot")) for i, j, m in corners])
+    asked = kept(boxes.select(F.explode(ends).alias("e")).select("e.*").distinct(), "columns-asked")
+    dealt = F.broadcast if asked.count() <= FEW_COLUMNS else shuffled
+    met = sent.join(dealt(columns.join(dealt(asked), place, "left_semi")), place)
     level = [vertical.at_depth(F.col(v), F.col("depths"), F.col("z")).alias(v) for v in values]
     each = met.select(key, "w", *level)
     return each.groupBy(key).agg(*[(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in values])

@@ -5,7 +5,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from plume import jobs
-from plume.operators import potential, stencil
+from plume.operators import curvilinear, potential, stencil
 
 
 def plan(df):
@@ -35,3 +35,13 @@ def test_kernel_joins_cells_and_not_their_shares(spark):
     assert got.agg(F.sum("v")).first()[0] == pytest.approx(820.0) and got.join(allowed, ["ix", "iy"], "left_anti").count() == 0
     joins_, explodes = (lambda p: p.count("Join [")), (lambda p: p.count("Generate explode"))
     assert "Broadcast" not in (p := plan(got)) and joins_(p) == 2 and explodes(p) == 2
+
+
+def test_many_columns_of_water_are_not_sent_through_the_driver(spark, monkeypatch):
+    c = spark.range(60).select((F.col("id") % 6).alias("ix"), (F.floor("id") % 30 / 6).cast("bigint").alias("iy"), F.floor(F.col("id") / 30).alias("slot"))
+    c = c.withColumns({"depths": F.array(F.lit(0.0), F.lit(10.0)), "v": F.array((F.col("ix") + F.col("slot")).cast("double"), F.col("iy").cast("double"))})
+    p = spark.range(40).select("id", (F.col("id") % 5 + 0.25).alias("x"), (F.col("id") % 4 + 0.5).alias("y"), (F.col("id") % 12.0).alias("z"), (F.col("id") % 6.0).alias("t"))
+    few = {x.id: x.v for x in curvilinear.four_way(p, c, "id", ("v",), 6.0).collect()}
+    monkeypatch.setattr(curvilinear, "FEW_COLUMNS", 3)
+    got = curvilinear.four_way(p, c, "id", ("v",), 6.0)
+    assert "Broadcast" not in plan(got) and {x.id: x.v for x in got.collect()} == pytest.approx(few) and len(few) == 40
