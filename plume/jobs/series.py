@@ -112,18 +112,21 @@ def grid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many of a table's polygons each particle lies, and the mask outside of all.
 
-    Polygons are copied to the buckets that they touch, points meet those of
-    their bucket, and the ring decides.
+    Polygons are copied to the buckets that they touch, places meet those of
+    their bucket, and the ring decides. Equal polygons and equal places count
+    once each and meet once.
     """
     corner = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
     s = sites(spark, sf_dir).withColumn("ring", F.array(corner(0.0, 0.0), corner(0.3, 0.0), corner(0.3, 0.2), corner(0.0, 0.2)))
     bucket = lambda c, size: F.floor(c / size)
     span = lambda c, width, size: F.explode(F.sequence(bucket(F.col(c), size), bucket(F.col(c) + width, size)))
-    s = s.withColumn("bx", span("lon", 0.3, 0.5)).withColumn("by", span("lat", 0.2, 0.5)).select("ring", "bx", "by")
+    s = s.groupBy("lon", "lat", "ring").agg(F.count("*").alias("equal"))
+    s = s.withColumn("bx", span("lon", 0.3, 0.1)).withColumn("by", span("lat", 0.2, 0.1)).select("ring", "equal", "bx", "by", *[end(f"ring.{c}").alias(f"{n}_{c}") for c in "xy" for n, end in (("low", F.array_min), ("high", F.array_max))])
     p = particles(spark, sf_dir).select("event_id", "lon", "lat")
-    met = p.withColumns({"bx": bucket(F.col("lon"), 0.5), "by": bucket(F.col("lat"), 0.5)}).join(s, ["bx", "by"])
-    n = met.filter(geo.within_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("event_id").agg(F.count("*").alias("n"))
-    out = p.join(n, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("polygons"))
+    met = p.select("lon", "lat").distinct().withColumns({"bx": bucket(F.col("lon"), 0.1), "by": bucket(F.col("lat"), 0.1)}).join(joins.shuffled(s), ["bx", "by"])
+    met = met.filter(F.col("lon").between(F.col("low_x"), F.col("high_x")) & F.col("lat").between(F.col("low_y"), F.col("high_y")))
+    n = met.filter(geo.within_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("lon", "lat").agg(F.sum("equal").alias("n"))
+    out = p.join(n, ["lon", "lat"], "left").select("event_id", F.coalesce("n", F.lit(0)).alias("polygons"))
     return out.withColumn("sea", F.col("polygons") == 0)
 
 

@@ -1,5 +1,7 @@
 """Plans and results that matter where tables are large."""
 
+import re
+
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
@@ -45,3 +47,15 @@ def test_many_columns_of_water_are_not_sent_through_the_driver(spark, monkeypatc
     monkeypatch.setattr(curvilinear, "FEW_COLUMNS", 3)
     got = curvilinear.four_way(p, c, "id", ("v",), 6.0)
     assert "Broadcast" not in plan(got) and {x.id: x.v for x in got.collect()} == pytest.approx(few) and len(few) == 40
+
+
+def test_equal_places_and_polygons_count_once_each(spark, tmp_path):
+    # 59,500 ids on, a particle or site is at the same place again
+    for name, key in (("events", "event_id"), ("supplier", "s_suppkey")):
+        t = spark.read.parquet(f"{SF}/{name}.parquet")
+        t.unionByName(t.withColumn(key, F.col(key) + 59_500)).write.parquet(f"{tmp_path}/{name}.parquet")
+    mask = lambda d: jobs.QUERIES["polygon_mask"](spark, d)
+    once = {x.event_id: x.polygons for x in mask(SF).collect()}
+    twice = {x.event_id: x.polygons for x in mask(str(tmp_path)).collect()}
+    assert twice == {k + shift: 2 * n for k, n in once.items() for shift in (0, 59_500)}
+    assert re.search(r"HashAggregate\(keys=\[lon#\d+, lat#\d+\], functions=\[\]", plan(mask(SF)))
