@@ -270,7 +270,8 @@ def site_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(with_views("particles sites", NEAR_SITES + " SELECT event_id, site_id, round(d, 3) AS distance FROM s WHERE d <= 20000").replace(") ,", "),", 1))
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = site_pairs(spark, sf_dir)
-    return joins.radius_join(p, s, 20000.0).select("event_id", "site_id", F.round("distance", 3).alias("distance"))
+    near = joins.radius_join_by_place(p, s, "event_id", 20000.0).select("ids", "site_id", F.round("distance", 3).alias("distance"))
+    return near.select(F.explode("ids").alias("event_id"), "site_id", "distance")
 
 
 @query(with_views("particles sites", NEAR_SITES + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, site_id) AS rn FROM s) SELECT event_id, site_id, round(d, 3) AS distance FROM r WHERE rn = 1").replace(") ,", "),", 1))

@@ -98,6 +98,12 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str,
     the first. Right rows are copied to the 3 by 3 buckets around their own,
     which makes an equality join on the bucket; the distance then decides.
     """
+    l, r = bucketed(left, right, radius)  # noqa: E741
+    return l.join(r, [*on, "bx", "by"]).withColumn("distance", metres("lon", "lat", "lon2", "lat2")).filter(F.col("distance") <= radius).drop("bx", "by")
+
+
+def bucketed(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Both with the buckets bx, by of :func:`radius_join`, ``right`` copied to those around its own."""
     height = radius / DEGREE
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     band = lambda lat: F.floor(F.col(lat) / height)
@@ -106,8 +112,18 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str,
     place = lambda lon: F.least(F.floor(F.pmod(F.col(lon).cast("double"), F.lit(360.0)) / 360 * parts), parts - 1)
     around = lambda at: F.array_distinct(F.transform(near, lambda d: F.pmod(at + d, parts)))
     r = right.withColumn("by", F.explode(F.transform(near, lambda d: band("lat2") + d))).withColumn("bx", F.explode(around(place("lon2"))))
-    l = left.withColumn("by", band("lat")).withColumn("bx", place("lon"))  # noqa: E741
-    return l.join(r, [*on, "bx", "by"]).withColumn("distance", metres("lon", "lat", "lon2", "lat2")).filter(F.col("distance") <= radius).drop("bx", "by")
+    return left.withColumn("by", band("lat")).withColumn("bx", place("lon")), r
+
+
+def radius_join_by_place(left: DataFrame, right: DataFrame, key: str, radius: float, together: int = 1024) -> DataFrame:
+    """:func:`radius_join` with one row for up to ``together`` rows of ``left`` at an equal place, their ``key`` in the array ids.
+
+    To be exploded last: the pairs of a group then follow one another, and
+    files hold their repeated values as runs.
+    """
+    number = F.row_number().over(Window.partitionBy("lon", "lat").orderBy(key))
+    groups = left.select("lon", "lat", key, F.floor((number - 1) / together).alias("part")).groupBy("lon", "lat", "part").agg(F.collect_list(key).alias("ids"))
+    return radius_join(groups.drop("part"), shuffled(right), radius)
 
 
 def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, radius: float, on: tuple[str, ...] = ()) -> DataFrame:

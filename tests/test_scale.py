@@ -7,7 +7,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from plume import jobs
-from plume.operators import curvilinear, potential, stencil
+from plume.operators import curvilinear, joins, potential, stencil
 
 
 def plan(df):
@@ -59,3 +59,12 @@ def test_equal_places_and_polygons_count_once_each(spark, tmp_path):
     twice = {x.event_id: x.polygons for x in mask(str(tmp_path)).collect()}
     assert twice == {k + shift: 2 * n for k, n in once.items() for shift in (0, 59_500)}
     assert re.search(r"HashAggregate\(keys=\[lon#\d+, lat#\d+\], functions=\[\]", plan(mask(SF)))
+
+
+def test_pairs_by_place_are_all_pairs(spark):
+    left = spark.range(90).select("id", (F.col("id") % 7 * 0.1).alias("lon"), (60 + F.col("id") % 3 * 0.1).alias("lat"))
+    right = spark.range(20).select(F.col("id").alias("site"), (F.col("id") % 5 * 0.12).alias("lon2"), (60 + F.col("id") % 4 * 0.05).alias("lat2"))
+    want = {(x.id, x.site): x.distance for x in joins.radius_join(left, right, 8000.0).collect()}
+    groups = joins.radius_join_by_place(left, right, "id", 8000.0, together=3).collect()
+    got = [((i, x.site), x.distance) for x in groups for i in x.ids]
+    assert dict(got) == want and len(got) == len(want) > len(groups) and max(len(x.ids) for x in groups) == 3
