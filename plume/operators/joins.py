@@ -102,7 +102,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str,
     return l.join(r, [*on, "bx", "by"]).withColumn("distance", metres("lon", "lat", "lon2", "lat2")).filter(F.col("distance") <= radius).drop("bx", "by")
 
 
-def bucketed(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+def bucketed(left: DataFrame, right: DataFrame, radius: float, at: tuple[str, str] = ("lon", "lat"), at2: tuple[str, str] = ("lon2", "lat2")) -> tuple[DataFrame, DataFrame]:
     """Both with the buckets bx, by of :func:`radius_join`, ``right`` copied to those around its own."""
     height = radius / DEGREE
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -111,8 +111,8 @@ def bucketed(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFram
     parts = F.when(poleward < 88, F.greatest(F.floor(360 * F.cos(F.radians(poleward)) / height), F.lit(1))).otherwise(1)
     place = lambda lon: F.least(F.floor(F.pmod(F.col(lon).cast("double"), F.lit(360.0)) / 360 * parts), parts - 1)
     around = lambda at: F.array_distinct(F.transform(near, lambda d: F.pmod(at + d, parts)))
-    r = right.withColumn("by", F.explode(F.transform(near, lambda d: band("lat2") + d))).withColumn("bx", F.explode(around(place("lon2"))))
-    return left.withColumn("by", band("lat")).withColumn("bx", place("lon")), r
+    r = right.withColumn("by", F.explode(F.transform(near, lambda d: band(at2[1]) + d))).withColumn("bx", F.explode(around(place(at2[0]))))
+    return left.withColumn("by", band(at[1])).withColumn("bx", place(at[0])), r
 
 
 def radius_join_by_place(left: DataFrame, right: DataFrame, key: str, radius: float, together: int = 1024) -> DataFrame:
@@ -127,9 +127,48 @@ def radius_join_by_place(left: DataFrame, right: DataFrame, key: str, radius: fl
 
 
 def nearest_k(left: DataFrame, right: DataFrame, key: str, tie: str, k: int, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """Of the pairs within ``radius``, the ``k`` nearest of each ``key``, ties by ``tie``, with their rank."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", tie))
-    return radius_join(left, right, radius, on=on).withColumn("rank", rank).filter(F.col("rank") <= k)
+    """Of the pairs within ``radius``, the ``k`` nearest of each ``key``, ties by ``tie``, with their rank; ``key`` is unique.
+
+    The first round looks no farther than the density of ``right`` (counted
+    once) asks for; rows that find fewer than ``k`` look again within twice
+    of it, and so on to ``radius``. The first round copies ``right`` and
+    deals both sides by bucket once: ranks and lists of ``k`` are made where
+    the pairs meet. Later ones, of few rows, copy these instead. Rounds that
+    have another after them are written.
+    """
+    per = right.groupBy(*on).agg(F.count("lon2").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("lon2", "lat2") for n, f in (("low", F.min), ("high", F.max))])
+    seen = per.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n"), *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("lon2", "lat2") for n, f in (("low", F.min), ("high", F.max))]).first()
+    reach = radius
+    if seen["n"]:
+        middle = math.radians((seen["low_lat2"] + seen["high_lat2"]) / 2)
+        area = (seen["high_lon2"] - seen["low_lon2"]) * max(math.cos(middle), 0.02) * (seen["high_lat2"] - seen["low_lat2"]) * DEGREE * DEGREE
+        reach = min(radius, max(math.sqrt(area * 3 * k / (math.pi * seen["n"])), radius / 64))
+    own = [c for c in right.columns if c not in (tie, *on)]
+    rest, rounds = left, []
+    while True:
+        places, pair = [*on, "bx", "by"], F.struct("distance", tie, *own)
+        apart = metres("lon", "lat", "lon2", "lat2")
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by, key).orderBy("distance", tie))
+        if not rounds:
+            l, r = bucketed(rest, right, reach)  # noqa: E741
+            r = r.withColumnsRenamed({c: f"_{c}" for c in places})
+            same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in places])
+            met = l.join(shuffled(r), same & (apart <= reach), "left").withColumn("distance", apart)
+            best = met.withColumn("rank", rank(*places)).filter(F.col("rank") <= k).groupBy("bx", "by", *left.columns).agg(F.sort_array(F.collect_list(F.when(F.col("distance").isNotNull(), pair))).alias("pairs")).drop("bx", "by")
+        else:
+            r, l = bucketed(right, rest, reach, ("lon2", "lat2"), ("lon", "lat"))  # noqa: E741
+            met = l.join(shuffled(r), places).withColumn("distance", apart).filter(F.col("distance") <= reach)
+            got = met.withColumn("rank", rank()).filter(F.col("rank") <= k).groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+            best = rest.join(shuffled(got), key, "left").select(*left.columns, F.coalesce("pairs", F.array().cast(got.schema["pairs"].dataType)).alias("pairs"))
+        if reach >= radius:
+            rounds.append(best)
+            break
+        rounds.append(kept(best, "nearest"))
+        rest = rounds[-1].filter(F.size("pairs") < k).select(*left.columns)
+        rounds[-1] = rounds[-1].filter(F.size("pairs") == k)
+        reach = min(2 * reach, radius)
+    found = reduce(DataFrame.unionByName, rounds)
+    return found.select(*left.columns, F.posexplode("pairs").alias("rank", "pair")).select(*left.columns, "pair.*", (F.col("rank") + 1).alias("rank"))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, tie: str, radius: float) -> DataFrame:

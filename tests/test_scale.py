@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plume import jobs
@@ -68,3 +70,22 @@ def test_pairs_by_place_are_all_pairs(spark):
     groups = joins.radius_join_by_place(left, right, "id", 8000.0, together=3).collect()
     got = [((i, x.site), x.distance) for x in groups for i in x.ids]
     assert dict(got) == want and len(got) == len(want) > len(groups) and max(len(x.ids) for x in groups) == 3
+
+
+def test_nearest_k_looks_no_farther_than_it_must(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # dense in one place, thin elsewhere; a step without right rows, and rows without a place
+    dense, thin = rng.normal(0, 0.02, (1200, 2)), rng.uniform(-0.6, 0.6, (150, 2))
+    at = [(float(x), float(60 + y)) for x, y in np.concatenate([dense, thin])]
+    right = spark.createDataFrame([(k, k % 2, *p) for k, p in enumerate(at)], "live bigint, step bigint, lon2 double, lat2 double")
+    rows = [(k, k % 3, *(float(v) for v in (rng.uniform(-0.7, 0.7), 60 + rng.uniform(-0.7, 0.7)))) for k in range(120)] + [(900, 0, None, 60.0)]
+    left = spark.createDataFrame(rows, "dead bigint, step bigint, lon double, lat double")
+    radii, bucketed = [], joins.bucketed
+    monkeypatch.setattr(joins, "bucketed", lambda l, r, radius, *a: radii.append(radius) or bucketed(l, r, radius, *a))
+    got = joins.nearest_k(left, right, "dead", "live", 5, 30_000.0, on=("step",))
+    got = {(x.dead, x["rank"]): (x.live, pytest.approx(x.distance)) for x in got.collect()}
+    assert radii[0] < 10_000 and radii[-1] == 30_000.0 and len(radii) > 2
+    apart = joins.metres("lon", "lat", "lon2", "lat2")
+    rank = F.row_number().over(Window.partitionBy("dead").orderBy("distance", "live"))
+    want = left.join(right, "step").withColumn("distance", apart).filter("distance <= 30000").withColumn("rank", rank).filter("rank <= 5").collect()
+    assert got == {(x.dead, x["rank"]): (x.live, x.distance) for x in want} and {x.dead for x in want if x["rank"] < 5}
